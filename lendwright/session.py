@@ -46,17 +46,14 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/lendwright/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so that a lost executor does not replay the whole iteration."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
     """Write once to the shared folder and read back: later passes are column-pruned scans, and a
     lost executor costs a re-read instead of the joins behind the table."""
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """End a growing plan with a written table, so that an iteration never replays earlier rounds."""
+    return materialize(df, "lineage")
