@@ -55,7 +55,7 @@ def a3(spark: SparkSession, folder: str) -> DataFrame:
     """SELECT trim(p_name) AS field, p_type AS description, p_brand AS role,
        array_to_string(list_filter(list_transform(
          string_split_regex(p_size || '，' || p_brand || ' ; |-' || p_partkey || '；' , '[,，;；|]'),
-         x -> trim(x)), x -> x <> ''), '/') AS codes
+         lambda x: trim(x)), lambda x: x <> ''), '/') AS codes
        FROM part WHERE trim(p_name) <> '' AND lower(trim(p_name)) <> 'nan'""",
 )
 def a4(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +191,15 @@ def b2_approximate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "b2_default_keys",
-    LOAN + " SELECT 'application_date' AS time_column, CASE WHEN count(*) >= 0 THEN 'customer_id' END AS customer_key FROM loan",
+    LOAN
+    + f", facts AS ({_profile_sql('loan', LOAN_COLUMNS)}), "
+    + r"""ranked AS (SELECT position, name, unique_count < rows AS repeats,
+         CASE WHEN regexp_matches(name, 'customer|cust|user|person|borrower|client') THEN 2 ELSE 0 END
+         - CASE WHEN regexp_matches(name, 'order|loan|application|contract') THEN 2 ELSE 0 END AS score
+       FROM facts WHERE regexp_matches(name, '(?i)(^id$|_id$|id_|uuid)'))
+       SELECT (SELECT name FROM facts WHERE type = 'datetime' OR regexp_matches(name, '(^|_)(date|time|month|day)($|_)')
+               ORDER BY position LIMIT 1) AS time_column,
+              (SELECT name FROM ranked ORDER BY score DESC, repeats DESC, position LIMIT 1) AS customer_key""",
 )
 def b2_keys(spark: SparkSession, folder: str) -> DataFrame:
     facts = profile.column_profile(loan(spark, folder))
