@@ -45,6 +45,28 @@ def as_double(value: str | Column, data_type: T.DataType | None = None) -> Colum
     return F.nullif(number, F.lit(float("nan")))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def number_sql(name: str, data_type: T.DataType) -> str:
+    """SQL text of ``as_double`` for a plain column: long CASE chains are parsed once, not built call by call."""
+    source = quoted(name)
+    if is_numeric(data_type) and not isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return f"CAST({source} AS DOUBLE)"
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return f"nullif(CAST({source} AS DOUBLE), double('NaN'))"
+    if isinstance(data_type, T.BooleanType):
+        return f"CAST(CAST({source} AS INT) AS DOUBLE)"
+    return f"nullif(try_cast({source} AS DOUBLE), double('NaN'))"
+
+
+def right_closed_sql(value: str, edges: Sequence[float], missing: str = "NULL") -> str:
+    """SQL text of the 0-based interval number for (-inf, e0], (e0, e1], …"""
+    whens = " ".join(f"WHEN {value} <= {float(e)!r}D THEN {i}" for i, e in enumerate(edges))
+    return f"CASE WHEN {value} IS NULL THEN {missing} {whens} ELSE {len(edges)} END"
+
+
 def binary_label(value: str | Column) -> Column:
     text = F.lower(F.trim(column(value).cast("string")))
     return F.when(text.isin(*fixed.BAD_SPELLINGS), F.lit(1)).when(

@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lendwright.functions import fixed_values as fixed
 from lendwright.functions.expressions import (
-    as_double,
     column,
     is_numeric,
     lookup,
-    right_closed_index,
+    number_sql,
+    right_closed_sql,
 )
 from lendwright.operators.order_statistics import (
     exact_quantiles,
@@ -125,8 +125,8 @@ def with_rare_flags(df: DataFrame, specs: Sequence[BinSpec]) -> DataFrame:
 def bin_index(df: DataFrame, spec: BinSpec) -> Column:
     """0-based bin number, -1 for missing numbers, NULL for unseen categories."""
     if spec.kind == "numeric":
-        number = as_double(spec.feature, df.schema[spec.feature].dataType)
-        return F.coalesce(right_closed_index(number, spec.edges), F.lit(MISSING_INDEX))
+        number = number_sql(spec.feature, df.schema[spec.feature].dataType)
+        return F.expr(right_closed_sql(number, spec.edges, str(MISSING_INDEX)))
     value = _category(spec.feature)
     if spec.rare_table:
         rare = F.coalesce(F.col(f"`{_rare_flag(spec)}`"), F.lit(False))

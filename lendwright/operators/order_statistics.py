@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lendwright.functions.expressions import as_double, column, right_closed_index
+from lendwright.functions.expressions import as_double, column, right_closed_sql
 
 SKETCH_ACCURACY = 10_000
-SKETCH_GRID = 1_000
+SKETCH_SLACK = 5e-4
 BRACKET_ROWS = 2_000_000
 RUN_ROWS = 1_000_000
-MAX_RUNS = 4_096
+MAX_RUNS = 1_024
 
 
 def unpivot_values(entries: Sequence[tuple[str, Sequence[Column]]], names: Sequence[str]) -> Column:
@@ -37,23 +38,32 @@ def quantile_grid(parts: int) -> list[float]:
     return [i * step for i in range(parts)] + [1.0]
 
 
-def sketch_quantiles(value: str, parts: int) -> Column:
-    """Approximate quantiles on an even grid; one SQL literal instead of one call per grid point."""
-    grid = ", ".join(f"{q!r}D" for q in quantile_grid(parts))
+def sketch_quantiles(value: str, fractions: Sequence[float]) -> Column:
+    """Approximate quantiles of a column; one SQL literal instead of one call per fraction."""
+    grid = ", ".join(f"{q!r}D" for q in fractions)
     return F.expr(f"percentile_approx({value}, array({grid}), {SKETCH_ACCURACY})")
 
 
+def _around(fractions: Sequence[float], n: int = 0) -> list[float]:
+    """Fractions a little below and above the wanted ones, at least two ranks of ``n`` rows."""
+    slack = max(SKETCH_SLACK, 2 / n) if n else SKETCH_SLACK
+    both = {f + side for f in fractions for side in (-slack, slack)}
+    return sorted({min(1.0, max(0.0, f)) for f in both})
+
+
 def select_ranks(
     df: DataFrame,
     columns: Sequence[str],
+    fractions: Callable[[str], Sequence[float]],
     wanted: Callable[[str, int], Sequence[int]],
     *,
     bracket_rows: int = BRACKET_ROWS,
 ) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
     """Exact values at 0-based ranks of the non-null values of each column.
 
-    ``wanted(column, n)`` names the ranks once the non-null count ``n`` is known. Returns the
-    counts and ``{column: {rank: value}}``; both are as small as the question asked.
+    ``wanted(column, n)`` names the ranks once the non-null count ``n`` is known; ``fractions(column)``
+    says roughly where they lie, which only steers the sketch. Returns the counts and
+    ``{column: {rank: value}}``; both are as small as the question asked.
     """
     columns = list(columns)
     if not columns:
@@ -63,35 +73,21 @@ def select_ranks(
     index = range(len(columns))
     first = numbers.agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in index],
-        *[sketch_quantiles(f"v{i}", SKETCH_GRID).alias(f"q{i}") for i in index],
+        *[sketch_quantiles(f"v{i}", _around(fractions(c))).alias(f"q{i}") for i, c in enumerate(columns)],
     ).first()
     counts = {c: first[f"n{i}"] for i, c in enumerate(columns)}
     ranks = {c: sorted(set(wanted(c, counts[c]))) if counts[c] else [] for c in columns}
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
-    # Open brackets per column: (exclusive low or None, inclusive high or None, rows below, ranks, splits).
-    open_brackets = {
-        c: [(None, None, 0, ranks[c], _near(first[f"q{i}"], ranks[c], counts[c]))]
-        for i, c in enumerate(columns)
-        if ranks[c]
-    }
-    small: list[tuple[int, float | None, float | None, int, list[int]]] = []
-    while open_brackets:
-        # Bracket numbers are assigned per column before unpivoting, so the count collapses map-side.
-        entries, bounds = [], {}
-        for i, c in enumerate(columns):
-            if c not in open_brackets:
-                continue
-            edges, inside = [], []
-            for low, high, below, targets, splits in open_brackets[c]:
-                if low is not None:
-                    edges.append(low)
-                edges.extend(splits)
-                if high is not None:
-                    edges.append(high)
-                inside.append((low, high, below, targets))
-            edges = sorted(set(edges))
-            bounds[c] = (edges, inside)
-            entries.append((c, [right_closed_index(F.col(f"v{i}"), edges), F.col(f"v{i}")]))
+    # Interval edges per column whose pieces are counted next, and the ranks still to be found.
+    edges = {c: sorted(set(first[f"q{i}"])) for i, c in enumerate(columns) if ranks[c]}
+    searched = ranks
+    small: list[Bracket] = []
+    while edges:
+        entries = [
+            (c, [F.expr(right_closed_sql(f"v{columns.index(c)}", e)), F.col(f"v{columns.index(c)}")])
+            for c, e in edges.items()
+        ]
+        # Pieces are numbered before unpivoting, so the counts collapse on the map side.
         pieces = (
             numbers.select(unpivot_values(entries, ["piece", "value"]))
             .filter(F.col("value").isNotNull())
@@ -99,110 +95,97 @@ def select_ranks(
             .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
             .collect()
         )
-        table: dict[str, list] = {c: [] for c in bounds}
-        for row in pieces:
-            table[row["feature"]].append(row)
-        grow: dict[str, list] = {}
-        for c, (edges, inside) in bounds.items():
+        large: list[Bracket] = []
+        for c, cuts in edges.items():
             before = 0
-            remaining = sorted({t for _, _, _, targets in inside for t in targets})
-            for row in sorted(table[c], key=lambda r: r["piece"]):
-                here = [t for t in remaining if before <= t < before + row["n"]]
-                unsolved = []
-                for t in here:
+            for row in sorted((r for r in pieces if r["feature"] == c), key=lambda r: r["piece"]):
+                n, open_ranks = row["n"], []
+                for t in searched[c]:
+                    if not before <= t < before + n:
+                        continue
                     if row["lo"] == row["hi"] or t == before:
                         found[c][t] = row["lo"]
-                    elif t == before + row["n"] - 1:
+                    elif t == before + n - 1:
                         found[c][t] = row["hi"]
                     else:
-                        unsolved.append(t)
-                if unsolved:
-                    piece = row["piece"]
-                    low = edges[piece - 1] if piece > 0 else None
-                    high = edges[piece] if piece < len(edges) else None
-                    if row["n"] <= bracket_rows:
-                        small.append((columns.index(c), low, high, before, unsolved))
-                    else:
-                        grow.setdefault(c, []).append((low, high, before, unsolved, row))
-                before += row["n"]
-        open_brackets = _refine(numbers, columns, grow)
-    if small:
-        for c, values in _order_small(numbers, columns, small).items():
-            found[c].update(values)
+                        open_ranks.append(t)
+                if open_ranks:
+                    bracket = Bracket(c, f"v{columns.index(c)}", row["lo"], row["hi"], before, n, open_ranks)
+                    (small if n <= bracket_rows else large).append(bracket)
+                before += n
+        edges = _refine(numbers, large)
+        searched = {c: [t for b in large if b.name == c for t in b.ranks] for c in edges}
+    for bracket, values in zip(small, _order_small(numbers, small)):
+        found[bracket.name].update(values)
     return counts, found
 
 
-def _near(sketch: Sequence[float] | None, ranks: Sequence[int], n: int) -> list[float]:
-    """Sketch values on both sides of every wanted rank."""
-    if not sketch or not ranks:
-        return []
-    splits: set[float] = set()
-    last = len(sketch) - 1
-    for rank in ranks:
-        place = round(rank / max(n - 1, 1) * last)
-        splits.update((sketch[max(0, place - 1)], sketch[min(last, place + 1)]))
-    return sorted(splits)
+@dataclass(frozen=True)
+class Bracket:
+    """Rows with ``lo <= value <= hi`` of one column: ``n`` of them, ``before`` rows below."""
 
+    name: str
+    value: str
+    lo: float
+    hi: float
+    before: int
+    n: int
+    ranks: Sequence[int]
 
-def _within(value: Column, low: float | None, high: float | None) -> Column:
-    keep = value.isNotNull()
-    if low is not None:
-        keep = keep & (value > F.lit(low))
-    if high is not None:
-        keep = keep & (value <= F.lit(high))
-    return keep
+    def inside(self) -> str:
+        return f"CASE WHEN {self.value} BETWEEN {self.lo!r}D AND {self.hi!r}D THEN {self.value} END"
 
 
-def _refine(numbers: DataFrame, columns: Sequence[str], grow: Mapping[str, list]) -> dict[str, list]:
-    """Fresh sketches inside the brackets that are still too large to order."""
-    jobs = [(c, *bracket) for c, brackets in grow.items() for bracket in brackets]
-    if not jobs:
+def _refine(numbers: DataFrame, brackets: Sequence[Bracket]) -> dict[str, list[float]]:
+    """Edges that cut the brackets which are still too large to order."""
+    if not brackets:
         return {}
-    inside = numbers.select(
-        *[
-            F.when(_within(F.col(f"v{columns.index(c)}"), low, high), F.col(f"v{columns.index(c)}")).alias(f"b{k}")
-            for k, (c, low, high, _, _, _) in enumerate(jobs)
-        ]
+    sketches = (
+        numbers.selectExpr(*[f"{b.inside()} AS b{k}" for k, b in enumerate(brackets)])
+        .agg(
+            *[
+                sketch_quantiles(f"b{k}", _around([(t - b.before) / (b.n - 1) for t in b.ranks], b.n)).alias(f"s{k}")
+                for k, b in enumerate(brackets)
+            ]
+        )
+        .first()
     )
-    sketches = inside.agg(*[sketch_quantiles(f"b{k}", SKETCH_GRID).alias(f"s{k}") for k in range(len(jobs))]).first()
-    result: dict[str, list] = {}
-    for k, (c, low, high, before, unsolved, row) in enumerate(jobs):
-        splits = _near(sketches[f"s{k}"], [t - before for t in unsolved], row["n"])
-        # Values lie strictly between lo and hi somewhere, so lo and a midpoint always make progress.
-        splits = sorted({*splits, row["lo"], (row["lo"] + row["hi"]) / 2})
-        splits = [s for s in splits if s < row["hi"]]
-        result.setdefault(c, []).append((low, high, before, unsolved, splits))
-    return result
-
-
-def _order_small(numbers: DataFrame, columns: Sequence[str], small: Sequence[tuple]) -> dict[str, dict[int, float]]:
-    entries = [
-        (str(k), [F.when(_within(F.col(f"v{i}"), low, high), F.col(f"v{i}"))])
-        for k, (i, low, high, _, _) in enumerate(small)
-    ]
+    edges: dict[str, set[float]] = {}
+    for k, b in enumerate(brackets):
+        # The midpoint guarantees progress whatever the sketch says; the outer edges isolate the bracket.
+        below = math.nextafter(b.lo, -math.inf)
+        cuts = {below, b.lo, b.hi, (b.lo + b.hi) / 2, *sketches[f"s{k}"]}
+        edges.setdefault(b.name, set()).update(cuts)
+    return {c: sorted(e) for c, e in edges.items()}
+
+
+def _order_small(numbers: DataFrame, brackets: Sequence[Bracket]) -> list[dict[int, float]]:
+    """Order the rows of the small brackets, each bracket on its own."""
+    result: list[dict[int, float]] = [{} for _ in brackets]
+    if not brackets:
+        return result
+    # A value lies in at most one bracket of its column, so each row is emitted once per column.
+    by_column: dict[str, list[str]] = {}
+    for k, b in enumerate(brackets):
+        by_column.setdefault(b.value, []).append(f"WHEN {b.value} BETWEEN {b.lo!r}D AND {b.hi!r}D THEN {k}")
+    entries = [(v, [F.expr(f"CASE {' '.join(whens)} END"), F.col(v)]) for v, whens in by_column.items()]
     counted = (
-        numbers.select(unpivot_values(entries, ["value"]))
-        .filter(F.col("value").isNotNull())
-        .groupBy("feature", "value")
+        numbers.select(unpivot_values(entries, ["bracket", "value"]))
+        .filter(F.col("bracket").isNotNull())
+        .groupBy("bracket", "value")
         .agg(F.count("*").alias("n"))
     )
-    run = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    hits = counted.withColumn("upto", F.sum("n").over(run))
-    keep = F.lit(False)
-    for k, (_, _, _, before, targets) in enumerate(small):
-        for t in targets:
-            local = t - before
-            keep = keep | (
-                (F.col("feature") == str(k))
-                & (F.col("upto") > F.lit(local))
-                & (F.col("upto") - F.col("n") <= F.lit(local))
-            )
-    result: dict[str, dict[int, float]] = {}
-    for row in hits.filter(keep).collect():
-        i, _, _, before, targets = small[int(row["feature"])]
-        for t in targets:
-            if row["upto"] - row["n"] <= t - before < row["upto"]:
-                result.setdefault(columns[i], {})[t] = row["value"]
+    run = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    hit = " OR ".join(
+        f"(bracket = {k} AND upto > {t - b.before} AND upto - n <= {t - b.before})"
+        for k, b in enumerate(brackets)
+        for t in b.ranks
+    )
+    for row in counted.withColumn("upto", F.sum("n").over(run)).filter(hit).collect():
+        k = row["bracket"]
+        for t in brackets[k].ranks:
+            if row["upto"] - row["n"] <= t - brackets[k].before < row["upto"]:
+                result[k][t] = row["value"]
     return result
 
 
@@ -225,7 +208,7 @@ def exact_quantiles(
             wanted += [math.floor(place), min(math.floor(place) + 1, n - 1)]
         return wanted
 
-    counts, values = select_ranks(df, columns, ranks, bracket_rows=bracket_rows)
+    counts, values = select_ranks(df, columns, grid, ranks, bracket_rows=bracket_rows)
     result: dict[str, list[float]] = {}
     for c in columns:
         n = counts[c]
@@ -242,7 +225,7 @@ def run_splits(df: DataFrame, value: str, run_rows: int = RUN_ROWS) -> list[floa
     """Split points that cut the table into runs of about ``run_rows`` rows (at most MAX_RUNS)."""
     row = df.agg(
         F.count("*").alias("n"),
-        sketch_quantiles(f"`{value}`", MAX_RUNS).alias("q"),
+        sketch_quantiles(f"`{value}`", quantile_grid(MAX_RUNS)).alias("q"),
     ).first()
     runs = min(MAX_RUNS, math.ceil(row["n"] / run_rows)) if row["q"] else 1
     picks = {row["q"][(k * MAX_RUNS) // runs] for k in range(1, runs)}

@@ -16,7 +16,8 @@ from lendwright.functions.expressions import (
     is_numeric,
     is_pii_name,
     name_matches,
-    right_closed_index,
+    number_sql,
+    right_closed_sql,
 )
 from lendwright.operators.order_statistics import (
     exact_quantiles,
@@ -81,8 +82,8 @@ def iv_edges(
 
 def _value_bin(df: DataFrame, feature: str, edges: Mapping[str, Sequence[float]]) -> Column:
     if feature in edges:
-        number = as_double(feature, df.schema[feature].dataType)
-        text = F.concat(F.lit("q"), F.lpad(right_closed_index(number, edges[feature]).cast("string"), 2, "0"))
+        place = right_closed_sql(number_sql(feature, df.schema[feature].dataType), edges[feature])
+        text = F.expr(f"concat('q', lpad({place}, 2, '0'))")
     else:
         text = column(feature).cast("string")
     return F.coalesce(text, F.lit(fixed.MISSING))

@@ -55,7 +55,7 @@ def time_cutoff(df: DataFrame, time_column: str, oot_size: float = 0.2) -> int |
         place["rank"] = max(0, n - max(1, math.ceil(n * oot_size)))
         return [place["rank"]]
 
-    counts, values = select_ranks(stamps, ["t"], boundary)
+    counts, values = select_ranks(stamps, ["t"], lambda _: [1 - oot_size], boundary)
     return int(values["t"][place["rank"]]) if counts["t"] else None
 
 
