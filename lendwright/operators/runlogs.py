@@ -339,7 +339,7 @@ def over_budget(usage: DataFrame, budget: int, requested: int = 0) -> DataFrame:
 
 def span_duration_ms(start: str | Column, end: str | Column) -> Column:
     """Whole milliseconds between two timestamps, never negative, 0 when one is missing."""
-    micros = F.unix_micros(column(end)) - F.unix_micros(column(start))
+    micros = F.unix_micros(column(end).cast("timestamp")) - F.unix_micros(column(start).cast("timestamp"))
     return F.coalesce(F.greatest(F.lit(0), F.floor(micros / F.lit(1000))), F.lit(0)).cast("long")
 
 

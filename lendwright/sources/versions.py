@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendwright.functions.expressions import column
 
@@ -48,12 +48,12 @@ def write_version(
     details: Mapping | None = None,
     frozen: bool = False,
 ) -> str:
-    """Write a version once; its row count and fingerprint are observed during that same pass."""
+    """Write a version once and fingerprint what was written, so that the lineage row describes the
+    stored files and not a plan that a retried task may have evaluated twice."""
     version = f"dsv_{uuid.uuid4().hex[:12]}"
-    seen = Observation()
-    observed = df.observe(seen, *fingerprint_columns(df.columns))
-    observed.write.parquet(version_path(root, version))
-    facts = seen.get
+    path = version_path(root, version)
+    df.write.parquet(path)
+    facts = fingerprint(df.sparkSession.read.schema(df.schema).parquet(path)).first()
     row = (
         version,
         label[:240],
