@@ -17,12 +17,28 @@ def has_secret(text: Column) -> Column:
     return text.rlike(f"(?i){fixed.SECRET_TEXT}")
 
 
-def pii_pattern() -> str:
-    return f"(?i)(?:{fixed.PII_MOBILE}|{fixed.PII_ID_NUMBER}|{fixed.PII_EMAIL})"
+def _has_long_number(text: Column) -> Column:
+    """One cheap scan that rules out phone and identity numbers for most texts."""
+    return text.rlike("[0-9]{11}")
+
+
+def pii_counts(text: Column) -> dict[str, Column]:
+    """Mobile numbers, identity numbers and e-mail addresses; each pattern runs only where it can match."""
+    digits, at = _has_long_number(text), F.contains(text, F.lit("@"))
+    found = {
+        "mobiles": (digits, fixed.PII_MOBILE),
+        "id_numbers": (digits, fixed.PII_ID_NUMBER),
+        "emails": (at, fixed.PII_EMAIL),
+    }
+    return {
+        name: F.when(possible, F.regexp_count(text, F.lit(f"(?i){pattern}"))).otherwise(F.lit(0))
+        for name, (possible, pattern) in found.items()
+    }
 
 
 def has_pii(text: Column) -> Column:
-    return text.rlike(pii_pattern())
+    number = _has_long_number(text) & text.rlike(f"(?:{fixed.PII_MOBILE}|{fixed.PII_ID_NUMBER})")
+    return number | (F.contains(text, F.lit("@")) & text.rlike(f"(?i){fixed.PII_EMAIL}"))
 
 
 def _occurrences(line: Column, mark: str) -> Column:
@@ -49,9 +65,7 @@ def scan_text(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(
         *keep,
         has_secret(value).alias("secret"),
-        F.regexp_count(value, F.lit(f"(?i){fixed.PII_MOBILE}")).alias("mobiles"),
-        F.regexp_count(value, F.lit(f"(?i){fixed.PII_ID_NUMBER}")).alias("id_numbers"),
-        F.regexp_count(value, F.lit(f"(?i){fixed.PII_EMAIL}")).alias("emails"),
+        *[hits.alias(name) for name, hits in pii_counts(value).items()],
         has_pii(value).alias("pii"),
         has_pasted_table(value).alias("pasted_table"),
     )

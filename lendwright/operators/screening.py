@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -28,6 +29,8 @@ from lendwright.operators.order_statistics import (
     unpivot_values,
 )
 
+RARE_SHARE = 0.005
+
 
 @dataclass(frozen=True)
 class ScreeningThresholds:
@@ -80,13 +83,12 @@ def iv_edges(
     return {f: distinct_edges(quantiles[f], edge_digits)[1:-1] for f in chosen}
 
 
-def _value_bin(df: DataFrame, feature: str, edges: Mapping[str, Sequence[float]]) -> Column:
+def _value_bin(df: DataFrame, feature: str, edges: Mapping[str, Sequence[float]]) -> list[Column]:
+    """(interval number, value): numbers for binned features, the value itself for the others."""
     if feature in edges:
         place = right_closed_sql(number_sql(feature, df.schema[feature].dataType), edges[feature])
-        text = F.expr(f"concat('q', lpad({place}, 2, '0'))")
-    else:
-        text = column(feature).cast("string")
-    return F.coalesce(text, F.lit(fixed.MISSING))
+        return [F.expr(f"CAST({place} AS INT)"), F.lit(None).cast("string")]
+    return [F.lit(None).cast("int"), column(feature).cast("string")]
 
 
 def woe_columns(
@@ -129,22 +131,22 @@ def iv_bins(
         edges = iv_edges(valid, features, max_bins, edge_digits)
     long = valid.select(
         F.col(label).alias("y"),
-        unpivot_values([(f, [_value_bin(valid, f, edges)]) for f in features], ["bin"]),
+        unpivot_values([(f, _value_bin(valid, f, edges)) for f in features], ["place", "value"]),
     )
-    counted = long.groupBy("feature", "bin").agg(
+    counted = long.groupBy("feature", "place", "value").agg(
         F.count("*").alias("count"), F.sum("y").cast("long").alias("bad")
     )
-    # Fold rare values of the features that are binned by value. The total per feature is its row
-    # count, taken from the counted bins so that a feature with many values never meets in one task.
-    totals = counted.groupBy("feature").agg(F.sum("count").alias("n"))
-    by_value = ~F.col("feature").isin(*edges) if edges else F.lit(True)
-    floor = F.greatest(F.lit(20), F.floor(F.col("n") * F.lit(0.005)))
-    rare = by_value & (F.col("bin") != fixed.MISSING) & (F.col("count") < floor)
-    folded = (
-        counted.join(totals, "feature")
-        .withColumn("bin", F.when(rare, F.lit(fixed.RARE)).otherwise(F.col("bin")))
-        .groupBy("feature", "bin")
-        .agg(F.sum("count").alias("count"), F.sum("bad").alias("bad"))
+    # Every feature has one bin per row, so the share that makes a value rare is one number for all.
+    floor = max(20, math.floor(valid.count() * RARE_SHARE))
+    rare = F.col("value").isNotNull() & (F.col("count") < floor)
+    name = F.coalesce(
+        F.when(rare, F.lit(fixed.RARE)),
+        F.col("value"),
+        F.concat(F.lit("q"), F.lpad(F.col("place").cast("string"), 2, "0")),
+        F.lit(fixed.MISSING),
+    )
+    folded = counted.groupBy("feature", name.alias("bin")).agg(
+        F.sum("count").alias("count"), F.sum("bad").alias("bad")
     )
     return woe_columns(folded).select("feature", "bin", "count", "good", "bad", "bad_rate", "woe", "iv")
 
