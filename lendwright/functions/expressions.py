@@ -67,6 +67,13 @@ def right_closed_sql(value: str, edges: Sequence[float], missing: str = "NULL")
     return f"CASE WHEN {value} IS NULL THEN {missing} {whens} ELSE {len(edges)} END"
 
 
+def value_text(name: str, data_type: T.DataType) -> Column:
+    """Text form of a value with NaN as NULL and one zero."""
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return (F.nullif(column(name), F.lit(float("nan"))) + F.lit(0.0)).cast("string")
+    return column(name).cast("string")
+
+
 def binary_label(value: str | Column) -> Column:
     text = F.lower(F.trim(column(value).cast("string")))
     return F.when(text.isin(*fixed.BAD_SPELLINGS), F.lit(1)).when(

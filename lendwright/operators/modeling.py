@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -249,8 +249,17 @@ def fit_candidate(
     stages = preprocessing(train, features, scale=name == "regularized_logistic")
     if name == "regularized_logistic":
         stages.append(VectorAssembler(inputCols=["__features", "__one"], outputCol="__with_constant"))
-        stages.append(_logistic("__with_constant", settings, rows))
-    elif name in ("random_forest", "forest_nobootstrap"):
+        prepared = Pipeline(stages=stages).fit(weighted)
+        values = vector_to_array("__with_constant")
+        ready = prepared.transform(weighted).withColumn("__sign", _sign(features))
+        mirrored = ready.select(
+            array_to_vector(F.transform(values, lambda v: v * F.col("__sign"))).alias("__mirrored"),
+            _mirrored_label().alias("__label"),
+            "__weight",
+        )
+        model = _logistic("__mirrored", settings, rows).fit(mirrored).setFeaturesCol("__with_constant")
+        return Fitted(name, features, pipeline=PipelineModel(stages=[*prepared.stages, model]))
+    if name in ("random_forest", "forest_nobootstrap"):
         stages.append(
             RandomForestClassifier(
                 featuresCol="__features", labelCol="__label", weightCol="__weight",
@@ -275,7 +284,8 @@ def _logistic(inputs: str, settings: Mapping, rows: int) -> LogisticRegression:
     """L2 logistic regression whose constant is one more penalised coefficient.
 
     The loss is a weighted mean here, so strength C over n rows becomes 1 / (C · Σ weights); balanced
-    weights add up to n.
+    weights add up to n. A constant column would be dropped by the solver, so callers mirror half of
+    the rows: (x, 1, y) and (−x, −1, 1−y) have the same loss, and the column is no longer constant.
     """
     return LogisticRegression(
         featuresCol=inputs, labelCol="__label", weightCol="__weight", regParam=1.0 / (settings["C"] * rows),
@@ -283,14 +293,30 @@ def _logistic(inputs: str, settings: Mapping, rows: int) -> LogisticRegression:
     )
 
 
+def _sign(features: Sequence[str]) -> Column:
+    """+1 or −1 by a hash of the row, so that a repeated task mirrors the same rows."""
+    even = F.pmod(F.xxhash64(*[column(f) for f in features], F.col("__label")), F.lit(2)) == 0
+    return F.when(even, F.lit(1.0)).otherwise(F.lit(-1.0))
+
+
+def _mirrored_label() -> Column:
+    return F.when(F.col("__sign") > 0, F.col("__label")).otherwise(F.lit(1.0) - F.col("__label"))
+
+
 def _fit_scorecard(
     train: DataFrame, label: str, features: Sequence[str], settings: Mapping, rows: int
 ) -> Fitted:
     binning = fit_binning(train, label, features)
-    woe = woe_transform(train, binning).withColumn("__one", F.lit(1.0))
-    assembler = VectorAssembler(inputCols=[*[f"{f}_woe" for f in features], "__one"], outputCol="__features")
-    model = _logistic("__features", settings, rows).fit(assembler.transform(woe))
-    values = [float(v) for v in model.coefficients]
+    woe = woe_transform(train, binning).withColumn("__sign", _sign(features))
+    mirrored = woe.select(
+        *[(F.col(f"`{f}_woe`") * F.col("__sign")).alias(f"__x{i}") for i, f in enumerate(features)],
+        F.col("__sign").alias("__constant"),
+        _mirrored_label().alias("__label"),
+        "__weight",
+    )
+    inputs = [*[f"__x{i}" for i in range(len(features))], "__constant"]
+    ready = VectorAssembler(inputCols=inputs, outputCol="__features").transform(mirrored)
+    values = [float(v) for v in _logistic("__features", settings, rows).fit(ready).coefficients]
     return Fitted("scorecard", list(features), rules=ScorecardRules(list(features), values[:-1], values[-1], binning))
 
 

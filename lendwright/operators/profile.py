@@ -16,6 +16,7 @@ from lendwright.functions.expressions import (
     name_matches,
     parse_time,
     row_digest,
+    value_text,
 )
 from lendwright.operators.labels import target_issues, target_summary
 from lendwright.operators.order_statistics import exact_quantiles, unpivot_values
@@ -24,16 +25,9 @@ TOP_VALUES = 10
 LONG_TEXT = 64
 
 
-def _value_text(name: str, data_type: T.DataType) -> Column:
-    """Text form of a value with NaN as NULL and one zero."""
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return (F.nullif(column(name), F.lit(float("nan"))) + F.lit(0.0)).cast("string")
-    return column(name).cast("string")
-
-
 def _value_key(name: str, data_type: T.DataType) -> Column:
     """What a distinct count has to tell apart: long text is represented by its digest."""
-    text = _value_text(name, data_type)
+    text = value_text(name, data_type)
     if not isinstance(data_type, T.StringType):
         return text
     return F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("\u0000"), F.sha2(text, 256))).otherwise(text)
@@ -138,10 +132,10 @@ def _exact_stats(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
 def _approximate_stats(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     aggregates = [F.count("*").alias("rows")]
     for i, f in enumerate(fields):
-        text = F.lower(F.trim(_value_text(f.name, f.dataType)))
+        text = F.lower(F.trim(value_text(f.name, f.dataType)))
         aggregates += [
-            F.count(_value_text(f.name, f.dataType)).alias(f"n{i}"),
-            F.approx_count_distinct(column(f.name)).alias(f"d{i}"),
+            F.count(value_text(f.name, f.dataType)).alias(f"n{i}"),
+            F.approx_count_distinct(value_text(f.name, f.dataType)).alias(f"d{i}"),
             F.bool_and(text.isNull() | text.isin(*fixed.TARGET_SPELLINGS)).alias(f"a{i}"),
             F.bool_or(text.isin("0")).alias(f"z{i}"),
             F.bool_or(text.isin("1")).alias(f"o{i}"),
@@ -349,7 +343,7 @@ def missing_rates(df: DataFrame) -> DataFrame:
     """Missing rate of every column from one aggregation without a value shuffle."""
     one = df.agg(
         F.count("*").alias("rows"),
-        *[F.count(_value_text(f.name, f.dataType)).alias(f"n{i}") for i, f in enumerate(df.schema.fields)],
+        *[F.count(value_text(f.name, f.dataType)).alias(f"n{i}") for i, f in enumerate(df.schema.fields)],
     )
     return one.select(
         "rows",

@@ -19,6 +19,7 @@ from lendwright.functions.expressions import (
     name_matches,
     number_sql,
     right_closed_sql,
+    value_text,
 )
 from lendwright.operators.order_statistics import (
     exact_quantiles,
@@ -54,7 +55,7 @@ def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> dict[st
     close = [c for c in columns if c not in result]
     if close:
         seen = (
-            df.select(unpivot_values([(c, [column(c).cast("string")]) for c in close], ["value"]))
+            df.select(unpivot_values([(c, [value_text(c, df.schema[c].dataType)]) for c in close], ["value"]))
             .filter(F.col("value").isNotNull())
             .distinct()
             .groupBy("feature")
@@ -88,7 +89,7 @@ def _value_bin(df: DataFrame, feature: str, edges: Mapping[str, Sequence[float]]
     if feature in edges:
         place = right_closed_sql(number_sql(feature, df.schema[feature].dataType), edges[feature])
         return [F.expr(f"CAST({place} AS INT)"), F.lit(None).cast("string")]
-    return [F.lit(None).cast("int"), column(feature).cast("string")]
+    return [F.lit(None).cast("int"), value_text(feature, df.schema[feature].dataType)]
 
 
 def woe_columns(
