@@ -17,6 +17,7 @@ from lendwright.operators.order_statistics import (
     join_unique,
     select_ranks,
 )
+from lendwright.session import materialize
 
 TRAIN, TEST, OOT, EXCLUDED = "train", "test", "oot", "excluded"
 MISSING_TIME = "missing_or_invalid_time"
@@ -148,24 +149,12 @@ def split_dataset(df: DataFrame, label: str, row_id: str, plan: SplitPlan) -> Da
     if seen["timed"] < 0.8 * seen["n"]:
         raise ValueError("TIME_PARSE_RATE_TOO_LOW")
     cutoff = time_cutoff(df, plan.time_column, plan.oot_size)
+    if plan.customer_key:
+        return _isolated_split(df, label, plan, F.unix_micros(timed) >= F.lit(cutoff))
     sided = time_holdout(df, plan, cutoff)
     sizes = {r["partition"]: r["count"] for r in sided.groupBy("partition").count().collect()}
-    if sizes.get("development", 0) < 20 or sizes.get(OOT, 0) < 2:
-        raise ValueError(
-            "STRICT_OOT_INSUFFICIENT_AFTER_CUSTOMER_ISOLATION"
-            if plan.customer_key
-            else "STRICT_OOT_INSUFFICIENT_SAMPLES"
-        )
+    _require_rows(sizes.get("development", 0), sizes.get(OOT, 0), "STRICT_OOT_INSUFFICIENT_SAMPLES")
     development = F.col("partition") == "development"
-    if plan.customer_key:
-        # Only development rows define a group's class; all rows of a group share one side by now.
-        members = sided.withColumn("__group", F.when(development, _group(plan.customer_key)))
-        groups = members.filter(development).groupBy("__group").agg(F.max(label).alias("__class"))
-        assigned = _assign_groups(groups, plan.test_size, plan.seed).withColumnRenamed("partition", "__side")
-        joined = join_unique(members, assigned, ["__group"])
-        return joined.withColumn(
-            "partition", F.when(development, F.col("__side")).otherwise(F.col("partition"))
-        ).drop("__group", "__class", "__side")
     hashed = sided.withColumn("__digest", hash_order(F.col(row_id), plan.seed))
     cuts = hash_cutoffs(
         hashed.filter(development), label, "__digest", row_id, lambda _, n: math.ceil(n * plan.test_size)
@@ -177,6 +166,53 @@ def split_dataset(df: DataFrame, label: str, row_id: str, plan: SplitPlan) -> Da
     ).drop("__digest")
 
 
+def _require_rows(development: int, oot: int, code: str) -> None:
+    if development < 20 or oot < 2:
+        raise ValueError(code)
+
+
+def _isolated_split(df: DataFrame, label: str, plan: SplitPlan, late) -> DataFrame:
+    """Time split with whole customers: one aggregation to a row per customer, written once; all
+    decisions are taken on that table, and one join brings them back to the rows."""
+    marked = df.withColumn("__group", _group(plan.customer_key)).withColumn("__late", late)
+    groups = materialize(
+        marked.groupBy("__group").agg(
+            F.count_if(~F.col("__late")).alias("__early_rows"),
+            F.count_if("__late").alias("__late_rows"),
+            F.max(F.when(~F.col("__late"), F.col(label))).alias("__class"),
+        ),
+        "customers",
+    )
+    early, after = F.col("__early_rows") > 0, F.col("__late_rows") > 0
+    sizes = groups.agg(
+        F.coalesce(F.sum(F.when(early & ~after, F.col("__early_rows"))), F.lit(0)).alias("development"),
+        F.coalesce(F.sum(F.when(after & ~early, F.col("__late_rows"))), F.lit(0)).alias("oot"),
+    ).first()
+    _require_rows(sizes["development"], sizes["oot"], "STRICT_OOT_INSUFFICIENT_AFTER_CUSTOMER_ISOLATION")
+    hashed = groups.withColumn("__digest", hash_order(F.col("__group"), plan.seed))
+    cuts = hash_cutoffs(
+        hashed.filter(early & ~after), "__class", "__digest", "__group", lambda _, n: math.ceil(n * plan.test_size)
+    )
+    test = at_or_before(cuts, "__class", "__digest", "__group")
+    sides = hashed.select(
+        "__group",
+        (early & after).alias("__crossing"),
+        F.when(test, F.lit(TEST)).otherwise(F.lit(TRAIN)).alias("__side"),
+    )
+    reason = F.when(F.col("__late").isNull(), F.lit(MISSING_TIME)).when(F.col("__crossing"), F.lit(CROSS_BOUNDARY))
+    return (
+        join_unique(marked, sides, ["__group"])
+        .withColumn("exclusion_reason", reason)
+        .withColumn(
+            "partition",
+            F.when(F.col("exclusion_reason").isNotNull(), F.lit(EXCLUDED))
+            .when(F.col("__late"), F.lit(OOT))
+            .otherwise(F.col("__side")),
+        )
+        .drop("__group", "__late", "__crossing", "__side")
+    )
+
+
 def partition_summary(df: DataFrame, label: str, keys: Sequence[str] = ("partition",)) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count("*").alias("rows"),
