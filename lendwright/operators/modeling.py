@@ -35,7 +35,7 @@ from lendwright.operators.metrics import binary_metrics, lift_table, psi, score_
 from lendwright.operators.order_statistics import exact_quantiles, hash_order, unpivot_values
 from lendwright.operators.scoring import ScorecardRules, score_with_rules
 from lendwright.operators.splits import OOT, TEST, TRAIN
-from lendwright.session import cut_lineage
+from lendwright.session import cut_lineage, spread
 
 PROBABILITY = "probability_of_bad"
 RARE_SHARE = 0.005
@@ -240,7 +240,7 @@ def fit_candidate(
         weights = {0: 1.0, 1: counts[1]["positive_scale"]}
     else:
         weights = {k: counts[k]["balanced_weight"] for k in (0, 1)}
-    weighted = train.withColumn(
+    weighted = spread(train).withColumn(
         "__weight", F.when(F.col(label) == 1, F.lit(float(weights[1]))).otherwise(F.lit(float(weights[0])))
     ).withColumn("__label", F.col(label).cast("double"))
     rows = sum(r["rows"] for r in counts.values())
