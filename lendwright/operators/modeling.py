@@ -289,7 +289,7 @@ def _logistic(inputs: str, settings: Mapping, rows: int) -> LogisticRegression:
     """
     return LogisticRegression(
         featuresCol=inputs, labelCol="__label", weightCol="__weight", regParam=1.0 / (settings["C"] * rows),
-        elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=settings["max_iter"], tol=1e-8,
+        elasticNetParam=0.0, standardization=False, fitIntercept=False, maxIter=settings["max_iter"], tol=1e-7,
     )
 
 
