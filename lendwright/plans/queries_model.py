@@ -9,7 +9,7 @@ from lendwright.operators import binning as bins
 from lendwright.operators import metrics, report, scoring, screening, splits
 from lendwright.operators.labels import freeze_target
 from lendwright.plans.loan import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, loan, table
-from lendwright.plans.registry import LOAN, SCORED, deciles, query, r, rounded
+from lendwright.plans.registry import LOAN, SCORED, deciles, query, rounded
 from lendwright.session import materialize
 
 EDGE_DIGITS = 6
