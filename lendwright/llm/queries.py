@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendwright.llm import line_dedup
+from lendwright.llm import line_dedup, piece_transducer, simhash_dedup
 from lendwright.llm.registry import query
 from lendwright.plans.loan import table
 
+#: Files of public tokenizers; a parameter, nothing of them is kept here.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 OP2_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -27,3 +30,13 @@ FROM keyed LEFT JOIN common ON key = common_key GROUP BY doc_id"""
 @query("op2_line_dedup", OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"), min_docs=10, min_chars=1)
+
+
+@query("op7_simhash_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_dedup.report(table(spark, folder, "documents"))
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_transducer.encode_texts(table(spark, folder, "documents"), piece_transducer.read_model(PIECE_MODEL))
