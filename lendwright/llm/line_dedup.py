@@ -63,7 +63,7 @@ class LineRuns:
             .write.partitionBy("state")
             .parquet(path)
         )
-        states = {r[0] for r in self.spark.read.parquet(path).select("state").distinct().collect()}
+        states = {r[0] for r in self.spark.read.schema(f"{RUN_SCHEMA}, state string").parquet(path).select("state").distinct().collect()}
         if "decided" in states:
             self.decided.append(f"{path}/state=decided")
         if "open" in states:
