@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendwright.llm import line_dedup, piece_transducer, simhash_dedup
+from lendwright.llm import line_dedup, order_minhash, piece_transducer, simhash_dedup, substring_dedup
 from lendwright.llm.registry import query
 from lendwright.plans.loan import table
 
@@ -26,17 +26,45 @@ SELECT doc_id, count(*) AS n_lines, count(common_key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common_key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common ON key = common_key GROUP BY doc_id"""
 
+OP5_SQL = """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS pos,
+         unnest(list_transform(generate_series(1, len(w) - 12), lambda i: array_to_string(w[i:i + 12], ' '))) AS gram
+  FROM split WHERE len(w) >= 13),
+repeated AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY gram) AS least FROM starts) WHERE doc_id > least),
+covered AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 12)) AS pos FROM repeated),
+positions AS (
+  SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS pos FROM split),
+kept AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS words, count(c.pos) AS gone
+  FROM positions p LEFT JOIN covered c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id)
+SELECT s.doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id"""
+
 
 @query("op2_line_dedup", OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"), min_docs=10, min_chars=1)
 
 
+@query("op5_substring_dedup", OP5_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.report(table(spark, folder, "documents"), window=13)
+
+
 @query("op7_simhash_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.report(table(spark, folder, "documents"))
 
 
+@query("op9_order_minhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edited_report(table(spark, folder, "documents"))
+
+
 @query("op10_sentencepiece")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return piece_transducer.encode_texts(table(spark, folder, "documents"), piece_transducer.read_model(PIECE_MODEL))
