@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendwright.llm import line_dedup, order_minhash, piece_transducer, simhash_dedup, substring_dedup
+from lendwright.llm import benchmark_index, line_dedup, order_minhash, piece_transducer, simhash_dedup, substring_dedup
 from lendwright.llm.registry import query
 from lendwright.plans.loan import table
 
@@ -26,6 +26,33 @@ SELECT doc_id, count(*) AS n_lines, count(common_key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common_key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common ON key = common_key GROUP BY doc_id"""
 
+OP4_SQL = """
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+asked AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, least(10, len(w)) AS size,
+         unnest(list_transform(generate_series(1, len(w) - least(10, len(w)) + 1),
+                               lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS gram
+  FROM asked WHERE len(w) > 0),
+starts AS (
+  SELECT doc_id, size, unnest(generate_series(1, len(w) - size + 1)) AS pos,
+         unnest(list_transform(generate_series(1, len(w) - size + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS gram
+  FROM split, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+found AS (SELECT doc_id, pos, size, item_id FROM starts JOIN windows USING (size, gram)),
+hit AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS pos FROM found)
+  GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
 OP5_SQL = """
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -50,6 +77,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"), min_docs=10, min_chars=1)
 
 
+@query("op4_benchmark_decontamination", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return benchmark_index.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10)
+
+
 @query("op5_substring_dedup", OP5_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(table(spark, folder, "documents"), window=13)
