@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lendwright.llm import (
     benchmark_index,
     chat_format,
+    language_crf,
     license_scan,
     line_dedup,
     order_minhash,
     piece_transducer,
+    quality,
     simhash_dedup,
     substring_dedup,
 )
@@ -103,6 +105,11 @@ SELECT s.doc_id, len(w) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coale
 FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id"""
 
 
+@query("op1_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op2_line_dedup", OP2_SQL)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(table(spark, folder, "documents"), min_docs=10, min_chars=1)
@@ -126,6 +133,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.report(table(spark, folder, "documents"), window=13)
 
 
+@query("op6_language_crf")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return language_crf.report(table(spark, folder, "documents"))
+
+
 @query("op7_simhash_dedup")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.report(table(spark, folder, "documents"))
