@@ -22,14 +22,14 @@ def spark_hash(values, kind):
 
 
 def brute(text):
-    units = re.findall(r"[^\x20\x09-\x0D]{1,16}", text)
+    units = re.findall(r"[^\x20\x09-\x0D]+", text)
     n = max(len(units) - 2, 1) if units else 0
     seen, bins = {}, {}
     for i in range(n):
         gram = spark_hash(units[i : i + 3], "s") & om.HASH
         seen[gram] = seen.get(gram, 0) + 1
         number = xxhash.xxh64_intdigest(seen[gram].to_bytes(4, "little"), xxhash.xxh64_intdigest(gram.to_bytes(8, "little"), 42))
-        h = number & om.HASH
+        h = (gram if seen[gram] == 1 else number) & om.HASH
         bins.setdefault(h >> (om.HASH_BITS - om.BIN_BITS), []).append((h, i))
     out = ""
     for b in range(om.BINS):
