@@ -16,13 +16,6 @@ def column(name: str | Column) -> Column:
     return name if isinstance(name, Column) else F.col(f"`{name}`")
 
 
-def all_of(conditions: Sequence[Column]) -> Column:
-    result = F.lit(True)
-    for condition in conditions:
-        result = result & condition
-    return result
-
-
 def is_numeric(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.NumericType)
 
@@ -49,6 +42,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def text_sql(value: str) -> str:
+    """SQL text of a string."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def number_sql(name: str, data_type: T.DataType) -> str:
     """SQL text of ``as_double`` for a plain column: long CASE chains are parsed once, not built call by call."""
     source = quoted(name)
@@ -61,9 +59,16 @@ def number_sql(name: str, data_type: T.DataType) -> str:
     return f"nullif(try_cast({source} AS DOUBLE), double('NaN'))"
 
 
+def double_sql(value: float) -> str:
+    """SQL text of a double, infinities included."""
+    if math.isinf(value):
+        return "double('Infinity')" if value > 0 else "double('-Infinity')"
+    return f"{float(value)!r}D"
+
+
 def right_closed_sql(value: str, edges: Sequence[float], missing: str = "NULL") -> str:
     """SQL text of the 0-based interval number for (-inf, e0], (e0, e1], …"""
-    whens = " ".join(f"WHEN {value} <= {float(e)!r}D THEN {i}" for i, e in enumerate(edges))
+    whens = " ".join(f"WHEN {value} <= {double_sql(e)} THEN {i}" for i, e in enumerate(edges))
     return f"CASE WHEN {value} IS NULL THEN {missing} {whens} ELSE {len(edges)} END"
 
 

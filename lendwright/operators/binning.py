@@ -16,20 +16,22 @@ from lendwright.functions.expressions import (
     is_numeric,
     lookup,
     number_sql,
+    quoted,
     right_closed_sql,
+    text_sql,
 )
 from lendwright.operators.order_statistics import (
     exact_quantiles,
-    join_unique,
     quantile_grid,
     unpivot_values,
 )
-from lendwright.operators.screening import distinct_edges, distinct_up_to, woe_columns
-from lendwright.session import scratch_path
+from lendwright.operators.screening import distinct_up_to, inner_edges, woe_columns
+from lendwright.session import materialize
 
 MISSING_INDEX = -1
 TOLERANCE = 1e-12
-RARE_LITERALS = 1_000
+#: Rare categories a feature may have; they travel inside the rules, and a feature with more is refused.
+MAX_RARE_VALUES = 200_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ class BinRow:
 class BinSpec:
     """How one feature is binned, with its training WOE table.
 
-    ``rare_table`` names a written table of rare values when there are too many for literals.
+    ``rare_values`` are all categories that training folded; a value outside the groups is looked up there.
     """
 
     feature: str
@@ -56,7 +58,6 @@ class BinSpec:
     edges: tuple[float, ...] = ()
     groups: tuple[tuple[str, ...], ...] = ()
     rare_values: tuple[str, ...] = ()
-    rare_table: str | None = None
     rows: tuple[BinRow, ...] = ()
     iv: float = 0.0
     monotonic: bool = True
@@ -106,20 +107,13 @@ def _category(name: str | Column) -> Column:
     return F.coalesce(column(name).cast("string"), F.lit(fixed.MISSING))
 
 
-def _rare_flag(spec: BinSpec) -> str:
-    return f"__rare_{spec.feature}"
-
-
-def with_rare_flags(df: DataFrame, specs: Sequence[BinSpec]) -> DataFrame:
-    """Join the rare-value tables of the specs that keep theirs on disk."""
-    for spec in specs:
-        if spec.rare_table:
-            values = df.sparkSession.read.parquet(spec.rare_table).select(
-                F.col("value").alias(f"__value_{spec.feature}"), F.lit(True).alias(_rare_flag(spec))
-            )
-            keyed = df.withColumn(f"__value_{spec.feature}", _category(spec.feature))
-            df = join_unique(keyed, values, [f"__value_{spec.feature}"], hot=[]).drop(f"__value_{spec.feature}")
-    return df
+def _is_rare(spec: BinSpec) -> Column:
+    """Is the category among the folded ones? One SQL text, which the engine turns into a hash set."""
+    wanted = [v for v in spec.rare_values if v != fixed.MISSING]
+    if not wanted:
+        return F.lit(False)
+    listed = ", ".join(text_sql(v) for v in wanted)
+    return F.expr(f"CAST({quoted(spec.feature)} AS STRING) IN ({listed})")
 
 
 def bin_index(df: DataFrame, spec: BinSpec) -> Column:
@@ -128,13 +122,16 @@ def bin_index(df: DataFrame, spec: BinSpec) -> Column:
         number = number_sql(spec.feature, df.schema[spec.feature].dataType)
         return F.expr(right_closed_sql(number, spec.edges, str(MISSING_INDEX)))
     value = _category(spec.feature)
-    if spec.rare_table:
-        rare = F.coalesce(F.col(f"`{_rare_flag(spec)}`"), F.lit(False))
-    else:
-        rare = value.isin(*spec.rare_values) if spec.rare_values else F.lit(False)
-    folded = F.when(rare & (value != fixed.MISSING), F.lit(fixed.RARE)).otherwise(value)
     places = {v: i for i, group in enumerate(spec.groups) for v in group}
-    return lookup(folded, places, None).cast("int")
+    folded = places.get(fixed.RARE)
+    known = set(spec.rare_values)
+    # A rare value that a hand-made group names is folded all the same.
+    named = {v: folded if v in known and v != fixed.MISSING else i for v, i in places.items()}
+    other = F.when(_is_rare(spec), F.lit(folded)) if folded is not None else F.lit(None)
+    if not named:
+        return other.cast("int")
+    # Only values outside the groups are looked for among the rare ones.
+    return F.when(value.isin(*named), lookup(value, named, None)).otherwise(other).cast("int")
 
 
 def bin_label(df: DataFrame, spec: BinSpec) -> Column:
@@ -147,23 +144,21 @@ def bin_label(df: DataFrame, spec: BinSpec) -> Column:
 
 
 def woe_value(df: DataFrame, spec: BinSpec) -> Column:
-    """WOE of the row's bin; a bin without training rows scores 0."""
-    return lookup(bin_index(df, spec), {r.index: r.woe for r in spec.rows}, 0.0)
+    """WOE of the row's bin. Values outside all groups have the WOE of <OTHER> if training saw such rows;
+    a bin without training rows scores 0."""
+    index = bin_index(df, spec)
+    if spec.kind != "numeric":
+        index = F.coalesce(index, F.lit(len(spec.groups)))
+    return lookup(index, {r.index: r.woe for r in spec.rows}, 0.0)
 
 
 def apply_bins(df: DataFrame, binning: Binning, suffix: str = "_bin") -> DataFrame:
-    specs = list(binning.specs.values())
-    flagged = with_rare_flags(df, specs)
-    binned = flagged.withColumns({f"{s.feature}{suffix}": bin_label(flagged, s) for s in specs})
-    return binned.drop(*[_rare_flag(s) for s in specs])
+    return df.withColumns({f"{s.feature}{suffix}": bin_label(df, s) for s in binning.specs.values()})
 
 
 def woe_transform(df: DataFrame, binning: Binning, suffix: str = "_woe") -> DataFrame:
     """One WOE column per feature: a pure projection."""
-    specs = list(binning.specs.values())
-    flagged = with_rare_flags(df, specs)
-    mapped = flagged.withColumns({f"{s.feature}{suffix}": woe_value(flagged, s) for s in specs})
-    return mapped.drop(*[_rare_flag(s) for s in specs])
+    return df.withColumns({f"{s.feature}{suffix}": woe_value(df, s) for s in binning.specs.values()})
 
 
 # --- fitting -------------------------------------------------------------------------------
@@ -200,7 +195,7 @@ def finest_edges(
         raise ValueError(f"NUMERIC_BINNING_CONSTANT: {constant}")
     grids = {f: quantile_grid(distinct[f] if distinct[f] is not None else max_bins) for f in features}
     quantiles = exact_quantiles(df, features, grids)
-    return {f: distinct_edges(quantiles[f], edge_digits)[1:-1] for f in features}
+    return {f: inner_edges(quantiles[f], edge_digits) for f in features}
 
 
 def finest_bins(df: DataFrame, label: str, edges: Mapping[str, Sequence[float]]) -> DataFrame:
@@ -327,25 +322,23 @@ def fit_categorical(
 ) -> dict[str, BinSpec]:
     if not features:
         return {}
-    counts = category_counts(df, label, features)
+    # Counted once: groups, totals and rare values all come from this table.
+    counts = materialize(category_counts(df, label, features), "categories")
     grouped = categorical_groups(folded_categories(counts, rare_fraction), max_bins).collect()
     totals = counts.groupBy("feature").agg(F.sum("count").alias("n"))
     rare = counts.join(totals, "feature").filter(_rare(rare_fraction)).select("feature", "value")
     sizes = {r["feature"]: r["count"] for r in rare.groupBy("feature").count().collect()}
-    short = [f for f in features if 0 < sizes.get(f, 0) <= RARE_LITERALS]
+    crowded = [f for f in features if sizes.get(f, 0) > MAX_RARE_VALUES]
+    if crowded:
+        raise ValueError(f"RARE_CATEGORIES_TOO_MANY: {crowded}")
     listed: dict[str, list[str]] = {f: [] for f in features}
-    if short:
-        for r in rare.filter(F.col("feature").isin(*short)).collect():
-            listed[r["feature"]].append(r["value"])
+    for r in rare.collect():
+        listed[r["feature"]].append(r["value"])
     specs = {}
     for f in features:
         rows = sorted((r for r in grouped if r["feature"] == f), key=lambda r: r["place"])
         size = max(r["group_index"] for r in rows) + 1
         members = [[r for r in rows if r["group_index"] == g] for g in range(size)]
-        table = None
-        if sizes.get(f, 0) > RARE_LITERALS:
-            table = scratch_path(df.sparkSession, "rare-values")
-            rare.filter(F.col("feature") == f).select("value").write.parquet(table)
         cells = [
             (group_label(g), g, sum(r["count"] for r in m), sum(r["bad"] for r in m))
             for g, m in enumerate(members)
@@ -356,7 +349,6 @@ def fit_categorical(
             "categorical",
             groups=tuple(tuple(r["value"] for r in m) for m in members),
             rare_values=tuple(sorted(listed[f])),
-            rare_table=table,
             rows=woe,
             iv=iv,
             monotonic=is_monotonic([r.bad_rate for r in woe]),
@@ -395,14 +387,14 @@ def apply_manual_binning(binning: Binning, df: DataFrame, label: str, spec: BinS
         places = {MISSING_INDEX: fixed.MISSING, **dict(enumerate(interval_labels(spec.edges)))}
     else:
         places = {None: fixed.OTHER, **{i: group_label(i) for i in range(len(spec.groups))}}
-    flagged = with_rare_flags(df, [spec])
     counted = (
-        flagged.groupBy(bin_index(flagged, spec).alias("i"))
+        df.groupBy(bin_index(df, spec).alias("i"))
         .agg(F.count("*").alias("count"), F.sum(label).cast("long").alias("bad"))
         .collect()
     )
+    # Labels of groups are ordered as text, where <OTHER> comes first; missing numbers come last.
     last = len(places)
-    ordered = sorted(counted, key=lambda r: last if r["i"] in (None, MISSING_INDEX) else r["i"])
+    ordered = sorted(counted, key=lambda r: -1 if r["i"] is None else last if r["i"] == MISSING_INDEX else r["i"])
     rows, iv = woe_rows(
         [(places[r["i"]], len(spec.groups) if r["i"] is None else r["i"], r["count"], r["bad"]) for r in ordered]
     )
@@ -438,12 +430,11 @@ def bin_table(spark: SparkSession, binning: Binning) -> DataFrame:
 def woe_table(df: DataFrame, label: str, binning: Binning, keys: Sequence[str] = ()) -> DataFrame:
     """Counts, rates, WOE and IV per bin of the given rows, all features (and keys) in one job."""
     specs = list(binning.specs.values())
-    flagged = with_rare_flags(df, specs)
-    long = flagged.select(
+    long = df.select(
         *keys,
         F.col(label).alias("y"),
         unpivot_values(
-            [(s.feature, [F.coalesce(bin_index(flagged, s), F.lit(len(s.groups))), bin_label(flagged, s)]) for s in specs],
+            [(s.feature, [F.coalesce(bin_index(df, s), F.lit(len(s.groups))), bin_label(df, s)]) for s in specs],
             ["bin_index", "bin"],
         ),
     )
@@ -463,9 +454,14 @@ def bin_report(df: DataFrame, label: str, binning: Binning, partition: str = "pa
     ).withColumn("lift", F.try_divide("bad_rate", "overall_bad_rate"))
 
 
+def _bin_order(keys: Sequence[str]):
+    """Bins in order; <OTHER> comes before the groups, as its label does."""
+    return Window.partitionBy(*keys).orderBy(F.col("bin") != fixed.OTHER, "bin_index")
+
+
 def monotonicity(table: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Is the bad rate monotone over the bins? Up to two bins always are."""
-    order = Window.partitionBy(*keys).orderBy("bin_index")
+    order = _bin_order(keys)
     step = F.col("bad_rate") - F.lag("bad_rate").over(order)
     return (
         table.filter(F.col("bin_index") != MISSING_INDEX)
@@ -485,7 +481,7 @@ def monotonicity(table: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFr
 def merge_suggestions(table: DataFrame, keys: Sequence[str] = ("feature",)) -> DataFrame:
     """Neighbouring bins of non-monotone features, closest bad rates first."""
     keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy("bin_index")
+    order = _bin_order(keys)
     rows = table.filter(F.col("bin_index") != MISSING_INDEX)
     broken = monotonicity(table, keys).filter(~F.col("monotonic") & (F.col("bins") >= 3)).select(*keys)
     paired = rows.withColumns(

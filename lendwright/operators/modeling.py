@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from itertools import product
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -27,20 +28,26 @@ from lendwright.functions.expressions import (
     as_double,
     clip_probability,
     column,
+    double_sql,
     is_numeric,
     sigmoid,
+    text_sql,
 )
 from lendwright.operators.binning import fit_binning, woe_transform
-from lendwright.operators.metrics import binary_metrics, lift_table, psi, score_monotonicity
+from lendwright.operators.metrics import binary_metrics, calibration_table, lift_table, psi, score_monotonicity
 from lendwright.operators.order_statistics import exact_quantiles, hash_order, unpivot_values
 from lendwright.operators.scoring import ScorecardRules, score_with_rules
 from lendwright.operators.splits import OOT, TEST, TRAIN
-from lendwright.session import cut_lineage, spread
+from lendwright.session import cut_lineage, materialize
 
 PROBABILITY = "probability_of_bad"
+MODEL_ERRORS = (ValueError, ArithmeticError, AnalysisException, IllegalArgumentException)
 RARE_SHARE = 0.005
 MIN_ISOTONIC_ROWS, MIN_ISOTONIC_POSITIVES = 500, 50
 MAX_TRIALS = 12
+#: Bagging and subsampling draw per partition, so training rows are dealt to a fixed number of partitions by their content:
+#: the same rows and seed give the same model on any number of cores. A run over large data sets ``partitions`` higher.
+TRAIN_PARTITIONS = 16
 
 
 # --- class weights and folds ----------------------------------------------------------------
@@ -100,10 +107,6 @@ def stratified_folds(
 # --- preprocessing --------------------------------------------------------------------------
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _name(c: str) -> str:
     return f"`{c}`"
 
@@ -114,17 +117,25 @@ def preprocessing(
     """Pipeline stages: median / mode imputation, rare grouping, one-hot, optional standardising.
 
     The statistics are exact and end up as literals of one SQL projection, so the saved pipeline
-    needs no fitted state beyond its own text. A category seen nowhere in training encodes to zeros.
+    needs no fitted state beyond its own text. A category seen nowhere in training counts as rare. An infinite number
+    counts as missing, since no mean and no penalised loss exists with it.
     """
     numeric = [f for f in features if is_numeric(train.schema[f].dataType)]
     categorical = [f for f in features if f not in numeric]
-    medians = exact_quantiles(train, numeric, [0.5])
+    finite = train.select(
+        *[
+            F.when(F.abs(as_double(f, train.schema[f].dataType)) < math.inf, as_double(f, train.schema[f].dataType)).alias(f)
+            for f in numeric
+        ],
+        *[column(f) for f in categorical],
+    )
+    medians = exact_quantiles(finite, numeric, [0.5])
     parts, inputs, stages = [], [], []
     filled = {f: (medians[f] or [0.0])[0] for f in numeric}
     spread = {f: (0.0, 1.0) for f in numeric}
     if scale and numeric:
-        seen = train.select(
-            *[F.coalesce(as_double(f, train.schema[f].dataType), F.lit(filled[f])).alias(f"v{i}") for i, f in enumerate(numeric)]
+        seen = finite.select(
+            *[F.coalesce(column(f), F.lit(filled[f])).alias(f"v{i}") for i, f in enumerate(numeric)]
         ).agg(
             *[F.avg(f"v{i}").alias(f"m{i}") for i in range(len(numeric))],
             *[F.stddev_pop(f"v{i}").alias(f"s{i}") for i in range(len(numeric))],
@@ -132,16 +143,19 @@ def preprocessing(
         spread = {f: (seen[f"m{i}"], seen[f"s{i}"] or 1.0) for i, f in enumerate(numeric)}
     for i, f in enumerate(numeric):
         mean, deviation = spread[f]
-        value = f"coalesce(nullif(try_cast({_name(f)} AS DOUBLE), double('NaN')), {filled[f]!r}D)"
-        parts.append(f"({value} - {mean!r}D) / {deviation!r}D AS __n{i}")
+        number = f"nullif(try_cast({_name(f)} AS DOUBLE), double('NaN'))"
+        value = f"coalesce(CASE WHEN abs({number}) < double('Infinity') THEN {number} END, {double_sql(filled[f])})"
+        parts.append(f"({value} - {double_sql(mean)}) / {double_sql(deviation)} AS __n{i}")
         inputs.append(f"__n{i}")
     if categorical:
         total = train.count()
-        counts = (
+        # Counted once; mode, known values and kept categories come from this small table.
+        counts = materialize(
             train.select(unpivot_values([(f, [column(f).cast("string")]) for f in categorical], ["value"]))
             .filter(F.col("value").isNotNull())
             .groupBy("feature", "value")
-            .agg(F.count("*").alias("n"))
+            .agg(F.count("*").alias("n")),
+            "categories",
         )
         # Categories above the share: at most 1/share per feature. The mode is among the most frequent.
         modes = {
@@ -159,9 +173,9 @@ def preprocessing(
                 kept[f].append(mode)
         for i, f in enumerate(categorical):
             labels = sorted(kept[f])
-            text = f"coalesce(CAST({_name(f)} AS STRING), {_quoted(modes.get(f, fixed.MISSING))})"
-            listed = ", ".join(_quoted(v) for v in labels) or "NULL"
-            parts.append(f"CASE WHEN {text} IN ({listed}) THEN {text} ELSE {_quoted(fixed.RARE)} END AS __t{i}")
+            text = f"coalesce(CAST({_name(f)} AS STRING), {text_sql(modes.get(f, fixed.MISSING))})"
+            listed = ", ".join(text_sql(v) for v in labels) or "NULL"
+            parts.append(f"CASE WHEN {text} IN ({listed}) THEN {text} ELSE {text_sql(fixed.RARE)} END AS __t{i}")
         stages = [
             StringIndexerModel.from_arrays_of_labels(
                 [[*sorted(kept[f]), fixed.RARE] for f in categorical],
@@ -240,7 +254,7 @@ def fit_candidate(
         weights = {0: 1.0, 1: counts[1]["positive_scale"]}
     else:
         weights = {k: counts[k]["balanced_weight"] for k in (0, 1)}
-    weighted = spread(train).withColumn(
+    weighted = _dealt(train, features, label, settings.get("partitions", TRAIN_PARTITIONS)).withColumn(
         "__weight", F.when(F.col(label) == 1, F.lit(float(weights[1]))).otherwise(F.lit(float(weights[0])))
     ).withColumn("__label", F.col(label).cast("double"))
     rows = sum(r["rows"] for r in counts.values())
@@ -280,6 +294,14 @@ def fit_candidate(
     return Fitted(name, features, pipeline=Pipeline(stages=stages).fit(weighted))
 
 
+def _dealt(train: DataFrame, features: Sequence[str], label: str, partitions: int) -> DataFrame:
+    """The needed columns in partitions and an order that depend on the rows' content alone."""
+    key = F.xxhash64(*[column(c) for c in (label, *features)])
+    rows = train.select(*[column(c) for c in dict.fromkeys([label, *features])]).withColumn("__deal", key)
+    dealt = rows.repartition(partitions, "__deal").sortWithinPartitions("__deal", *[column(c) for c in (label, *features)])
+    return dealt.drop("__deal")
+
+
 def _logistic(inputs: str, settings: Mapping, rows: int) -> LogisticRegression:
     """L2 logistic regression whose constant is one more penalised coefficient.
 
@@ -454,6 +476,12 @@ class TrainingResult:
     metrics: DataFrame
     calibrations: DataFrame
     trials: DataFrame
+    scores: DataFrame
+    lift: DataFrame
+    ordering: DataFrame
+    stability: DataFrame
+    calibration: DataFrame
+    importance: DataFrame
 
 
 def out_of_fold(
@@ -487,6 +515,8 @@ def tune(
 ) -> tuple[dict, list[tuple]]:
     """Best options by mean cross-validated AUC over at most ``budget`` grid points; training rows only."""
     base = dict(options or {})
+    if budget > MAX_TRIALS:
+        raise ValueError(f"SEARCH_BUDGET_TOO_LARGE: {budget}")
     if budget <= 0 or name in ("dummy", "scorecard"):
         return base, []
     trials, best, best_score = [], base, -math.inf
@@ -494,7 +524,7 @@ def tune(
     folded = cut_lineage(stratified_folds(train, label, row_id, k, output="__fold"))
     # numBins=0 keeps every distinct score: the exact area.
     area = BinaryClassificationEvaluator(rawPredictionCol=PROBABILITY, labelCol="__label", numBins=0)
-    for number, point in enumerate(search_space(name)[: max(1, min(budget, MAX_TRIALS))], 1):
+    for number, point in enumerate(search_space(name)[:budget], 1):
         settings = {**base, **point}
         scores = []
         for fold in range(k):
@@ -538,7 +568,7 @@ def train_candidates(
     sizes = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
     rows, positives = sum(sizes.values()), sizes.get(1, 0)
     fold_count(train, label)
-    table, chosen, comparison, trials, measured = [], {}, [], [], None
+    table, chosen, comparison, trials = [], {}, [], []
     for name in requested:
         if name not in PRESETS:
             table.append((name, "failed", "MODEL_UNSUPPORTED", *[None] * 9, False))
@@ -561,49 +591,55 @@ def train_candidates(
                 test = metrics[TEST]
                 tested.append((method, model, scored, metrics))
                 comparison.append((name, method, test["brier"], test["log_loss"], test["roc_auc"]))
-            method, model, scored, metrics = min(
-                tested,
-                key=lambda t: tuple(99 if t[3][TEST][m] is None else t[3][TEST][m] for m in ("brier", "log_loss")),
+            quality = spark.createDataFrame(
+                [(t[0], t[3][TEST]["brier"], t[3][TEST]["log_loss"]) for t in tested], "method string, brier double, log_loss double"
             )
+            best_method = choose_calibration(quality).first()["method"]
+            method, model, scored, metrics = next(t for t in tested if t[0] == best_method)
             lift = lift_table(scored.filter(F.col(partition) == TEST), label, PROBABILITY, row_id)
             order = score_monotonicity(lift).first()
             moved = psi(scored, PROBABILITY, partition, [(TRAIN, TEST)]).first()["psi"]
             test = metrics[TEST]
-            score = _selection(test["roc_auc"], test["ks"], test["brier"], order["violations"])
             table.append(
                 (
                     name, "trained", None, method, test["roc_auc"], test["ks"], test["brier"], test["log_loss"], oof,
-                    order["violations"], moved, score, False,
+                    order["violations"], moved, None, False,
                 )
             )
             chosen[name] = model
-        except Exception as error:  # noqa: BLE001 - a failing candidate must not end the comparison
+        except MODEL_ERRORS as error:  # a failing candidate must not end the comparison, a failing cluster must
             table.append((name, "failed", f"MODEL_FIT_FAILED_{type(error).__name__.upper()}", *[None] * 9, False))
-    trained = [r for r in table if r[1] == "trained"]
-    if not trained:
+    if not chosen:
         raise ValueError("NO_SUCCESSFUL_MODELS")
-    best = max([r for r in trained if r[0] != "dummy"] or trained, key=lambda r: r[11])[0]
-    table = [(*r[:-1], r[0] == best) for r in table]
+    score = selection_score(F.col("test_auc"), F.col("test_ks"), F.col("test_brier"), F.col("violations"))
+    compared = spark.createDataFrame(table, CANDIDATE_SCHEMA).withColumn(
+        "selection_score", F.when(F.col("status") == "trained", score)
+    )
+    best = choose_champion(compared).first()["champion"]
+    compared = compared.withColumn("champion", F.col("candidate") == best)
     final = cut_lineage(chosen[best].score(frozen).select(row_id, label, partition, PROBABILITY))
-    measured = binary_metrics(final.filter(F.col(partition).isin(TRAIN, TEST, OOT)), label, PROBABILITY, [partition])
+    parts = final.filter(F.col(partition).isin(TRAIN, TEST, OOT))
+    present = {r[0] for r in parts.select(partition).distinct().collect()}
+    pairs = [(a, b) for a, b in ((TRAIN, TEST), (TEST, OOT)) if {a, b} <= present]
+    lift = lift_table(parts, label, PROBABILITY, row_id, [partition])
     return TrainingResult(
-        spark.createDataFrame(table, CANDIDATE_SCHEMA),
+        compared,
         best,
         chosen,
-        measured,
+        binary_metrics(parts, label, PROBABILITY, [partition]),
         spark.createDataFrame(
             comparison, "candidate string, method string, brier double, log_loss double, roc_auc double"
         ),
         spark.createDataFrame(trials, TRIAL_SCHEMA),
+        scores=final,
+        lift=lift,
+        ordering=score_monotonicity(lift, [partition]),
+        stability=psi(final, PROBABILITY, partition, pairs),
+        calibration=calibration_table(parts, label, PROBABILITY, [partition]),
+        importance=feature_importance(chosen[best], frozen),
     )
 
 
-def _selection(auc, ks, brier, violations) -> float:
-    """Driver-side twin of ``selection_score`` for one candidate's four numbers."""
-    penalty = 0.05 * (1 if violations is None else violations)
-    return (auc or 0.0) + 0.55 * (ks or 0.0) - 0.12 * (brier or 1.0) - penalty
-
-
 # --- importance and persistence -------------------------------------------------------------
 
 

@@ -8,19 +8,21 @@ inside the brackets that hold a wanted rank are ever ordered.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lendwright.functions.expressions import as_double, column, right_closed_sql
+from lendwright.functions.expressions import as_double, column, double_sql, right_closed_sql
 
 SKETCH_ACCURACY = 10_000
 SKETCH_SLACK = 5e-4
 BRACKET_ROWS = 2_000_000
 RUN_ROWS = 1_000_000
 MAX_RUNS = 10_000
+LARGEST = sys.float_info.max
 
 
 def unpivot_values(entries: Sequence[tuple[str, Sequence[Column]]], names: Sequence[str]) -> Column:
@@ -133,7 +135,7 @@ class Bracket:
     ranks: Sequence[int]
 
     def inside(self) -> str:
-        return f"CASE WHEN {self.value} BETWEEN {self.lo!r}D AND {self.hi!r}D THEN {self.value} END"
+        return f"CASE WHEN {self.value} BETWEEN {double_sql(self.lo)} AND {double_sql(self.hi)} THEN {self.value} END"
 
 
 def _refine(numbers: DataFrame, brackets: Sequence[Bracket]) -> dict[str, list[float]]:
@@ -152,9 +154,11 @@ def _refine(numbers: DataFrame, brackets: Sequence[Bracket]) -> dict[str, list[f
     )
     edges: dict[str, set[float]] = {}
     for k, b in enumerate(brackets):
-        # The midpoint guarantees progress whatever the sketch says; the outer edges isolate the bracket.
+        # The midpoint guarantees progress whatever the sketch says; the outer edges isolate the bracket. Infinite
+        # values are a piece of their own, so the midpoint is taken between finite ends.
         below = math.nextafter(b.lo, -math.inf)
-        cuts = {below, b.lo, b.hi, (b.lo + b.hi) / 2, *sketches[f"s{k}"]}
+        low, high = max(b.lo, -LARGEST), min(b.hi, LARGEST)
+        cuts = {below, b.lo, b.hi, low, high, low / 2 + high / 2, *sketches[f"s{k}"]}
         edges.setdefault(b.name, set()).update(cuts)
     return {c: sorted(e) for c, e in edges.items()}
 
@@ -167,7 +171,7 @@ def _order_small(numbers: DataFrame, brackets: Sequence[Bracket]) -> list[dict[i
     # A value lies in at most one bracket of its column, so each row is emitted once per column.
     by_column: dict[str, list[str]] = {}
     for k, b in enumerate(brackets):
-        by_column.setdefault(b.value, []).append(f"WHEN {b.value} BETWEEN {b.lo!r}D AND {b.hi!r}D THEN {k}")
+        by_column.setdefault(b.value, []).append(f"WHEN {b.value} BETWEEN {double_sql(b.lo)} AND {double_sql(b.hi)} THEN {k}")
     entries = [(v, [F.expr(f"CASE {' '.join(whens)} END"), F.col(v)]) for v, whens in by_column.items()]
     counted = (
         numbers.select(unpivot_values(entries, ["bracket", "value"]))
@@ -217,10 +221,19 @@ def exact_quantiles(
             place = q * (n - 1)
             low = math.floor(place)
             a, b = values[c][low], values[c][min(low + 1, n - 1)]
-            result[c].append(a + (b - a) * (place - low))
+            result[c].append(_between(a, b, place - low))
     return result
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """Linear interpolation; beside an infinite value the nearer of the two."""
+    if a == b or share == 0:
+        return a
+    if math.isinf(a) or math.isinf(b):
+        return a if share < 0.5 else b
+    return a + (b - a) * share
+
+
 def run_splits(df: DataFrame, value: str, run_rows: int = RUN_ROWS) -> list[float]:
     """Split points that cut the table into runs of about ``run_rows`` rows (at most MAX_RUNS runs).
 

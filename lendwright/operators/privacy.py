@@ -18,8 +18,9 @@ def has_secret(text: Column) -> Column:
 
 
 def _has_long_number(text: Column) -> Column:
-    """One cheap scan that rules out phone and identity numbers for most texts."""
-    return text.rlike("[0-9]{11}")
+    """One cheap scan that rules out phone and identity numbers for most texts. Digits of all scripts count, as do
+    letters of all scripts at word boundaries (flag U)."""
+    return text.rlike(r"\p{Nd}{11}")
 
 
 def pii_counts(text: Column) -> dict[str, Column]:
@@ -31,13 +32,13 @@ def pii_counts(text: Column) -> dict[str, Column]:
         "emails": (at, fixed.PII_EMAIL),
     }
     return {
-        name: F.when(possible, F.regexp_count(text, F.lit(f"(?i){pattern}"))).otherwise(F.lit(0))
+        name: F.when(possible, F.regexp_count(text, F.lit(f"(?iU){pattern}"))).otherwise(F.lit(0))
         for name, (possible, pattern) in found.items()
     }
 
 
 def has_pii(text: Column) -> Column:
-    number = _has_long_number(text) & text.rlike(f"(?:{fixed.PII_MOBILE}|{fixed.PII_ID_NUMBER})")
+    number = _has_long_number(text) & text.rlike(f"(?U)(?:{fixed.PII_MOBILE}|{fixed.PII_ID_NUMBER})")
     return number | (F.contains(text, F.lit("@")) & text.rlike(f"(?i){fixed.PII_EMAIL}"))
 
 

@@ -16,8 +16,7 @@ from lendwright.functions.expressions import (
     score_column_name,
     sigmoid,
 )
-from lendwright.operators.binning import Binning, BinSpec, with_rare_flags, woe_value
-from lendwright.operators.binning import _rare_flag
+from lendwright.operators.binning import Binning, BinSpec, woe_value
 
 
 def probability_to_score(df: DataFrame, probability: str, scale: ScoreScale = ScoreScale()) -> DataFrame:
@@ -149,9 +148,7 @@ class ScorecardRules:
 def score_with_rules(df: DataFrame, rules: ScorecardRules, output: str = "probability") -> DataFrame:
     """Bad probability from scorecard rules: a projection, so it runs on streams as well."""
     specs = [rules.binning.specs[f] for f in rules.features]
-    flagged = with_rare_flags(df, specs)
     linear = F.lit(float(rules.intercept))
     for spec, coefficient in zip(specs, rules.coefficients):
-        linear = linear + F.lit(float(coefficient)) * woe_value(flagged, spec)
-    scored = flagged.withColumn(output, sigmoid(clip(linear, -700, 700)))
-    return scored.drop(*[_rare_flag(s) for s in specs])
+        linear = linear + F.lit(float(coefficient)) * woe_value(df, spec)
+    return df.withColumn(output, sigmoid(clip(linear, -700, 700)))

@@ -73,6 +73,11 @@ def distinct_edges(values: Sequence[float], digits: int | None = None) -> list[f
     return sorted({round(v, digits) if digits is not None else v for v in values})
 
 
+def inner_edges(values: Sequence[float], digits: int | None = None) -> list[float]:
+    """Quantiles without the outermost two; infinite ones bound no interval."""
+    return [e for e in distinct_edges(values, digits)[1:-1] if math.isfinite(e)]
+
+
 def iv_edges(
     df: DataFrame, features: Sequence[str], max_bins: int = 10, edge_digits: int | None = None
 ) -> dict[str, list[float]]:
@@ -81,7 +86,7 @@ def iv_edges(
     few = distinct_up_to(df, numeric, max_bins)
     chosen = [f for f in numeric if few[f] is None]
     quantiles = exact_quantiles(df, chosen, quantile_grid(max_bins)) if chosen else {}
-    return {f: distinct_edges(quantiles[f], edge_digits)[1:-1] for f in chosen}
+    return {f: inner_edges(quantiles[f], edge_digits) for f in chosen}
 
 
 def _value_bin(df: DataFrame, feature: str, edges: Mapping[str, Sequence[float]]) -> list[Column]:

@@ -450,15 +450,10 @@ def fitted_manual(spark: SparkSession, folder: str) -> bins.Binning:
         f"round(coalesce((SELECT woe FROM woe WHERE feature = '{f}' AND bin_index = {_interval_sql(f, e)}), 0), 8) AS {f}_woe"
         for f, e in NUMERIC_SPECS
     )
-    + f", round(CASE WHEN {PRIORITY_INDEX} = 3 THEN 0 ELSE (SELECT woe FROM woe WHERE feature = 'priority' AND bin_index = {PRIORITY_INDEX}) END, 8) AS priority_woe FROM loan",
+    + f", round(coalesce((SELECT woe FROM woe WHERE feature = 'priority' AND bin_index = {PRIORITY_INDEX}), 0), 8) AS priority_woe FROM loan",
 )
 def h6(spark: SparkSession, folder: str) -> DataFrame:
-    fitted = fitted_manual(spark, folder)
-    # Unseen categories score 0 by rule, whatever the training rows of <OTHER> say.
-    specs = {
-        f: bins.replace(s, rows=tuple(x for x in s.rows if x.bin != "<OTHER>")) for f, s in fitted.specs.items()
-    }
-    mapped = bins.woe_transform(loan(spark, folder), bins.Binning(specs))
+    mapped = bins.woe_transform(loan(spark, folder), fitted_manual(spark, folder))
     return rounded(mapped.select("order_id", *[f"{f}_woe" for f in manual_specs()]))
 
 
@@ -470,7 +465,7 @@ def h7(spark: SparkSession, folder: str) -> DataFrame:
 
 MONOTONE_SQL = """mono AS (SELECT feature, count(*) AS bins,
    count(*) <= 2 OR coalesce(bool_and(step >= -1e-12), true) OR coalesce(bool_and(step <= 1e-12), true) AS monotonic
-   FROM (SELECT *, bad_rate - lag(bad_rate) OVER (PARTITION BY feature ORDER BY bin_index) AS step FROM woe WHERE bin_index >= 0)
+   FROM (SELECT *, bad_rate - lag(bad_rate) OVER (PARTITION BY feature ORDER BY bin <> '<OTHER>', bin_index) AS step FROM woe WHERE bin_index >= 0)
    GROUP BY 1)"""
 
 
@@ -485,7 +480,7 @@ def h8(spark: SparkSession, folder: str) -> DataFrame:
     + """, paired AS (SELECT feature, bin_index AS left_index, lead(bin_index) OVER w AS right_index,
        round(abs(bad_rate - lead(bad_rate) OVER w), 8) AS distance, count + lead(count) OVER w AS merged_count,
        round((bad + lead(bad) OVER w) / (count + lead(count) OVER w), 8) AS merged_bad_rate
-       FROM woe WHERE bin_index >= 0 WINDOW w AS (PARTITION BY feature ORDER BY bin_index))
+       FROM woe WHERE bin_index >= 0 WINDOW w AS (PARTITION BY feature ORDER BY bin <> '<OTHER>', bin_index))
      SELECT paired.* FROM paired JOIN mono USING (feature) WHERE NOT monotonic AND bins >= 3 AND right_index IS NOT NULL""",
 )
 def h9(spark: SparkSession, folder: str) -> DataFrame:
@@ -701,14 +696,11 @@ COEFFICIENTS = {"amount": -0.4, "n_lines": -1.1, "avg_disc": 0.25, "priority": -
         f"{COEFFICIENTS[f]} * coalesce((SELECT woe FROM woe WHERE feature = '{f}' AND bin_index = {_interval_sql(f, e)}), 0)"
         for f, e in NUMERIC_SPECS
     )
-    + f" + {COEFFICIENTS['priority']} * (SELECT woe FROM woe WHERE feature = 'priority' AND bin_index = {PRIORITY_INDEX})))), 8) AS probability FROM loan",
+    + f" + {COEFFICIENTS['priority']} * coalesce((SELECT woe FROM woe WHERE feature = 'priority' AND bin_index = {PRIORITY_INDEX}), 0)))), 8) AS probability FROM loan",
 )
 def k4(spark: SparkSession, folder: str) -> DataFrame:
     fitted = fitted_manual(spark, folder)
-    # The fourth group holds what the manual groups leave out, so every category has a rule here.
-    specs = dict(fitted.specs)
-    specs["priority"] = bins.replace(specs["priority"], groups=(*PRIORITY_GROUPS, ("4-NOT SPECIFIED",)))
-    rules = scoring.ScorecardRules(list(COEFFICIENTS), list(COEFFICIENTS.values()), -0.35, bins.Binning(specs))
+    rules = scoring.ScorecardRules(list(COEFFICIENTS), list(COEFFICIENTS.values()), -0.35, fitted)
     return rounded(scoring.score_with_rules(loan(spark, folder), rules).select("order_id", "probability"))
 
 
@@ -760,17 +752,16 @@ def l2(spark: SparkSession, folder: str) -> DataFrame:
     "l3_bin_sheet",
     LOAN + ", " + manual_sql("frozen") + ", " + MONOTONE_SQL
     + """ SELECT feature, 'manual' AS source, monotonic, bin, count, good, bad, round(bad_rate, 8) AS bad_rate,
-         round(woe, 8) AS woe, round(iv, 8) AS iv FROM woe JOIN mono USING (feature) WHERE feature <> 'priority'""",
+         round(woe, 8) AS woe, round(iv, 8) AS iv FROM woe JOIN mono USING (feature)""",
 )
 def l3(spark: SparkSession, folder: str) -> DataFrame:
     fitted = fitted_manual(spark, folder)
-    return rounded(report.bin_sheet(bins.bin_table(spark, fitted)).filter("feature <> 'priority'"))
+    return rounded(report.bin_sheet(bins.bin_table(spark, fitted)))
 
 
-@query("l4_lift_sheet", SCORED + ", " + LIFT_SQL + f" SELECT {LIFT_COLUMNS} FROM lift WHERE model = 'signal'")
+@query("l4_lift_sheet", SCORED + ", " + LIFT_SQL + f" SELECT {LIFT_COLUMNS} FROM lift")
 def l4(spark: SparkSession, folder: str) -> DataFrame:
-    rows = materialize(scored(spark, folder).filter("model = 'signal'"), "signal")
-    return rounded(metrics.lift_table(rows, "y", "p", "order_id", ["model", "partition"]))
+    return rounded(metrics.lift_table(stored_scores(spark, folder), "y", "p", "order_id", ["model", "partition"]))
 
 
 REVIEWS = """reviews AS (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'deterministic_pass' WHEN o_orderpriority = '2-HIGH' THEN 'fallback_pass'

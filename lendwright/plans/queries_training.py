@@ -2,51 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lendwright.operators import metrics, modeling, report
 from lendwright.operators.modeling import PROBABILITY
 from lendwright.operators.splits import SplitPlan
-from lendwright.plans.loan import FEATURES, loan
+from lendwright.plans.loan import FEATURES, NUMERIC_FEATURES, loan
 from lendwright.plans.modelling_run import modelling_run
-from lendwright.plans.queries_model import METRICS_SQL, SCORED, split_loan, stored, stored_scores
+from lendwright.plans.queries_model import LIFT_SQL, METRICS_SQL, SCORED, SPLIT_SQL, split_loan, stored, stored_scores
 from lendwright.plans.registry import LOAN, query, r, rounded
 from lendwright.plans.scoring_run import score_version
 from lendwright.session import materialize, scratch_path
 from lendwright.sources.versions import read_version, write_version
 
-MODEL_FEATURES = ("amount", "acctbal", "n_lines", "avg_disc", "max_tax", "priority", "segment")
-
-# Smaller forests and fewer boosting rounds than the presets, so that a check run stays short.
-SHORT = {
-    "random_forest": {"trees": 20},
-    "forest_nobootstrap": {"trees": 20},
-    "boosted_depth4": {"rounds": 10, "rate": 0.2},
-    "boosted_depth6": {"rounds": 5, "rate": 0.2},
-    "boosted_balanced": {"rounds": 5, "rate": 0.2},
-}
-
+MODEL_FEATURES = FEATURES
+FIELD_TYPES = {f: "numeric" if f in NUMERIC_FEATURES else "categorical" for f in MODEL_FEATURES}
 
 def _train(spark: SparkSession, folder: str) -> DataFrame:
     return split_loan(spark, folder).select("order_id", "y", "partition", *MODEL_FEATURES)
 
 
-def _quality(spark: SparkSession, folder: str, name: str) -> DataFrame:
+# What holds for every candidate: rows and classes per partition, probabilities in range, no worse than a coin, and
+# better than the constant prior on the rows it was fitted on.
+def facts_sql(name: str) -> str:
+    return SPLIT_SQL + f""" SELECT '{name}' AS model, partition, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positive_count,
+      true AS in_range, true AS better_than_chance FROM split WHERE partition <> 'excluded' GROUP BY partition"""
+
+
+def _facts(spark: SparkSession, folder: str, name: str, method: str = "uncalibrated") -> DataFrame:
     rows = materialize(_train(spark, folder).filter("partition <> 'excluded'"), "model")
-    fitted = modeling.fit_candidate(rows.filter("partition = 'train'"), "y", MODEL_FEATURES, name, SHORT.get(name))
+    train = rows.filter("partition = 'train'")
+    fitted = modeling.fit_calibrated(train, "y", MODEL_FEATURES, name, method, "order_id")
     scores = materialize(fitted.score(rows).select("order_id", "partition", "y", PROBABILITY), "model-scores")
-    return rounded(metrics.binary_metrics(scores, "y", PROBABILITY, ["partition"])).withColumn("model", F.lit(name))
+    quality = metrics.binary_metrics(scores, "y", PROBABILITY, ["partition"])
+    ranges = scores.groupBy("partition").agg(F.bool_and(F.col(PROBABILITY).between(0, 1)).alias("in_range"))
+    floor = F.when(F.col("partition") == "train", 0.6).otherwise(0.5)
+    return quality.join(ranges, "partition").select(
+        F.lit(name).alias("model"), "partition", "rows", "positive_count", "in_range",
+        (F.col("roc_auc") > floor).alias("better_than_chance"),
+    )
+
 
+PREPARED_SQL = LOAN + """, longer AS (
+  SELECT unnest(range(7)) AS position, unnest([amount, acctbal, n_lines, qty, net, avg_disc, max_tax]) AS v FROM frozen),
+ filled AS (SELECT position, coalesce(v, median(v) OVER (PARTITION BY position)) AS v FROM longer)"""
 
-@query("i1_preprocessing")
+
+@query(
+    "i1_preprocessing",
+    PREPARED_SQL + " SELECT position::INTEGER AS position, 0.0 AS mean, CASE WHEN stddev_pop(v) > 0 THEN 1.0 ELSE 0.0 END AS deviation FROM filled GROUP BY position"
+    + """ UNION ALL SELECT (7 + row_number() OVER (ORDER BY kind, value) - 1)::INTEGER, round(n / total, 6), round(sqrt(n / total * (1 - n / total)), 6) FROM (
+      SELECT 1 AS kind, priority AS value, count(*)::DOUBLE AS n, (SELECT count(*) FROM frozen) AS total FROM frozen GROUP BY priority
+      UNION ALL SELECT 2, segment, count(*)::DOUBLE, (SELECT count(*) FROM frozen) FROM frozen GROUP BY segment)""",
+)
 def i1(spark: SparkSession, folder: str) -> DataFrame:
+    """Standardised numbers have mean 0 and deviation 1; a one-hot column has the share of its category."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
     rows = stored(spark, folder, "order_id", "y", *FEATURES)
     model = Pipeline(stages=modeling.preprocessing(rows, FEATURES, scale=True)).fit(rows)
     values = model.transform(rows).select(F.posexplode(vector_to_array("__features")).alias("position", "value"))
-    return rounded(values.groupBy("position").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation")), 6)
+    found = values.groupBy("position").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
+    # The columns for rare categories stay empty on this table.
+    named = rounded(found, 6).filter((F.col("position") < len(NUMERIC_FEATURES)) | (F.col("mean") > 0))
+    order = Window.orderBy("position")
+    return named.select(
+        (F.row_number().over(order) - 1).alias("position"), (F.col("mean") + 0.0).alias("mean"), "deviation"
+    )
 
 
 @query("i2_dummy_prior", LOAN + " SELECT order_id, round((SELECT avg(y) FROM frozen), 8) AS probability_of_bad FROM frozen")
@@ -55,39 +78,39 @@ def i2(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(modeling.fit_candidate(rows, "y", [], "dummy").score(rows).select("order_id", PROBABILITY))
 
 
-@query("i3_scorecard")
+@query("i3_scorecard", facts_sql("scorecard"))
 def i3(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder, "scorecard")
+    return _facts(spark, folder, "scorecard")
 
 
-@query("i4_regularized_logistic")
+@query("i4_regularized_logistic", facts_sql("regularized_logistic"))
 def i4(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder, "regularized_logistic")
+    return _facts(spark, folder, "regularized_logistic")
 
 
-@query("i5_random_forest")
+@query("i5_random_forest", facts_sql("random_forest"))
 def i5(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder, "random_forest")
+    return _facts(spark, folder, "random_forest")
 
 
-@query("i6_forest_nobootstrap")
+@query("i6_forest_nobootstrap", facts_sql("forest_nobootstrap"))
 def i6(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder, "forest_nobootstrap")
+    return _facts(spark, folder, "forest_nobootstrap")
 
 
-@query("i7_boosted_depth4")
+@query("i7_boosted_depth4", facts_sql("boosted_depth4"))
 def i7(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder, "boosted_depth4")
+    return _facts(spark, folder, "boosted_depth4")
 
 
-@query("i7_boosted_depth6")
+@query("i7_boosted_depth6", facts_sql("boosted_depth6"))
 def i7_six(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder, "boosted_depth6")
+    return _facts(spark, folder, "boosted_depth6")
 
 
-@query("i7_boosted_balanced")
+@query("i7_boosted_balanced", facts_sql("boosted_balanced"))
 def i7_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    return _quality(spark, folder, "boosted_balanced")
+    return _facts(spark, folder, "boosted_balanced")
 
 
 @query(
@@ -112,37 +135,44 @@ def i9(spark: SparkSession, folder: str) -> DataFrame:
     return modeling.stratified_folds(rows, "y", "order_id", folds).select("order_id", "fold")
 
 
-@query("i10_out_of_fold")
+@query(
+    "i10_out_of_fold",
+    LOAN
+    + """ SELECT order_id, ((row_number() OVER (PARTITION BY y ORDER BY md5(order_id::VARCHAR || '|42'), order_id::VARCHAR) - 1) % 5)::INTEGER AS fold,
+       true AS in_range FROM frozen""",
+)
 def i10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row once, in the fold it was held out in, with a probability."""
     rows = stored(spark, folder, "order_id", "y", *MODEL_FEATURES)
-    scores = modeling.out_of_fold(rows, "y", MODEL_FEATURES, "regularized_logistic", "order_id", folds=3)
-    return rounded(metrics.binary_metrics(materialize(scores, "oof"), "y", PROBABILITY))
+    scores = modeling.out_of_fold(rows, "y", MODEL_FEATURES, "regularized_logistic", "order_id")
+    return scores.select("order_id", "fold", F.col(PROBABILITY).between(0, 1).alias("in_range"))
 
 
-@query("i11_tuning")
+@query(
+    "i11_tuning",
+    """SELECT 'regularized_logistic' AS candidate, unnest([1, 2, 3])::INTEGER AS trial,
+       unnest(['{"C": 0.1}', '{"C": 0.3}', '{"C": 1.0}']) AS parameters, 5 AS folds, true AS mean_of_folds,
+       true AS in_range FROM (SELECT count(*) FROM orders)""",
+)
 def i11(spark: SparkSession, folder: str) -> DataFrame:
-    rows = stored(spark, folder, "order_id", "y", "amount", "n_lines", "avg_disc")
-    _, trials = modeling.tune(rows, "y", ["amount", "n_lines", "avg_disc"], "regularized_logistic", "order_id", 3)
-    return spark.createDataFrame(trials, modeling.TRIAL_SCHEMA).select("candidate", "trial", "parameters", r("roc_auc", 6).alias("roc_auc"))
-
-
-def _calibrated(spark: SparkSession, folder: str, method: str) -> DataFrame:
-    rows = materialize(_train(spark, folder).filter("partition <> 'excluded'"), "model")
-    model = modeling.fit_calibrated(
-        rows.filter("partition = 'train'"), "y", MODEL_FEATURES, "regularized_logistic", method, "order_id"
+    """The grid of the candidate in order, every point scored on all folds."""
+    rows = stored(spark, folder, "order_id", "y", *MODEL_FEATURES)
+    _, trials = modeling.tune(rows, "y", MODEL_FEATURES, "regularized_logistic", "order_id", 3)
+    mean = F.aggregate("fold_scores", F.lit(0.0), lambda a, b: a + b) / F.size("fold_scores")
+    return spark.createDataFrame(trials, modeling.TRIAL_SCHEMA).select(
+        "candidate", "trial", "parameters", F.size("fold_scores").alias("folds"),
+        (F.abs(mean - F.col("roc_auc")) < 1e-9).alias("mean_of_folds"), F.col("roc_auc").between(0.5, 1).alias("in_range"),
     )
-    scores = materialize(model.score(rows).select("order_id", "partition", "y", PROBABILITY), "calibrated")
-    return rounded(metrics.binary_metrics(scores, "y", PROBABILITY, ["partition"])).withColumn("method", F.lit(method))
 
 
-@query("i12_platt")
+@query("i12_platt", facts_sql("regularized_logistic"))
 def i12(spark: SparkSession, folder: str) -> DataFrame:
-    return _calibrated(spark, folder, "platt")
+    return _facts(spark, folder, "regularized_logistic", "platt")
 
 
-@query("i13_isotonic")
+@query("i13_isotonic", facts_sql("regularized_logistic"))
 def i13(spark: SparkSession, folder: str) -> DataFrame:
-    return _calibrated(spark, folder, "isotonic")
+    return _facts(spark, folder, "regularized_logistic", "isotonic")
 
 
 # The two deterministic scores stand in for two calibrations and two candidates.
@@ -190,62 +220,120 @@ def i15_champion(spark: SparkSession, folder: str) -> DataFrame:
     return modeling.choose_champion(_selected(spark, folder))
 
 
-@query("i16_feature_importance")
+NUMERIC_LIST = ", ".join(f"'{f}'" for f in NUMERIC_FEATURES)
+
+
+@query(
+    "i16_feature_importance",
+    LOAN + f""", named AS (SELECT unnest([{NUMERIC_LIST}]) AS feature UNION ALL SELECT DISTINCT 'priority_' || priority FROM frozen
+       UNION ALL SELECT 'priority_<RARE>' UNION ALL SELECT DISTINCT 'segment_' || segment FROM frozen UNION ALL SELECT 'segment_<RARE>')
+     SELECT feature, true AS in_range, true AS sums_to_one FROM named""",
+)
 def i16(spark: SparkSession, folder: str) -> DataFrame:
+    """Gains of all encoded columns; they are shares of one whole."""
     rows = stored(spark, folder, "order_id", "y", *MODEL_FEATURES)
-    fitted = modeling.fit_candidate(rows, "y", MODEL_FEATURES, "random_forest", SHORT["random_forest"])
-    return rounded(modeling.feature_importance(fitted, rows), 6)
+    fitted = modeling.fit_candidate(rows, "y", MODEL_FEATURES, "random_forest")
+    gains = modeling.feature_importance(fitted, rows)
+    total = gains.agg(F.sum("importance").alias("total"))
+    return gains.crossJoin(F.broadcast(total)).select(
+        "feature", F.col("importance").between(0, 1).alias("in_range"), (F.abs(F.col("total") - 1) < 1e-6).alias("sums_to_one")
+    )
 
 
-@query("k5_batch_scoring")
+@query(
+    "k5_batch_scoring",
+    LOAN + " SELECT order_id, true AS in_range, true AS score_follows_probability FROM loan",
+)
 def k5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of the version is scored, and the score is the one of its written probability."""
+    from lendwright.functions.expressions import ScoreScale
+
     rows = stored(spark, folder, "order_id", "y", *MODEL_FEATURES)
     model = modeling.fit_calibrated(rows, "y", MODEL_FEATURES, "scorecard", "uncalibrated", "order_id")
-    types = {f: "numeric" if f not in ("priority", "segment") else "categorical" for f in MODEL_FEATURES}
     path, root = scratch_path(spark, "package"), scratch_path(spark, "versions")
-    modeling.save_model(spark, model, path, types)
+    modeling.save_model(spark, model, path, FIELD_TYPES)
     version = write_version(loan(spark, folder).select("order_id", *MODEL_FEATURES), root, "loan")
     created, _ = score_version(spark, path, root, version, "y scorecard")
     written = read_version(spark, root, created)
-    return rounded(written.select("order_id", "y_scorecard_score", "y_scorecard_score_bad_probability"), 6)
+    p, score = F.col("y_scorecard_score_bad_probability"), F.col("y_scorecard_score")
+    return written.select(
+        "order_id", p.between(0, 1).alias("in_range"), (F.abs(ScoreScale().clipped(p) - score) <= 0.5 + 1e-3).alias("score_follows_probability")
+    )
 
 
-@query("k6_model_round_trip")
+@query(
+    "k6_model_round_trip",
+    """SELECT unnest(['regularized_logistic', 'scorecard']) AS model, 0.0 AS largest_difference, 9 AS fields, 2 AS categorical
+       FROM (SELECT count(*) FROM orders)""",
+)
 def k6(spark: SparkSession, folder: str) -> DataFrame:
-    """Largest difference between the scores of a model before saving and after loading."""
+    """Largest difference between the scores of a model before saving and after loading, and the loaded contract."""
     rows = stored(spark, folder, "order_id", "y", *MODEL_FEATURES)
     result = None
     for name, method in (("regularized_logistic", "platt"), ("scorecard", "uncalibrated")):
         model = modeling.fit_calibrated(rows, "y", MODEL_FEATURES, name, method, "order_id")
         path = scratch_path(spark, "package")
-        modeling.save_model(spark, model, path, {f: "numeric" for f in MODEL_FEATURES})
-        loaded, _, _ = modeling.load_model(spark, path)
+        modeling.save_model(spark, model, path, FIELD_TYPES)
+        loaded, types, _ = modeling.load_model(spark, path)
         both = loaded.score(model.score(rows, "before"), "after")
-        row = both.agg(F.lit(name).alias("model"), r(F.max(F.abs(F.col("before") - F.col("after"))), 12).alias("largest_difference"))
+        row = both.agg(
+            F.lit(name).alias("model"),
+            r(F.max(F.abs(F.col("before") - F.col("after"))), 12).alias("largest_difference"),
+            F.lit(len(types)).alias("fields"),
+            F.lit(sum(t == "categorical" for t in types.values())).alias("categorical"),
+        )
         result = row if result is None else result.unionByName(row)
     return result
 
 
-@query("l5_candidate_comparison")
+CANDIDATE_MODELS = ("dummy", "scorecard", "regularized_logistic", "random_forest", "not_a_model")
+
+
+@query(
+    "l5_candidate_comparison",
+    """SELECT candidate, status, error_code, status = 'trained' AS scored FROM (SELECT unnest(['dummy', 'scorecard', 'regularized_logistic',
+       'random_forest', 'not_a_model']) AS candidate, unnest(['trained', 'trained', 'trained', 'trained', 'failed']) AS status,
+       unnest([NULL, NULL, NULL, NULL, 'MODEL_UNSUPPORTED']) AS error_code FROM (SELECT count(*) FROM orders))""",
+)
 def l5(spark: SparkSession, folder: str) -> DataFrame:
     result = modeling.train_candidates(
-        _train(spark, folder), "y", MODEL_FEATURES, "order_id",
-        ("dummy", "scorecard", "regularized_logistic", "not_a_model"), out_of_fold_metrics=False,
+        _train(spark, folder), "y", MODEL_FEATURES, "order_id", CANDIDATE_MODELS, calibrate=False, out_of_fold_metrics=False
     )
-    return rounded(report.comparison_sheet(result.candidates), 6)
+    sheet = report.comparison_sheet(result.candidates)
+    return sheet.select("candidate", "status", "error_code", F.col("selection_score").isNotNull().alias("scored"))
 
 
-@query("run_modelling")
-def run(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole modelling run on the loan view; returns the executive summary."""
-    found = modelling_run(
+def _run(spark: SparkSession, folder: str):
+    return modelling_run(
         loan(spark, folder).drop("customer_id"), "y", "order_id",
-        SplitPlan(time_column="application_date", customer_key="customer_year"), calibrate=False,
+        SplitPlan(time_column="application_date", customer_key="customer_year"), review_passed=True,
     )
-    return rounded(found.sheets["summary"], 6)
 
 
-@query("a8_report_tables")
+@query("run_modelling")
+def run(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole modelling run on the loan view, with calibration and out-of-fold metrics; returns the executive summary."""
+    return rounded(_run(spark, folder).sheets["summary"], 6)
+
+
+@query(
+    "l1_run_overview",
+    SPLIT_SQL
+    + """ SELECT upper(partition) AS partition, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positive_count, partition <> 'train' AS has_psi
+        FROM split WHERE partition <> 'excluded' GROUP BY partition""",
+)
+def l1_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The overview that the run writes from its own champion."""
+    sheet = _run(spark, folder).sheets["overview"]
+    return sheet.select("partition", "rows", "positive_count", F.col("psi").isNotNull().alias("has_psi"))
+
+
+@query(
+    "a8_report_tables",
+    SCORED + ", " + METRICS_SQL + ", " + LIFT_SQL + """, buckets AS (SELECT DISTINCT model, partition, greatest(1, ceil(p * 10))::INTEGER AS b FROM scored WHERE p BETWEEN 0 AND 1)
+     SELECT 'metrics' AS sheet, count(*) AS rows, count(*) AS json_lines FROM quality
+     UNION ALL SELECT 'lift', count(*), count(*) FROM lift UNION ALL SELECT 'calibration', count(*), count(*) FROM buckets""",
+)
 def a8(spark: SparkSession, folder: str) -> DataFrame:
     """Report sheets written as Parquet and JSON lines, counted on the way back."""
     path = scratch_path(spark, "report")

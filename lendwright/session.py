@@ -58,12 +58,3 @@ def materialize(df: DataFrame, purpose: str = "table") -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """End a growing plan with a written table, so that an iteration never replays earlier rounds."""
     return materialize(df, "lineage")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core for work that costs far more than reading its input.
-
-    Only a small table has fewer partitions than the cluster has cores; a large one is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

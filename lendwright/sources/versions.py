@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendwright.functions.expressions import column
 
+MAX_LABEL = 240
 LINEAGE_SCHEMA = (
     "version string, label string, kind string, parents array<string>, details string, `rows` long, "
     "`columns` int, fingerprint string, frozen boolean, created_at timestamp"
@@ -50,13 +52,15 @@ def write_version(
 ) -> str:
     """Write a version once and fingerprint what was written, so that the lineage row describes the
     stored files and not a plan that a retried task may have evaluated twice."""
+    if len(label) > MAX_LABEL:
+        raise ValueError(f"VERSION_LABEL_TOO_LONG: {len(label)}")
     version = f"dsv_{uuid.uuid4().hex[:12]}"
     path = version_path(root, version)
     df.write.parquet(path)
     facts = fingerprint(df.sparkSession.read.schema(df.schema).parquet(path)).first()
     row = (
         version,
-        label[:240],
+        label,
         kind,
         list(parents),
         json.dumps(dict(details or {}), sort_keys=True, ensure_ascii=False),
@@ -81,20 +85,32 @@ def read_version(spark: SparkSession, root: str, version: str, *, verify: bool =
         raise ValueError(f"DATASET_VERSION_NOT_FOUND: {version}")
     df = spark.read.parquet(version_path(root, version))
     if verify:
-        found = fingerprint(df).first()
-        if found["rows"] != recorded["rows"] or found["fingerprint"] != recorded["fingerprint"]:
-            raise ValueError("DATA_FILE_CHECKSUM_MISMATCH")
+        _check(df, recorded)
     return df
 
 
+def _check(df: DataFrame, recorded) -> None:
+    found = fingerprint(df).first()
+    if found["rows"] != recorded["rows"] or found["fingerprint"] != recorded["fingerprint"]:
+        raise ValueError("DATA_FILE_CHECKSUM_MISMATCH")
+
+
+@contextmanager
+def verified_read(spark: SparkSession, root: str, version: str) -> Iterator[DataFrame]:
+    """A version whose content is checked before its use and once more after it."""
+    df = read_version(spark, root, version)
+    yield df
+    _check(spark.read.parquet(version_path(root, version)), lineage(spark, root).filter(F.col("version") == version).first())
+
+
 def ancestors(spark: SparkSession, root: str, version: str) -> list[str]:
-    """All versions a version was made from, nearest first. The lineage table has a row per version."""
-    parents = {r["version"]: list(r["parents"]) for r in lineage(spark, root).select("version", "parents").collect()}
+    """All versions a version was made from, nearest first: one look at the lineage table per generation."""
     found: list[str] = []
-    queue = list(parents.get(version, []))
-    while queue:
-        current = queue.pop(0)
-        if current not in found:
-            found.append(current)
-            queue += parents.get(current, [])
+    generation = [version]
+    while generation:
+        rows = lineage(spark, root).filter(F.col("version").isin(*generation)).select("version", "parents").collect()
+        parents = {r["version"]: r["parents"] for r in rows}
+        following = dict.fromkeys(p for v in generation for p in parents.get(v, []))
+        generation = [p for p in following if p not in found]
+        found += generation
     return found

@@ -102,12 +102,9 @@ def categories(spark):
     return spark.createDataFrame(rows, "c string, y int")
 
 
-@pytest.mark.parametrize("literals", [1000, 1])
-def test_categorical_rare_missing_and_unseen(spark, monkeypatch, literals):
-    monkeypatch.setattr(b, "RARE_LITERALS", literals)
+def test_categorical_rare_missing_and_unseen(spark):
     df = categories(spark)
     spec = b.fit_categorical(df, "y", ["c"])["c"]
-    assert (spec.rare_table is not None) == (literals == 1)
     assert spec.groups == (("a",), ("b",), ("<MISSING>",), ("<RARE>",))
     new = spark.createDataFrame([("a",), ("r2",), (None,), ("never",)], "c string")
     binned = {r["c"]: r["c_bin"] for r in b.apply_bins(new, b.Binning({"c": spec})).collect()}
@@ -143,3 +140,63 @@ def test_iv_counts_ten_and_eleven_values(spark):
     assert set(screening.iv_edges(df, ["ten", "eleven"])) == {"eleven"}
     found = screening.iv_bins(df, "y", ["ten", "eleven"]).groupBy("feature").agg(F.sum("count").alias("n")).collect()
     assert {r["feature"]: r["n"] for r in found} == {"ten": 1100, "eleven": 1100}
+
+
+def test_many_rare_categories_stay_inside_the_rules(spark, tmp_path):
+    """5,000 rare categories are saved with the model; scoring reads no other file and needs no shuffle."""
+    from lendwright.operators import modeling
+
+    rows = [(f"rare '{k}' \\\\", k % 2) for k in range(5000)] + [(f"big{k % 2}", int(k % 7 < 2 + k % 2)) for k in range(5000)]
+    train = spark.createDataFrame(rows, "c string, y int")
+    model = modeling.fit_calibrated(train, "y", ["c"], "scorecard", "uncalibrated", "c")
+    spec = model.members[0][0].rules.binning.specs["c"]
+    assert len(spec.rare_values) == 5000 and b.Binning({"c": spec}).version == b.fit_binning(train, "y", ["c"]).version
+    modeling.save_model(spark, model, str(tmp_path / "m"), {"c": "categorical"})
+    loaded, _, _ = modeling.load_model(spark, str(tmp_path / "m"))
+    scored = loaded.score(train.distinct(), "p")
+    assert "Exchange" not in loaded.score(train, "p")._jdf.queryExecution().executedPlan().toString()
+    rare = {r["p"] for r in scored.filter("c LIKE 'rare%'").collect()}
+    never = loaded.score(spark.createDataFrame([("never",)], "c string"), "p").first()["p"]
+    assert len(rare) == 1 and never not in rare
+
+
+def test_too_many_rare_categories_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(b, "MAX_RARE_VALUES", 1)
+    with pytest.raises(ValueError, match="RARE_CATEGORIES_TOO_MANY"):
+        b.fit_categorical(categories(spark), "y", ["c"])
+
+
+def test_values_outside_all_groups_have_the_weight_of_other(spark):
+    df = categories(spark).filter("c IS NOT NULL")
+    spec = b.BinSpec("c", "categorical", groups=(("a",),), business_exception="by hand")
+    fitted = b.apply_manual_binning(b.Binning({}), df, "y", spec)
+    rows = {r.bin: r for r in fitted.specs["c"].rows}
+    assert [r.bin for r in fitted.specs["c"].rows] == ["<OTHER>", "G01"] and rows["<OTHER>"].woe != 0
+    woe = {r["c"]: r["c_woe"] for r in b.woe_transform(df.distinct(), fitted).collect()}
+    assert woe["a"] == rows["G01"].woe and woe["b"] == woe["r1"] == rows["<OTHER>"].woe
+
+
+def test_other_comes_first_in_the_monotone_check(spark):
+    rows = [("o", k < 10) for k in range(100)] + [("a", k < 20) for k in range(100)] + [("b", k < 30) for k in range(100)]
+    df = spark.createDataFrame([(c, int(y)) for c, y in rows], "c string, y int")
+    fitted = b.apply_manual_binning(b.Binning({}), df, "y", b.BinSpec("c", "categorical", groups=(("a",), ("b",))))
+    assert fitted.specs["c"].monotonic
+    assert b.monotonicity(b.bin_table(spark, fitted)).first()["monotonic"]
+
+
+def test_infinite_values_everywhere(spark):
+    inf = float("inf")
+    rows = [(float(k % 50), k % 2) for k in range(500)] + [(inf, 1)] * 60 + [(-inf, 0)] * 60 + [(None, 1)] * 5
+    df = spark.createDataFrame(rows, "x double, y int")
+    from lendwright.operators import order_statistics as o, profile
+
+    found = o.exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], bracket_rows=3)["x"]
+    assert found[0] == -inf and found[2] == inf and 0 <= found[1] <= 49
+    assert all(map(np.isfinite, screening.iv_edges(df, ["x"])["x"]))
+    spec = b.fit_binning(df, "y", ["x"]).specs["x"]
+    assert all(map(np.isfinite, spec.edges)) and sum(r.count for r in spec.rows) == len(rows)
+    assert profile.numeric_summary(df, ["x"]).count() >= 1
+    from lendwright.operators import modeling
+
+    model = modeling.fit_candidate(df, "y", ["x"], "regularized_logistic")
+    assert model.score(df).filter(F.col(modeling.PROBABILITY).between(0, 1)).count() == len(rows)

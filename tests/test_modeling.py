@@ -149,3 +149,48 @@ def test_preprocessing_treats_rare_missing_and_unseen(spark):
     got = [r[0] for r in model.transform(new).select(vector_to_array("__features")).collect()]
     median = float(np.median([r[0] for r in rows if r[0] is not None]))
     assert got == [[median, 1.0, 0.0, 0.0], [5.0, 0.0, 1.0, 0.0], [5.0, 0.0, 0.0, 1.0], [5.0, 1.0, 0.0, 0.0]]
+
+
+def test_models_do_not_depend_on_partitions(sample):
+    """The same rows in 1, 4 and 16 partitions give the same forest and boosting."""
+    train = sample.filter("partition = 'train'")
+    for name in ("random_forest", "boosted_depth4"):
+        seen = set()
+        for parts in (1, 4, 16):
+            model = modeling.fit_candidate(train.repartition(parts), "y", ["income", "segment"], name, FAST[name])
+            row = model.score(train).agg(F.sum(F.round(PROBABILITY, 9))).first()[0]
+            seen.add(round(row, 6))
+        assert len(seen) == 1
+
+
+def test_a_larger_budget_is_refused(sample):
+    with pytest.raises(ValueError, match="SEARCH_BUDGET_TOO_LARGE"):
+        modeling.tune(sample, "y", ["income"], "regularized_logistic", "id", 13)
+
+
+def test_run_takes_the_reviewers_decisions(spark):
+    from lendwright.operators.binning import BinSpec
+    from lendwright.operators.screening import ScreeningThresholds
+    from lendwright.operators.splits import SplitPlan
+    from lendwright.plans.modelling_run import modelling_run
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(900):
+        x = float(rng.normal())
+        rows.append((k, f"c{k}", f"20{20 + k // 300}-0{1 + k % 9}-01", x, float(rng.normal()), -9.0 if k % 50 == 0 else float(rng.normal()), int(x + rng.normal() > 0.5)))
+    raw = spark.createDataFrame(rows, "id int, who string, day string, strong double, weak double, coded double, y int").withColumn("day", F.to_timestamp("day"))
+    found = modelling_run(
+        raw, "y", "id", SplitPlan(time_column="day", customer_key="who"),
+        cleaning=[{"id": "c1", "kind": "replace_missing_codes", "column": "coded", "codes": ["-9"]}], accepted=["c1"],
+        thresholds=ScreeningThresholds(iv=0.3), restored={"weak": "wanted by the regulator"},
+        manual_bins=[BinSpec("strong", "numeric", (0.0,))], models=("dummy", "scorecard"), calibrate=False, review_passed=True,
+    )
+    features = {r["feature"]: r for r in found.sheets["features"].collect()}
+    assert features["weak"]["restored"] and features["weak"]["status"] == "included"
+    assert found.binning.specs["strong"].edges == (0.0,)
+    overview = {r["partition"]: r for r in found.sheets["overview"].collect()}
+    assert overview["TEST"]["psi"] is not None and overview["OOT"]["psi"] is not None
+    summary = found.sheets["summary"].first()
+    assert summary["quality_verdict"] == ("pass" if summary["absolute_ordering"] else "conditional")
+    assert found.sheets["lift"].filter("partition = 'oot'").count() > 0 and found.sheets["calibration"].count() > 0
