@@ -27,12 +27,17 @@ from lendwright.llm.words import ALPHANUMERIC, gram_hashes, mix, pieces, words
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-STEPS = 4
-BANDS = 40
+STEPS = 8
+BANDS = 24
 #: Bound of the templates' total words, so that they can be sent to every task.
 MAX_TEMPLATE_WORDS = 2_000_000
 
-_SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_SALTS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+
+
+def _permuted(shingles: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """One MinHash order: 32 bits of every shingle's hash after an odd multiplication."""
+    return (((shingles ^ (salt >> np.uint64(7))) * salt) >> np.uint64(32)).astype(np.uint32)
 
 
 def miss_bound(containment: float = THRESHOLD) -> float:
@@ -48,7 +53,7 @@ class Family:
     n: int
     names: list[str]
     shingles: list[np.ndarray]
-    bands: list[tuple[np.ndarray, np.ndarray]]
+    bands: list[list[np.uint32]]  # by band, the least value of each template
 
     @property
     def step(self) -> int:
@@ -72,50 +77,33 @@ def families(templates: dict[str, str]) -> list[Family]:
         raise ValueError("TEMPLATES_TOO_LARGE")
     out = []
     for (size, n), members in sorted(grouped.items()):
-        bands = []
-        for salt in _SALTS:
-            keys = np.array([mix(s ^ salt).min() for _, s in members], np.uint64)
-            order = np.argsort(keys, kind="stable")
-            bands.append((keys[order], order))
+        bands = [[_permuted(s, salt).min() for _, s in members] for salt in _SALTS]
         out.append(Family(size, n, [m[0] for m in members], [m[1] for m in members], bands))
     return out
 
 
-def _sliding_min(values: np.ndarray, n: int) -> np.ndarray:
-    """Least of every n consecutive values, by doubling."""
-    width = 1
-    while width < n:
-        step = min(width, n - width)
-        values = np.minimum(values[:-step], values[step:])
-        width += step
-    return values
-
-
-def _candidates(shingles: np.ndarray, starts: np.ndarray, family: Family) -> np.ndarray:
-    """(window start, template) pairs that agree in a band."""
-    found = []
-    block = family.step
-    whole, rest = divmod(family.n, block)
-    for salt, (keys, order) in zip(_SALTS, family.bands):
-        h = mix(shingles ^ salt)
-        if block == 1:
-            least = _sliding_min(h, family.n)[starts]
-        else:
-            # Every start is taken from minima over one step, and the rest of the window.
-            parts = _sliding_min(h, block)
-            least = parts[starts]
-            for k in range(1, whole):
-                least = np.minimum(least, parts[starts + k * block])
-            if rest:
-                least = np.minimum(least, parts[starts + family.n - block])
-        at = np.searchsorted(keys, least)
-        hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == least)
-        for i in hit.tolist():
-            k = at[i]
-            while k < len(keys) and keys[k] == least[i]:
-                found.append((starts[i], order[k]))
-                k += 1
-    return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+def _candidates(shingles: np.ndarray, members: list[Family]) -> list[np.ndarray]:
+    """Per family, (first shingle, template) of the windows that agree in a band.
+
+    The least value of n consecutive shingles is the lesser of two runs of the next smaller power of two, and the minima of
+    those runs serve all families.
+    """
+    found: list[list[np.ndarray]] = [[] for _ in members]
+    for band, salt in enumerate(_SALTS):
+        width, minima = 1, _permuted(shingles, salt)
+        for which, family in enumerate(members):
+            n = family.n
+            if len(shingles) < n:
+                break
+            while 2 * width <= n:
+                minima = np.minimum(minima[:-width], minima[width:])
+                width *= 2
+            least = minima if n == width else np.minimum(minima[: width - n], minima[n - width :])
+            for k, key in enumerate(family.bands[band]):
+                hit = np.flatnonzero(least == key)
+                if len(hit):
+                    found[which].append(np.stack([hit, np.full(len(hit), k)], axis=1))
+    return [np.unique(np.concatenate(f), axis=0) if f else np.zeros((0, 2), np.int64) for f in found]
 
 
 def _best(shingles: np.ndarray, low: int, high: int, template: np.ndarray, n: int) -> tuple[float, int]:
@@ -151,28 +139,25 @@ def _scan(compiled: list[Family], threshold: float) -> Callable:
                 first, counts = found.first, found.counts
                 doc = np.repeat(np.arange(len(piece)), counts)
                 matches: list[list[dict]] = [[] for _ in range(len(piece))]
-                for family in compiled:
-                    shingles = gram_hashes(h, family.size)
-                    span = family.n + family.size - 1
-                    if len(h) < span:
-                        continue
-                    place = np.arange(len(h) - span + 1)
-                    inside = doc[: len(place)] == doc[span - 1 : span - 1 + len(place)]
-                    local = place - first[doc[: len(place)]]
-                    # The grid, and the last window of a text.
-                    last = counts[doc[: len(place)]] - span
-                    starts = place[inside & ((local % family.step == 0) | (local == last))]
-                    best: dict[tuple[int, int], tuple[float, int]] = {}
-                    for start, k in _candidates(shingles, starts, family).tolist():
-                        d = int(doc[start])
-                        low = max(int(first[d]), start - family.step)
-                        high = min(int(first[d] + counts[d]) - span, start + family.step)
-                        share, where = _best(shingles, low, high, family.shingles[k], family.n)
-                        if share >= threshold and share > best.get((d, k), (0.0, 0))[0]:
-                            best[d, k] = share, where
-                    for (d, k), (share, where) in best.items():
-                        begin = int(where - first[d])
-                        matches[d].append({"license": family.names[k], "containment": share, "first": begin, "end": begin + span})
+                for size in sorted({f.size for f in compiled}):
+                    members = [f for f in compiled if f.size == size]
+                    shingles = gram_hashes(h, size)
+                    for family, candidates in zip(members, _candidates(shingles, members)):
+                        span = family.n + size - 1
+                        best: dict[tuple[int, int], tuple[float, int]] = {}
+                        for start, k in candidates.tolist():
+                            d = int(doc[start])
+                            low, high = int(first[d]), int(first[d] + counts[d]) - span
+                            # Windows of one text, on the grid or at its end.
+                            if start > high or ((start - low) % family.step and start != high):
+                                continue
+                            low, high = max(low, start - family.step), min(high, start + family.step)
+                            share, where = _best(shingles, low, high, family.shingles[k], family.n)
+                            if share >= threshold and share > best.get((d, k), (0.0, 0))[0]:
+                                best[d, k] = share, where
+                        for (d, k), (share, where) in best.items():
+                            begin = int(where - first[d])
+                            matches[d].append({"license": family.names[k], "containment": share, "first": begin, "end": begin + span})
                 rows = [sorted(m, key=lambda x: x["license"]) for m in matches]
                 kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
