@@ -24,7 +24,8 @@ import hashlib
 import math
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_TEXT = " ⁇ "
 #: Stretches and pairs remembered per Python worker.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,16 +100,22 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == BYTE}
         self.fallback = bool(trainer.get(35, 0)) and len(self.bytes) == 256
         self.unknown_weight = UNKNOWN_PENALTY - min((self.scores[i] for i in self.ids.values()), default=0.0)
-        self.trie: dict = {}
+        #: Character to [piece that ends here or -1, next characters].
+        self.trie: dict[str, list] = {}
         for piece, i in self.ids.items():
-            node = self.trie
+            children = self.trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = children.setdefault(c, [-1, {}])
+                children = node[1]
+            node[0] = i
+        #: Characters that stand in pieces but are none.
+        self.inner = {c for p in self.ids for c in p} - set(self.ids)
         splits = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.stretch = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if splits else r"(?s:.+)")
-        self.weights: dict[tuple[str, str], float] = {}
-        self.paths: dict[str, list[int]] = {}
+        #: By piece, the pieces that may follow it (True) or would change with it (False).
+        self.follow: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        self.paths: dict[str, array] = {}
         #: What an id decodes to: text, bytes, or nothing.
         self.surface: list[str | int] = [p.replace(BLANK, " ") for p in self.pieces]
         for i, kind in enumerate(kinds):
@@ -118,8 +125,8 @@ class Transducer:
                 self.surface[i] = trainer.get(44, UNKNOWN_TEXT.encode()).decode()
             elif kind == BYTE:
                 self.surface[i] = int(self.pieces[i][3:5], 16)
-        self.any_byte = np.zeros(len(self.pieces), bool)
-        self.any_byte[list(self.bytes.values())] = True
+        self.byte_ids = set(self.bytes.values())
+        self.raw = [bytes([s]) if isinstance(s, int) else s.encode() for s in self.surface]
 
     def normalise(self, text: str) -> str:
         if self.one_blank:
@@ -142,68 +149,101 @@ class Transducer:
             k = best[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def _pair_weight(self, before: str, piece: str) -> float:
-        """0 if merging leaves the two as they are, infinity otherwise."""
-        weight = self.weights.get((before, piece))
-        if weight is None:
-            if len(self.weights) >= REMEMBERED:
-                self.weights.clear()
-            stays = self._merged(before + piece) == ([before, piece] if before else [piece])
-            weight = self.weights[before, piece] = 0.0 if stays else math.inf
-        return weight
-
-    def _arcs(self, text: str, at: int) -> Iterator[tuple[int, int]]:
-        """Pieces that begin at a position: end and id. A character without a piece is an arc to fallback."""
-        node, end = self.trie, at
-        while end < len(text):
-            node = node.get(text[end])
-            if node is None:
-                break
-            end += 1
-            if "" in node:
-                yield end, node[""]
-        if text[at] not in self.ids:
-            yield at + 1, self.unknown
+    def _stays(self, before: str, piece: str) -> bool:
+        """Does merging leave the two as they are? Such a pair weighs 0, any other infinity."""
+        return self._merged(before + piece) == ([before, piece] if before else [piece])
 
-    def shortest_path(self, text: str) -> list[int]:
-        """Ids along the path of least weight; a position keeps its best arc only."""
+    def _merge_path(self, text: str) -> list[int]:
+        """The finite path of a BPE model. Every prefix has exactly one, so one arc reaches each position."""
+        n = len(text)
+        trie, follow = self.trie, self.follow
+        none = -1
+        last = [none] * (n + 1)
+        back = [0] * (n + 1)
+        for at in range(n):
+            before = last[at] if at else -2
+            known = follow.get(before)
+            if known is None:
+                known = follow[before] = {}
+            strange = before == self.unknown and text[back[at]] in self.inner
+            children, end = trie, at
+            while end < n:
+                node = children.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                i, children = node
+                if i < 0 or last[end] != none:
+                    continue
+                stays = known.get(i)
+                if stays is None or strange:
+                    left = text[back[at] : at] if at else ""
+                    stays = self._stays(left, text[at:end])
+                    if not strange:
+                        known[i] = stays
+                        self.pairs += 1
+                if stays:
+                    last[end] = i
+                    back[end] = at
+            c = text[at]
+            if last[at + 1] == none and c not in self.ids:
+                if c not in self.inner or self._stays(text[back[at] : at] if at else "", c):
+                    last[at + 1] = self.unknown
+                    back[at + 1] = at
+        if self.pairs > REMEMBERED:
+            follow.clear()
+            self.pairs = 0
+        return self._ids(text, last, back)
+
+    def _best_path(self, text: str) -> list[int]:
+        """The path of least weight of a unigram model; a position keeps its best arc only."""
         n = len(text)
         weight = [math.inf] * (n + 1)
         weight[0] = 0.0
-        last: list[tuple[int, int, str]] = [(0, 0, "")] * (n + 1)
+        last = [-1] * (n + 1)
+        back = [0] * (n + 1)
+        scores = self.scores
         for at in range(n):
-            if weight[at] == math.inf:
-                continue
-            before = last[at][2]
-            for end, i in self._arcs(text, at):
-                piece = text[at:end]
-                if self.kind == BPE:
-                    step = self._pair_weight(before, piece)
-                else:
-                    step = self.unknown_weight if i == self.unknown else -self.scores[i]
-                if weight[at] + step < weight[end]:
-                    weight[end] = weight[at] + step
-                    last[end] = at, i, piece
+            here = weight[at]
+            children, end = self.trie, at
+            while end < n:
+                node = children.get(text[end])
+                if node is None:
+                    break
+                end += 1
+                i, children = node
+                if i >= 0 and here - scores[i] < weight[end]:
+                    weight[end], last[end], back[end] = here - scores[i], i, at
+            if text[at] not in self.ids and here + self.unknown_weight < weight[at + 1]:
+                weight[at + 1], last[at + 1], back[at + 1] = here + self.unknown_weight, self.unknown, at
+        return self._ids(text, last, back)
+
+    def _ids(self, text: str, last: list[int], back: list[int]) -> list[int]:
+        """Read a path from its end; a character without a piece falls back to its bytes."""
         ids: list[int] = []
-        at = n
+        at = len(text)
         while at > 0:
-            before, i, piece = last[at]
+            i = last[at]
             if i != self.unknown:
                 ids.append(i)
             elif self.fallback:
-                ids.extend(self.bytes[b] for b in reversed(piece.encode()))
+                ids.extend(self.bytes[b] for b in reversed(text[back[at] : at].encode()))
             elif not ids or ids[-1] != i:
                 ids.append(i)
-            at = before
+            at = back[at]
         return ids[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def shortest_path(self, text: str) -> list[int]:
+        """Ids along the path of least weight through the composition with a normalised text."""
+        return self._merge_path(text) if self.kind == BPE else self._best_path(text)
+
+    def encode(self, text: str) -> array:
+        ids = array("i")
         paths = self.paths
         for stretch in self.stretch.findall(self.normalise(text)):
             path = paths.get(stretch)
             if path is None:
-                path = self.shortest_path(stretch)
+                path = array("i", self.shortest_path(stretch))
                 if len(stretch) <= 64:
                     if len(paths) >= REMEMBERED:
                         paths.clear()
@@ -213,8 +253,21 @@ class Transducer:
             ids += path
         return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The inverse transducer. Bytes that form no character read as U+FFFD each."""
+        if not len(ids):
+            return ""
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            return self._decode_runs(ids)
+        first = next((i for i in ids if self.raw[i]), None)
+        blank = self.dummy_prefix and first is not None and first != self.unknown and first not in self.byte_ids
+        return text[1:] if blank and text.startswith(" ") else text
+
+    def _decode_runs(self, ids: Sequence[int]) -> str:
+        """Run by run of byte pieces, for bytes that form no characters."""
         surface = self.surface
         out: list[str] = []
         run: list[int] = []
@@ -282,7 +335,7 @@ def encode_texts(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: st
                 for value in piece.column(1).to_pylist():
                     ids = machine.encode(value or "")
                     decoded = machine.decode(ids)
-                    encoded.append(np.array(ids, np.int32))
+                    encoded.append(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
                     digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                     same.append(decoded == (value or ""))
                 sizes = np.array([len(e) for e in encoded], np.int64)
@@ -303,7 +356,7 @@ def decode_ids(rows: DataFrame, model: bytes, ids: str = "ids", to: str = "text"
     @F.pandas_udf("string")
     def text_of(column):
         machine = compile_model(model)
-        return column.map(lambda own: machine.decode([int(i) for i in own]) if own is not None else "")
+        return column.map(lambda own: machine.decode(own) if own is not None else "")
 
     return rows.withColumn(to, text_of(F.col(ids)))
 
