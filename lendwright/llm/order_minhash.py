@@ -1,17 +1,17 @@
 """Document fingerprints by Order MinHash.
 
-A text is cut into units (runs of up to ``UNIT_CHARS`` code points without blanks) and every ``GRAM`` consecutive
-units form a k-mer (a text with fewer units is one k-mer). k-mers are numbered by occurrence, so that repeats count
-as different elements; the hash of (k-mer, occurrence) deals each element to one of ``BINS`` bins. Every bin
+A text is cut into words at blanks and every ``GRAM`` consecutive words form a k-mer (a text with fewer words is one
+k-mer). k-mers are numbered by occurrence, so that repeats count as different elements; the hash of (k-mer, occurrence)
+deals each element to one of ``BINS`` bins. Every bin
 keeps its ``KEEP`` least elements, puts them back in the order in which they stand in the text and hashes
 the tuple. The share of equal tuples is the likeness of two texts: it falls with moved passages as well as with
 changed ones.
 
-All of it is column expressions on one row, in time n log n of the text's units; no rows are made per k-mer.
+All of it is column expressions on one row, in time n log n of the text's words; no rows are made per k-mer.
 Hashes of elements are cut to 36 bits beside 28 bits of position, which only matters for choosing and numbering
 elements inside one text.
 
-Defined cases: a NULL text counts as empty; texts without units have a fingerprint of empty bins, and two
+Defined cases: a NULL text counts as empty; texts without words have a fingerprint of empty bins, and two
 such texts are alike with 1; repeated rows get the same row of results each; rows whose id is NULL come last in
 the order of documents, equal ids are ordered by row key.
 """
@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lendwright.llm.rows import K1, K2, row_hashes
 from lendwright.session import materialize
 
-UNIT_CHARS = 16
 GRAM = 3
 BINS = 32
 KEEP = 2
@@ -34,7 +33,8 @@ HASH = (1 << HASH_BITS) - 1
 BIN_BITS = BINS.bit_length() - 1
 EMPTY_BIN = "-" * 8
 
-_UNIT, _GRAMS, _PACKED, _PAIRS, _FIRST = "__llm_unit", "__llm_gram", "__llm_packed", "__llm_pair", "__llm_first"
+_UNIT, _PACKED, _AGAIN, _PAIRS, _BIN = "__llm_unit", "__llm_packed", "__llm_again", "__llm_pair", "__llm_bin"
+_BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def _pack(value: Column, place: Column) -> Column:
@@ -51,52 +51,52 @@ def _upto(end: Column) -> Column:
     return F.when(end > 0, F.sequence(F.lit(0), end - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _changes(column: str, key) -> Column:
-    """Positions of a sorted array at which a new key begins."""
-    values = F.col(column)
-    return F.filter(
-        _upto(F.size(values)), lambda i: (i == 0) | (key(F.get(values, i)) != key(F.get(values, i - 1)))
+def _occurrences() -> Column:
+    """Numbers of the further occurrences of equal k-mers, which stand side by side: 2, 3, … in each run."""
+    again = F.col(_AGAIN)
+    starts = F.filter(
+        _upto(F.size(again)), lambda j: (j == 0) | (_hash_of(F.get(again, j)) != _hash_of(F.get(again, j - 1)))
     )
+    ends = F.concat(F.slice(starts, 2, F.size(again)), F.array(F.size(again)))
+    lengths = F.zip_with(starts, ends, lambda low, high: high - low)
+    return F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(2), n + 1)))
 
 
 def with_fingerprint(rows: DataFrame, text: str, to: str) -> DataFrame:
     """Adds the fingerprint of a column as an array of one long per bin, NULL where a bin is empty."""
     names = rows.columns
-    units = rows.withColumn(_UNIT, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{UNIT_CHARS}}}"), F.lit(0)))
+    units = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _BLANKS), lambda u: u != "")
+    units = rows.withColumn(_UNIT, units)
     gram = lambda i: F.xxhash64(*[F.get(F.col(_UNIT), i + j) for j in range(GRAM)])
     count = F.when(F.size(_UNIT) == 0, 0).otherwise(F.greatest(F.size(_UNIT) - GRAM + 1, F.lit(1)))
-    grams = units.withColumn(_GRAMS, F.transform(_upto(count), gram)).drop(_UNIT)
-
-    packed = F.transform(F.col(_GRAMS), lambda h, i: _pack(h, i))
-    repeats = F.size(F.array_distinct(_GRAMS)) < F.size(_GRAMS)
-    # Occurrence numbers need equal k-mers side by side; without repeats every number is 1.
-    numbered = grams.withColumn("__llm_repeats", repeats).withColumn(
-        _PACKED, F.when(F.col("__llm_repeats"), F.sort_array(packed)).otherwise(packed)
-    ).drop(_GRAMS)
-    starts = numbered.withColumn(_FIRST, F.when(F.col("__llm_repeats"), _changes(_PACKED, _hash_of)))
-    lengths = F.transform(
-        F.col(_FIRST), lambda at, j: F.coalesce(F.get(F.col(_FIRST), j + 1), F.size(_PACKED)) - at
+    grams = units.withColumn(_PACKED, F.sort_array(F.transform(_upto(count), lambda i: _pack(gram(i), i)))).drop(_UNIT)
+
+    # Sorted by hash, equal k-mers stand side by side in text order: all but the first of a run are renumbered.
+    equal = lambda a, b: F.when(_hash_of(a) == _hash_of(b), b)
+    beside = F.zip_with(F.col(_PACKED), F.slice(F.col(_PACKED), 2, F.size(_PACKED)), equal)
+    repeated = grams.withColumn(_AGAIN, F.array_compact(beside))
+    renumber = lambda x, n: _pack(F.xxhash64(_hash_of(x), n), x.bitwiseAND(PLACE))
+    renumbered = F.zip_with(F.col(_AGAIN), _occurrences(), renumber)
+    pairs = F.when(F.size(_AGAIN) == 0, F.col(_PACKED)).otherwise(
+        F.sort_array(F.concat(F.array_except(_PACKED, _AGAIN), renumbered))
     )
-    numbers = F.flatten(F.transform(lengths, lambda n: F.sequence(F.lit(1), n)))
-    element = lambda x, n: _pack(F.xxhash64(_hash_of(x), n), x.bitwiseAND(PLACE))
-    pairs = F.when(F.col("__llm_repeats"), F.zip_with(F.col(_PACKED), numbers, element)).otherwise(
-        F.transform(F.col(_PACKED), lambda x: element(x, F.lit(1)))
-    )
-    dealt = starts.withColumn(_PAIRS, F.sort_array(pairs)).drop(_PACKED, _FIRST, "__llm_repeats")
-
-    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS)
-    edges = dealt.withColumn(_FIRST, _changes(_PAIRS, bin_of))
+    elements = repeated.withColumn(_PAIRS, pairs).drop(_PACKED, _AGAIN)
+
+    bin_of = lambda x: F.shiftrightunsigned(x, 64 - BIN_BITS).cast("int")
+    dealt = elements.withColumn(_BIN, F.transform(F.col(_PAIRS), bin_of))
+    all_bins = F.sequence(F.lit(0), F.lit(BINS - 1))
+    # A column that is named twice is worked out once per row; named once, it would be put into the lambda.
+    opens = lambda k: F.when(F.size(_BIN) > 0, F.array_position(F.col(_BIN), k)).otherwise(0).cast("int")
+    opened = dealt.withColumn(_BIN, F.transform(all_bins, opens))
     # In text order: position above hash.
     placed = lambda x: F.shiftleft(x.bitwiseAND(PLACE), HASH_BITS).bitwiseOR(_hash_of(x))
 
-    def tuple_hash(at: Column) -> Column:
-        own = F.filter(F.slice(F.col(_PAIRS), at + 1, KEEP), lambda x: bin_of(x) == bin_of(F.get(F.col(_PAIRS), at)))
+    def tuple_hash(at: Column, k: Column) -> Column:
+        own = F.filter(F.slice(F.col(_PAIRS), at, KEEP), lambda x: bin_of(x) == k)
         return F.xxhash64(F.transform(F.sort_array(F.transform(own, placed)), lambda y: y.bitwiseAND(HASH)))
 
-    bins = F.transform(F.col(_FIRST), lambda at: bin_of(F.get(F.col(_PAIRS), at)).cast("int"))
-    filled = edges.withColumn("__llm_bins", F.map_from_arrays(bins, F.transform(F.col(_FIRST), tuple_hash)))
-    fingerprint = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.col("__llm_bins")[b])
-    return filled.select(*[F.col(f"`{c}`") for c in names], fingerprint.alias(to))
+    fingerprint = F.transform(F.col(_BIN), lambda at, k: F.when(at > 0, tuple_hash(at, k)))
+    return opened.select(*[F.col(f"`{c}`") for c in names], fingerprint.alias(to))
 
 
 def as_text(fingerprint: Column) -> Column:
