@@ -45,9 +45,9 @@ MODEL_ERRORS = (ValueError, ArithmeticError, AnalysisException, IllegalArgumentE
 RARE_SHARE = 0.005
 MIN_ISOTONIC_ROWS, MIN_ISOTONIC_POSITIVES = 500, 50
 MAX_TRIALS = 12
-#: Bagging and subsampling draw per partition, so training rows are dealt to a fixed number of partitions by their content:
-#: the same rows and seed give the same model on any number of cores. A run over large data sets ``partitions`` higher.
-TRAIN_PARTITIONS = 16
+#: Bagging and subsampling draw per partition, so training rows are dealt to partitions by their content, one for so
+#: many rows: the same rows and seed give the same model on any number of cores. The option ``partitions`` overrides it.
+ROWS_PER_PARTITION = 20_000
 
 
 # --- class weights and folds ----------------------------------------------------------------
@@ -254,10 +254,11 @@ def fit_candidate(
         weights = {0: 1.0, 1: counts[1]["positive_scale"]}
     else:
         weights = {k: counts[k]["balanced_weight"] for k in (0, 1)}
-    weighted = _dealt(train, features, label, settings.get("partitions", TRAIN_PARTITIONS)).withColumn(
+    rows = sum(r["rows"] for r in counts.values())
+    partitions = settings.get("partitions") or math.ceil(rows / ROWS_PER_PARTITION)
+    weighted = _dealt(train, features, label, partitions).withColumn(
         "__weight", F.when(F.col(label) == 1, F.lit(float(weights[1]))).otherwise(F.lit(float(weights[0])))
     ).withColumn("__label", F.col(label).cast("double"))
-    rows = sum(r["rows"] for r in counts.values())
     if name == "scorecard":
         return _fit_scorecard(weighted, label, features, settings, rows)
     stages = preprocessing(train, features, scale=name == "regularized_logistic")

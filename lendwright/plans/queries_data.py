@@ -18,7 +18,7 @@ TABLES = (
 # --- A: sources and sinks -------------------------------------------------------------------
 
 
-@query("a1_csv_round_trip")
+@query("a1_csv_round_trip", "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def a1(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     files.write_csv(table(spark, folder, "customer"), path)
@@ -70,7 +70,12 @@ def a4(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("field", "description", "role", F.array_join("missing_codes", "/").alias("codes"))
 
 
-@query("a5_versioned_write")
+@query(
+    "a5_versioned_write",
+    """WITH width AS (SELECT count(*)::INTEGER AS columns FROM (DESCRIBE orders))
+       SELECT 'orders' AS label, 'materialize' AS kind, 0 AS parents, (SELECT count(*) FROM orders) AS rows, columns, false AS frozen FROM width
+       UNION ALL SELECT 'urgent orders', 'filter', 1, (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT'), columns, true FROM width""",
+)
 def a5(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "versions")
     raw = versions.write_version(table(spark, folder, "orders"), root, "orders")

@@ -141,7 +141,12 @@ def f6(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(splits.partition_summary(split_loan(spark, folder), "y"))
 
 
-@query("f7_exclusion_fingerprint")
+@query(
+    "f7_exclusion_fingerprint",
+    ISOLATED.format(key="customer_year")
+    + """ SELECT count(*) AS excluded_rows, coalesce(sum(('0x' || substr(md5(order_id::VARCHAR), 1, 15))::BIGINT::HUGEINT), 0)::HUGEINT::VARCHAR AS fingerprint
+       FROM held WHERE partition = 'excluded'""",
+)
 def f7(spark: SparkSession, folder: str) -> DataFrame:
     rows = stored(spark, folder, "order_id", "customer_year", "application_date")
     plan = splits.SplitPlan(time_column="application_date", customer_key="customer_year")
@@ -334,11 +339,24 @@ def h1(spark: SparkSession, folder: str) -> DataFrame:
     return bins.finest_bins(rows, "y", bins.finest_edges(rows, names, edge_digits=EDGE_DIGITS))
 
 
-@query("h1_monotone_bins")
+def _fitted_sql(features: tuple) -> str:
+    each = " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS rows, CAST(sum(y) AS BIGINT) AS bad, true AS few_bins, true AS monotonic FROM frozen" for f in features)
+    return f"{LOAN} {each}"
+
+
+def _fitted_facts(spark: SparkSession, fitted: bins.Binning) -> DataFrame:
+    """Per feature: every row lies in one of 2 to 10 bins (and one for missing values), whose rates are monotone."""
+    table_ = bins.bin_table(spark, fitted)
+    monotone = bins.monotonicity(table_.filter("bin <> '<MISSING>'")).select("feature", F.col("monotonic").alias("ordered"))
+    return table_.groupBy("feature").agg(
+        F.sum("count").alias("rows"), F.sum("bad").alias("bad"), F.count("*").between(2, 11).alias("few_bins")
+    ).join(monotone, "feature").select("feature", "rows", "bad", "few_bins", F.col("ordered").alias("monotonic"))
+
+
+@query("h1_monotone_bins", _fitted_sql(NUMERIC_FEATURES))
 def h1_fit(spark: SparkSession, folder: str) -> DataFrame:
     rows = stored(spark, folder, "y", *NUMERIC_FEATURES)
-    fitted = bins.Binning(bins.fit_numeric(rows, "y", NUMERIC_FEATURES))
-    return rounded(bins.bin_table(spark, fitted))
+    return _fitted_facts(spark, bins.Binning(bins.fit_numeric(rows, "y", NUMERIC_FEATURES)))
 
 
 PART_LABEL = "CASE WHEN p_size > 25 THEN 1 ELSE 0 END"
@@ -361,10 +379,9 @@ def h2(spark: SparkSession, folder: str) -> DataFrame:
     return bins.categorical_groups(bins.folded_categories(counts)).drop("place")
 
 
-@query("h3_fit_binning")
+@query("h3_fit_binning", _fitted_sql(FEATURES))
 def h3(spark: SparkSession, folder: str) -> DataFrame:
-    fitted = bins.fit_binning(stored(spark, folder, "y", *FEATURES), "y", FEATURES)
-    return rounded(bins.bin_table(spark, fitted)).withColumn("version", F.lit(fitted.version))
+    return _fitted_facts(spark, bins.fit_binning(stored(spark, folder, "y", *FEATURES), "y", FEATURES))
 
 
 AMOUNT_EDGES = (100000.0, 250000.0, 400000.0)
