@@ -26,6 +26,7 @@ from lendwright.session import materialize
 WINDOW = 10
 #: Terms that are sent to every task, 8 bytes each; a larger benchmark vocabulary is looked up by a join.
 MAX_SENT_TERMS = 2_000_000
+ROW_CLASSES = 1 << 16
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +114,10 @@ def phrases(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
     """(row key, item, first, end): word spans of a document in which windows of an item occur, joined where they overlap."""
     texts = items.select("item", "terms").dropDuplicates(["item"])
     entries = index.where("term IS NOT NULL")
+    # Written, so that its size is known before the join: few anchors are sent to the postings, many meet them by term.
+    asked = materialize(anchors(texts, index, window), "anchors")
     proposed = (
-        anchors(texts, index, window)
-        .join(entries, "term")
+        entries.join(asked, "term")
         .select(K1, K2, "item", F.explode("places").alias("place"), "offset")
         .select(K1, K2, "item", (F.col("place") - F.col("offset")).alias("shift"))
         .distinct()
@@ -130,8 +132,12 @@ def phrases(items: DataFrame, index: DataFrame, window: int = WINDOW) -> DataFra
     shifted = F.transform(
         "offsets", lambda o: F.array_intersect(F.col("shifts"), F.transform("places", lambda p: p - o))
     )
+    # Most rows have no proposal. At most ROW_CLASSES numbers are sent to drop their postings before any shuffle.
+    row_class = F.pmod(F.col(K1), F.lit(ROW_CLASSES)).cast("int").alias("__llm_class")
+    classes = F.broadcast(proposed.select(row_class).distinct())
     held = (
-        entries.join(proposed.select(K1, K2).distinct(), [K1, K2], "left_semi")
+        entries.withColumn("__llm_class", row_class)
+        .join(classes, "__llm_class", "left_semi")
         .join(proposed, [K1, K2])
         .join(offsets, ["item", "term"])
         .select(K1, K2, "item", "size", F.explode(F.arrays_zip("offsets", shifted.alias("held"))).alias("x"))
