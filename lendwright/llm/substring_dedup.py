@@ -37,10 +37,11 @@ PREFIX = 7
 FILTER_BITS = 28
 #: Bytes of shuffled suffixes that one group should hold.
 GROUP_BYTES = 24_000_000
-SEGMENTS = 256
+SEGMENT_BITS = 8
 
 _COUNT = np.dtype([("prefix", "<u8"), ("windows", "<u4"), ("docs", "u1")])
 _LEAF = np.dtype([("prefix", "<u8"), ("rest", "<u8"), ("doc", "<u4"), ("start", "<u4")])
+_REPEAT = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i4")])
 _DOC = np.dtype([("id", "<i8"), ("k1", "<i8"), ("k2", "<i8")])
 
 
@@ -110,17 +111,21 @@ def _shared_prefixes(table: pa.Table) -> pa.Table:
     return pa.table({"prefix": found["prefix"][new][shared].view(np.int64), "windows": windows[shared]})
 
 
-def _segment(table: pa.Table) -> pa.Table:
+def _segment(filter_bits: int) -> Callable:
     """The part of the bit filter that a range of prefixes marks."""
-    size = 1 << (FILTER_BITS - int(math.log2(SEGMENTS)))
-    prefix = table.column("prefix").to_numpy().view(np.uint64)
-    marks = np.zeros(size, bool)
-    marks[((prefix >> np.uint64(64 - FILTER_BITS)) & np.uint64(size - 1)).astype(np.int64)] = True
-    segment = int(prefix[0] >> np.uint64(64 - int(math.log2(SEGMENTS))))
-    return pa.table({"segment": pa.array([segment], pa.int32()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()])})
 
+    def run(table: pa.Table) -> pa.Table:
+        size = 1 << (filter_bits - SEGMENT_BITS)
+        prefix = table.column("prefix").to_numpy().view(np.uint64)
+        marks = np.zeros(size, bool)
+        marks[((prefix >> np.uint64(64 - filter_bits)) & np.uint64(size - 1)).astype(np.int64)] = True
+        segment = int(prefix[0] >> np.uint64(64 - SEGMENT_BITS))
+        return pa.table({"segment": pa.array([segment], pa.int32()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()])})
 
-def _send_leaves(window: int, bits: int, marks, heavy) -> Callable:
+    return run
+
+
+def _send_leaves(window: int, bits: int, filter_bits: int, marks, heavy) -> Callable:
     """Windows that pass the filter, to the group of their prefix; repeats inside a piece, to any group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +135,7 @@ def _send_leaves(window: int, bits: int, marks, heavy) -> Callable:
                 ids, k1, k2 = (np.asarray(piece.column(c)) for c in (0, 2, 3))
                 found = words(piece.column(1))
                 start, doc, prefix, rest = _anchored(found, window)
-                slot = (prefix >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                slot = (prefix >> np.uint64(64 - filter_bits)).astype(np.int64)
                 passed = (filter_[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
                 leaf = np.zeros(int(passed.sum()), _LEAF)
                 leaf["prefix"], leaf["rest"], leaf["doc"] = prefix[passed], rest[passed], doc[passed]
@@ -153,17 +158,17 @@ def _send_leaves(window: int, bits: int, marks, heavy) -> Callable:
                         docs, chosen["doc"] = np.unique(chosen["doc"], return_inverse=True)
                         table = np.zeros(len(docs), _DOC)
                         table["id"], table["k1"], table["k2"] = ids[docs], k1[docs], k2[docs]
-                        rows.append((part, kind, chosen.tobytes(), table.tobytes()))
+                        rows.append((part, kind, bits, chosen.tobytes(), table.tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                    names=["part", "kind", "leaves", "docs"],
+                    [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                    names=["part", "kind", "bits", "leaves", "docs"],
                 )
 
     return run
 
 
 def _deep_leaves(table: pa.Table) -> pa.Table:
-    """Sort the suffixes of a group and return the leaves under internal nodes of full depth, by document."""
+    """Sort the suffixes of a group; the leaves under internal nodes of full depth go to the groups of their documents."""
     leaves, docs, done, base = [], [], [], 0
     for kind, leaf, doc in zip(*(table.column(c).to_pylist() for c in ("kind", "leaves", "docs"))):
         own = np.frombuffer(leaf, _LEAF).copy()
@@ -182,15 +187,23 @@ def _deep_leaves(table: pa.Table) -> pa.Table:
     node = np.cumsum(new) - 1
     later = own > own[new][node] if len(open_) else new
     gone = np.concatenate([open_[later], leaf[settled]])
-    keys = doc[gone["doc"]]
-    order = np.lexsort((keys["k2"], keys["k1"]))
-    keys, start = keys[order], gone["start"][order].astype(np.int32)
-    new = np.flatnonzero(np.r_[True, (keys["k1"][1:] != keys["k1"][:-1]) | (keys["k2"][1:] != keys["k2"][:-1])]) if len(keys) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(start)].astype(np.int32)), pa.array(start))
-    return pa.table({K1: keys["k1"][new], K2: keys["k2"][new], "starts": lists})
+    found = np.zeros(len(gone), _REPEAT)
+    found["k1"], found["k2"], found["start"] = doc["k1"][gone["doc"]], doc["k2"][gone["doc"]], gone["start"]
+    found = found[np.lexsort((found["start"], found["k2"], found["k1"]))]
+    rows = list(_batched(mix(found["k1"].view(np.uint64)), found, int(table.column("bits")[0].as_py())))
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """All window starts of the documents of a group."""
+    found = np.frombuffer(b"".join(table.column("data").to_pylist()), _REPEAT)
+    found = found[np.lexsort((found["start"], found["k2"], found["k1"]))]
+    new = np.flatnonzero(np.r_[True, (found["k1"][1:] != found["k1"][:-1]) | (found["k2"][1:] != found["k2"][:-1])])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(found)].astype(np.int32)), pa.array(found["start"]))
+    return pa.table({K1: found["k1"][new], K2: found["k2"][new], "__llm_starts": lists})
 
 
-def repeats(docs: DataFrame, window: int) -> DataFrame:
+def repeats(docs: DataFrame, window: int, filter_bits: int = FILTER_BITS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(row key, starts): the first words of all windows that also start in a document with a smaller id.
 
     A window may stand in the list more than once if the row itself repeats.
@@ -198,27 +211,27 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_hashes()).where("doc_id IS NOT NULL")
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A sampled prefix takes 13 bytes for about 20 bytes of text, a leaf 24 bytes for about 6.
-    count_bits = max(0, math.ceil(math.log2(max(1, size / GROUP_BYTES))))
+    # A prefix takes 13 bytes for about 25 bytes of text; a leaf 24 bytes for about 6, if all passed the filter.
+    count_bits = max(0, math.ceil(math.log2(max(1, size / group_bytes))))
     leaf_bits = count_bits + 2
     counted = given.mapInArrow(_count_prefixes(window, count_bits), "part int, data binary")
     shared = materialize(counted.groupBy("part").applyInArrow(_shared_prefixes, "prefix long, windows long"), "prefixes")
-    segment = F.shiftrightunsigned("prefix", 64 - int(math.log2(SEGMENTS)))
-    parts = shared.groupBy(segment).applyInArrow(_segment, "segment int, marks binary").collect()
-    marks = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    width = len(marks) // SEGMENTS
+    segment = F.shiftrightunsigned("prefix", 64 - SEGMENT_BITS)
+    parts = shared.groupBy(segment).applyInArrow(_segment(filter_bits), "segment int, marks binary").collect()
+    marks = np.zeros(1 << (filter_bits - 3), np.uint8)
+    width = len(marks) >> SEGMENT_BITS
     for row in parts:
         marks[row.segment * width : (row.segment + 1) * width] = np.frombuffer(bytes(row.marks), np.uint8)
-    most = GROUP_BYTES // _LEAF.itemsize
+    most = group_bytes // _LEAF.itemsize
     heavy = shared.where(F.col("windows") > most).select("prefix").collect()
     extended = np.sort(np.array([r.prefix for r in heavy], np.int64).view(np.uint64))
     context = spark.sparkContext
     sent = given.mapInArrow(
-        _send_leaves(window, leaf_bits, context.broadcast(marks), context.broadcast(extended)),
-        "part int, kind int, leaves binary, docs binary",
+        _send_leaves(window, leaf_bits, filter_bits, context.broadcast(marks), context.broadcast(extended)),
+        "part int, kind int, bits int, leaves binary, docs binary",
     )
-    found = sent.groupBy("part").applyInArrow(_deep_leaves, f"{K1} long, {K2} long, starts array<int>")
-    return found.groupBy(K1, K2).agg(F.flatten(F.collect_list("starts")).alias("__llm_starts"))
+    found = sent.groupBy("part").applyInArrow(_deep_leaves, "part int, data binary")
+    return found.groupBy("part").applyInArrow(_by_document, f"{K1} long, {K2} long, __llm_starts array<int>")
 
 
 def _cut(window: int) -> Callable:
@@ -256,14 +269,14 @@ def _cut(window: int) -> Callable:
     return run
 
 
-def drop_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 13, **settings: int) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, the kept words joined by blanks, and the maximal repeats as [first, end) word positions."""
-    starts = repeats(docs.select("doc_id", "text"), window)
+    starts = repeats(docs.select("doc_id", "text"), window, **settings)
     keyed = docs.select("doc_id", "text", *row_hashes())
     rows = keyed.join(starts, [K1, K2], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__llm_starts")
     return rows.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, repeats array<array<int>>")
 
 
-def report(docs: DataFrame, window: int = 13) -> DataFrame:
-    cut = drop_repeats(docs, window)
+def report(docs: DataFrame, window: int = 13, **settings: int) -> DataFrame:
+    cut = drop_repeats(docs, window, **settings)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

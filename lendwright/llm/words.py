@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
 
 #: Odd multiplier of the rolling sum and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
