@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lendwright.functions import fixed_values as fixed
 from lendwright.functions.expressions import column, name_matches
@@ -243,6 +244,32 @@ def join_plan_lineage(
     return evidence
 
 
+def join_evidence(before: DataFrame, after: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """Label distribution before and after a join, and by how much the join multiplied the rows.
+
+    One row per target and value; a value that a join lost or made keeps its row with a count of 0.
+    """
+    first = target_distribution(before, targets).withColumnRenamed("n", "rows_before")
+    last = target_distribution(after, targets).withColumnRenamed("n", "rows_after")
+    whole = Window.partitionBy("feature")
+    counted = first.join(last, ["feature", "value"], "full").select(
+        F.col("feature").alias("target"),
+        "value",
+        F.coalesce("rows_before", F.lit(0)).alias("rows_before"),
+        F.coalesce("rows_after", F.lit(0)).alias("rows_after"),
+        (F.sum("rows_after").over(whole) / F.greatest(F.sum("rows_before").over(whole), F.lit(1))).alias("inflation_ratio"),
+    )
+    return counted
+
+
+def merged_dictionary(dictionaries: Sequence[DataFrame]) -> DataFrame:
+    """One entry per field over several parsed dictionaries; the first dictionary that names a field describes it."""
+    parts = [d.withColumn("__turn", F.lit(k)) for k, d in enumerate(dictionaries)]
+    every = reduce(DataFrame.unionByName, parts)
+    entry = F.struct("description", "role", "missing_codes")
+    return every.groupBy("field").agg(F.min_by(entry, "__turn").alias("e")).select("field", "e.*")
+
+
 def semi_select(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in the key set."""
     return df.join(keys.select(*on).distinct(), list(on), "left_semi")

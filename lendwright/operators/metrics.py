@@ -19,7 +19,9 @@ from lendwright.operators.order_statistics import (
     quantile_grid,
     run_splits,
     running_totals,
+    unpivot_values,
 )
+from lendwright.session import materialize
 
 TOLERANCE = 1e-12
 
@@ -122,6 +124,8 @@ def lift_table(
         hash_order(column(row_id)).alias("__d"),
         column(row_id).cast("string").alias("__id"),
     )
+    # Written once: every pass below reads these columns instead of the caller's plan.
+    rows = materialize(rows, "lift-rows")
     if splits is None:
         splits = run_splits(rows, "__p")
     prefix = F.substring("__d", 1, 4)
@@ -129,7 +133,7 @@ def lift_table(
         rows.groupBy(*keys, "__p").agg(F.count("*").alias("n"), F.sum("__y").cast("long").alias("bad")),
         keys, "__p", ["n"], descending=True, splits=splits,
     ).withColumn("first", F.col("upto_n") - F.col("n"))
-    whole, cut = _place(points, bins)
+    whole, cut = _place(materialize(points, "lift-points"), bins)
     # At most bins - 1 scores per key are cut, so this side stays tiny; keys are report dimensions.
     tied = _matching(rows.withColumn("__x", prefix), cut, [*keys, "__p"])
     run = Window.partitionBy(*keys, "__p").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +190,7 @@ def _matching(rows: DataFrame, cut: DataFrame, on: Sequence[str]) -> DataFrame:
     for i, c in enumerate(on):
         equal = F.col(c).eqNullSafe(F.col(f"__c{i}"))
         same = equal if i == 0 else same & equal
-    return rows.join(F.broadcast(renamed), same).drop(*[f"__c{i}" for i in range(len(on))])
+    return rows.join(renamed, same).drop(*[f"__c{i}" for i in range(len(on))])
 
 
 def calibration_table(
@@ -225,50 +229,43 @@ def psi(
     """
     number = column(value).cast("double")
     finite = F.coalesce(F.abs(number) < F.lit(math.inf), F.lit(False))
+    references = sorted({reference for reference, _ in pairs})
     names = sorted({name for pair in pairs for name in pair})
     sides = df.filter(column(group).isin(*names)).select(column(group).alias("g"), number.alias("v"), finite.alias("ok"))
-    result = None
-    for reference, current in pairs:
-        deciles = exact_quantiles(
-            sides.filter((F.col("g") == reference) & F.col("ok")), ["v"], quantile_grid(bins)
-        )["v"]
-        edges = psi_edges(deciles) if deciles else []
-        counted = (
-            sides.filter(F.col("g").isin(reference, current))
-            .groupBy(left_closed_index(F.col("v"), edges).alias("bin"))
-            .agg(
-                F.count_if(F.col("g") == reference).alias("r"),
-                F.count_if(F.col("g") == current).alias("c"),
-                F.bool_and("ok").alias("ok"),
-            )
-        )
-        # Every bin of the reference grid counts, also the ones nobody falls into.
-        whole = counted.agg(
-            F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.bool_and("ok").alias("ok"),
-            F.collect_list(F.struct("r", "c")).alias("bins"),
-        )
-        terms = whole.select(
-            "nr", "nc", "ok",
-            F.aggregate(
-                "bins",
-                F.lit(0.0),
-                lambda total, x: total + _psi_term(x["r"], x["c"], F.col("nr"), F.col("nc")),
-            ).alias("psi"),
-        )
-        good = F.coalesce(F.col("ok"), F.lit(False)) & (F.col("nr") > 0) & (F.col("nc") > 0)
-        row = terms.select(
-            F.lit(reference).alias("reference"),
-            F.lit(current).alias("current"),
-            F.when(good, F.col("psi")).alias("psi"),
-        )
-        result = row if result is None else result.unionByName(row)
-    return result
+    # Deciles of all references in one search, counts of all pairs in one aggregation.
+    apart = sides.select(*[F.when((F.col("g") == name) & F.col("ok"), F.col("v")).alias(f"r{i}") for i, name in enumerate(references)])
+    deciles = exact_quantiles(apart, apart.columns, quantile_grid(bins))
+    edges = {name: psi_edges(deciles[f"r{i}"]) if deciles[f"r{i}"] else [] for i, name in enumerate(references)}
+    entries = [
+        (str(k), [F.when(F.col("g").isin(*pair), left_closed_index(F.col("v"), edges[pair[0]])), F.col("g").isin(*pair)])
+        for k, pair in enumerate(pairs)
+    ]
+    counted = (
+        sides.select("g", "ok", unpivot_values(entries, ["bin", "member"]))
+        .filter("member")
+        .groupBy("feature", "bin", "g")
+        .agg(F.count("*").alias("n"), F.bool_and("ok").alias("ok"))
+        .collect()
+    )
+    # At most (bins + 1) x 2 rows per pair are left.
+    result = []
+    for k, (reference, current) in enumerate(pairs):
+        cells = [r for r in counted if r["feature"] == str(k)]
+        sizes = {name: sum(r["n"] for r in cells if r["g"] == name) for name in (reference, current)}
+        if not all(r["ok"] for r in cells) or not all(sizes.values()):
+            result.append((reference, current, None))
+            continue
+        shares = [
+            [sum(r["n"] for r in cells if r["bin"] == i and r["g"] == name) / sizes[name] for name in (reference, current)]
+            for i in sorted({r["bin"] for r in cells})
+        ]
+        result.append((reference, current, float(sum(_psi_term(*pair) for pair in shares))))
+    return df.sparkSession.createDataFrame(result, "reference string, current string, psi double")
 
 
-def _psi_term(r: Column, c: Column, nr: Column, nc: Column) -> Column:
-    ref = F.greatest(r / F.greatest(nr, F.lit(1)), F.lit(1e-6))
-    cur = F.greatest(c / F.greatest(nc, F.lit(1)), F.lit(1e-6))
-    return (cur - ref) * F.log(cur / ref)
+def _psi_term(reference: float, current: float) -> float:
+    r, c = max(reference, 1e-6), max(current, 1e-6)
+    return (c - r) * math.log(c / r)
 
 
 def score_monotonicity(lift: DataFrame, keys: Sequence[str] = (), rate: str = "bad_rate") -> DataFrame:

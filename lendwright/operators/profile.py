@@ -93,6 +93,19 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *, appro
     )
 
 
+def described_profile(profile: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """A column profile with description, role and missing codes of a parsed data dictionary; other columns have none."""
+    entries = dictionary.select(F.col("field").alias("__field"), "description", "role", "missing_codes")
+    found = profile.join(entries, F.col("name") == F.col("__field"), "left").drop("__field")
+    return found.withColumns(
+        {
+            "description": F.coalesce("description", F.lit("")),
+            "role": F.coalesce("role", F.lit("")),
+            "missing_codes": F.coalesce("missing_codes", F.array().cast("array<string>")),
+        }
+    )
+
+
 def _kind(data_type: T.DataType) -> str:
     if isinstance(data_type, T.BooleanType):
         return "boolean"

@@ -194,6 +194,22 @@ def b2_approximate(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.column_profile(loan(spark, folder), approximate=True))
 
 
+@query(
+    "b2_described_profile",
+    f"""WITH facts AS ({_profile_sql('customer', tuple(zip(COLUMNS['customer'], TYPED['customer'])))})
+       SELECT name, unique_count, CASE name WHEN 'c_acctbal' THEN 'account balance' ELSE '' END AS description,
+         CASE name WHEN 'c_custkey' THEN 'key' ELSE '' END AS role,
+         CASE name WHEN 'c_acctbal' THEN '-999;-1' ELSE '' END AS codes FROM facts""",
+)
+def b2_described(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile of a table beside what two data dictionaries say about its columns."""
+    first = spark.createDataFrame([("c_acctbal", "account balance", "-999;-1")], "field string, meaning string, missing string")
+    second = spark.createDataFrame([("c_custkey", "key"), ("c_acctbal", "ignored")], "field string, role string")
+    dictionary = joins.merged_dictionary([files.parse_dictionary(first), files.parse_dictionary(second)])
+    found = profile.described_profile(profile.column_profile(table(spark, folder, "customer")), dictionary)
+    return found.select("name", "unique_count", "description", "role", F.array_join("missing_codes", ";").alias("codes"))
+
+
 @query(
     "b2_default_keys",
     LOAN
@@ -518,6 +534,19 @@ def e2(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(result)
 
 
+@query(
+    "e2_join_evidence",
+    """WITH joined AS (SELECT o_orderstatus AS value FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey),
+       b AS (SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1), a AS (SELECT value, count(*) AS n FROM joined GROUP BY 1)
+       SELECT 'o_orderstatus' AS target, b.value, b.n AS rows_before, a.n AS rows_after,
+         round((SELECT count(*) FROM joined) / (SELECT count(*) FROM orders), 8) AS inflation_ratio FROM b JOIN a USING (value)""",
+)
+def e2_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rounded(joins.join_evidence(orders, joined, ["o_orderstatus"]))
+
+
 @query(
     "e3_guarded_join",
     """SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS amount, o_orderpriority AS priority,

@@ -263,7 +263,7 @@ def k5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "k6_model_round_trip",
-    """SELECT unnest(['regularized_logistic', 'scorecard']) AS model, 0.0 AS largest_difference, 9 AS fields, 2 AS categorical
+    """SELECT unnest(['regularized_logistic', 'scorecard']) AS model, 0.0::DOUBLE AS largest_difference, 9 AS fields, 2 AS categorical
        FROM (SELECT count(*) FROM orders)""",
 )
 def k6(spark: SparkSession, folder: str) -> DataFrame:
