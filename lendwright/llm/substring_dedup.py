@@ -126,7 +126,7 @@ def _segment(filter_bits: int) -> Callable:
 
 
 def _send_leaves(window: int, bits: int, filter_bits: int, marks, heavy) -> Callable:
-    """Windows that pass the filter, to the group of their prefix; repeats inside a piece, to any group."""
+    """Windows that pass the filter, to the group of their prefix; repeats inside a piece, to the group of their row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, extended = marks.value, heavy.value
@@ -152,8 +152,10 @@ def _send_leaves(window: int, bits: int, filter_bits: int, marks, heavy) -> Call
                 if len(extended):
                     at = np.minimum(np.searchsorted(extended, key), len(extended) - 1)
                     key = np.where(extended[at] == key, mix(key ^ leaf["rest"]), key)
-                for kind, choice in ((0, ~later), (1, later)):
-                    for part, data in _batched(key[choice], leaf[choice], bits):
+                # What is settled needs no tree: dealt by row, a passage of many documents does not meet in one group.
+                row_key = mix(k1.view(np.uint64)) if len(k1) else k1.view(np.uint64)
+                for kind, choice, dealt in ((0, ~later, key), (1, later, row_key[leaf["doc"]])):
+                    for part, data in _batched(dealt[choice], leaf[choice], bits):
                         chosen = np.frombuffer(data, _LEAF).copy()
                         docs, chosen["doc"] = np.unique(chosen["doc"], return_inverse=True)
                         table = np.zeros(len(docs), _DOC)
