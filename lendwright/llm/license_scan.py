@@ -4,6 +4,8 @@ A template of ``n`` shingles (five words each; a template of fewer words is one
 shingles that begin every max(1, n // STEPS) words. A window and a template that agree in one of ``BANDS`` MinHash bands
 are a candidate. Around a candidate the exact containment (the share of the template's shingles that stand in n
 consecutive ones of the text) is taken over all window positions up to the next grid points; ``THRESHOLD`` decides.
+A text of fewer than n shingles is one window: the containment of all its shingles is taken exactly, without bands. The
+query's SQL leaves such texts out and so differs there.
 
 The settings guarantee retrieval: a passage with containment c has a grid window at most half a step away, which shares
 at least s = c - 1/(2 STEPS) of the shingles, so the Jaccard similarity is at least s / (2 - s) and one of the bands (of one
@@ -155,9 +157,17 @@ def _scan(compiled: list[Family], threshold: float) -> Callable:
                             share, where = _best(shingles, low, high, family.shingles[k], family.n)
                             if share >= threshold and share > best.get((d, k), (0.0, 0))[0]:
                                 best[d, k] = share, where
+                        enough = size - 1 + threshold * min(map(len, family.shingles))
+                        for d in np.flatnonzero((counts >= max(size, enough - 1)) & (counts < span)).tolist():
+                            own = np.unique(shingles[first[d] : first[d] + counts[d] - size + 1])
+                            for k, template in enumerate(family.shingles):
+                                share = len(np.intersect1d(own, template, assume_unique=True)) / len(template)
+                                if share >= threshold and share > 0:
+                                    best[d, k] = share, int(first[d])
                         for (d, k), (share, where) in best.items():
                             begin = int(where - first[d])
-                            matches[d].append({"license": family.names[k], "containment": share, "first": begin, "end": begin + span})
+                            end = min(begin + span, int(counts[d]))
+                            matches[d].append({"license": family.names[k], "containment": share, "first": begin, "end": end})
                 rows = [sorted(m, key=lambda x: x["license"]) for m in matches]
                 kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("first", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
