@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendwright.llm import (
     benchmark_index,
@@ -10,6 +10,7 @@ from lendwright.llm import (
     language_crf,
     license_scan,
     line_dedup,
+    merkle_manifest,
     order_minhash,
     piece_transducer,
     quality,
@@ -182,3 +183,75 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_sentencepiece")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return piece_transducer.encode_texts(table(spark, folder, "documents"), piece_transducer.read_model(PIECE_MODEL))
+
+
+def _climb_joins(levels: int, tree: str, key: str, own: str, rank: str) -> str:
+    return " ".join(
+        f"JOIN {tree}{k + 1} {tree}k{k} ON {tree}k{k}.{key} IS NOT DISTINCT FROM {own} AND {tree}k{k}.r = {rank} // {16 ** (k + 1)}" for k in range(levels)
+    )
+
+
+def _around(tree: str, k: int, rank: str) -> tuple[str, str]:
+    place = f"(({rank} // {16**k}) % 16)"
+    return f"array_to_string({tree}k{k}.kids[1:{place}], '')", f"array_to_string({tree}k{k}.kids[{place} + 2:], '')"
+
+
+def _climb_proof(levels: int, tree: str, rank: str) -> str:
+    return " || ".join(" || ".join(_around(tree, k, rank)) for k in range(levels))
+
+
+def _climb_fold(levels: int, tree: str, rank: str, n: str, leaf: str) -> str:
+    """A level of one node is not hashed."""
+    node = leaf
+    for k in range(levels):
+        before, after = _around(tree, k, rank)
+        node = f"CASE WHEN {n} <= {16**k} THEN {node} ELSE sha256({before} || {node} || {after}) END"
+    return node
+
+
+def manifest_sql(levels: int = 5) -> str:
+    """The tree from its definition, one pair of steps per level; ``levels`` are enough for 16^levels nodes."""
+
+    def tree(nodes: str, key: str, prefix: str) -> str:
+        steps = [f"{prefix}0 AS (SELECT {key}, r, h, count(*) OVER (PARTITION BY {key}) AS n FROM {nodes})"]
+        for k in range(levels):
+            steps.append(
+                f"{prefix}{k + 1} AS (SELECT {key}, r // 16 AS r, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY r))"
+                f" ELSE any_value(h) END AS h, (any_value(n) + 15) // 16 AS n, list(h ORDER BY r) AS kids FROM {prefix}{k} GROUP BY {key}, r // 16)"
+            )
+        return ",\n".join(steps)
+
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    own = " || ".join(field.format(c) for c in merkle_manifest.FIELDS)
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    other = " || ".join(field.format(low if c == "text" else c) for c in merkle_manifest.FIELDS)
+    crc = (
+        "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: "
+        "list_reduce(range(8), lambda d, e: xor(d >> 1, 3988292384 * (d & 1)), xor(a, b)), 4294967295::BIGINT), 4294967295)"
+    )
+    return f"""
+WITH leaf AS (
+  SELECT doc_id, source, sha256({own}) AS h, CASE WHEN {crc} % 5 = 0 THEN sha256({other}) ELSE sha256({own}) END AS shown FROM documents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS r FROM leaf),
+{tree("ranked", "source", "s")},
+subroot AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, 0 AS whole FROM s{levels}),
+{tree("subroot", "whole", "t")},
+below AS (
+  SELECT d.doc_id, d.source, d.h AS leaf, d.shown, d.r, count(*) OVER (PARTITION BY d.source) AS n0 FROM ranked d),
+one AS (
+  SELECT b.doc_id, b.source, b.leaf, {_climb_proof(levels, "s", "b.r")} AS proof, {_climb_fold(levels, "s", "b.r", "b.n0", "b.shown")} AS folded
+  FROM below b {_climb_joins(levels, "s", "source", "b.source", "b.r")}),
+two AS (
+  SELECT o.*, u.h AS subroot, u.r AS ur, (SELECT count(*) FROM subroot) AS n0 FROM one o JOIN subroot u ON u.source IS NOT DISTINCT FROM o.source),
+three AS (
+  SELECT w.doc_id, w.leaf, w.subroot, w.proof || {_climb_proof(levels, "t", "w.ur")} AS proof,
+         {_climb_fold(levels, "t", "w.ur", "w.n0", "w.folded")} AS folded
+  FROM two w {_climb_joins(levels, "t", "whole", "0", "w.ur")})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM three, (SELECT h AS root FROM t{levels})"""
+
+
+@query("op13_merkle_manifest", manifest_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle_manifest.report(table(spark, folder, "documents"), tampered)
