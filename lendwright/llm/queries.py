@@ -12,8 +12,10 @@ from lendwright.llm import (
     line_dedup,
     merkle_manifest,
     order_minhash,
+    phrase_automata,
     piece_transducer,
     quality,
+    signature_trees,
     simhash_dedup,
     substring_dedup,
 )
@@ -255,3 +257,60 @@ FROM three, (SELECT h AS root FROM t{levels})"""
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle_manifest.report(table(spark, folder, "documents"), tampered)
+
+
+OP12_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w
+  FROM documents),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY lang),
+f AS (
+  SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS n FROM (
+    SELECT lang, m, unnest(list_transform(generate_series(1, len(w) - m + 1), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m) GROUP BY lang, m, phrase),
+candidate AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND n >= 100),
+inside AS (
+  SELECT lang, part, max(a) AS longest FROM (
+    SELECT lang, a, unnest(flatten(list_transform(generate_series(2, m - 1), lambda k:
+           list_transform(generate_series(1, m - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS part
+    FROM candidate WHERE m > 2) GROUP BY lang, part),
+kept AS (
+  SELECT c.* FROM candidate c LEFT JOIN inside i ON i.lang = c.lang AND i.part = c.phrase WHERE i.longest IS NULL OR 100 * i.longest < 100 * c.a),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS s
+  FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM kept)),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, k, x.n AS l, y.n AS r, t.n, (1000 * c.a * t.n) // (x.n * y.n) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = p JOIN f y ON y.lang = c.lang AND y.phrase = s JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_automata.report(table(spark, folder, "documents"))
+
+
+OP11_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - least(4, len(w)) + 1),
+                                                lambda i: array_to_string(w[i:i + least(4, len(w)) - 1], ' '))) AS gram
+  FROM split WHERE len(w) > 0),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingle a JOIN shingle b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM met JOIN sized s ON s.doc_id = x JOIN sized t ON t.doc_id = y WHERE 100 * common >= 85 * (s.n + t.n - common)),
+reach AS (SELECT doc_id, doc_id AS r FROM split UNION SELECT reach.doc_id, y FROM reach JOIN link ON x = r)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sized USING (doc_id) GROUP BY doc_id"""
+
+
+@query("op11_ngram_jaccard", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return signature_trees.report(table(spark, folder, "documents"))
