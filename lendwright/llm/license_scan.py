@@ -4,8 +4,7 @@ A template of ``n`` shingles (five words each; a template of fewer words is one
 shingles that begin every max(1, n // STEPS) words. A window and a template that agree in one of ``BANDS`` MinHash bands
 are a candidate. Around a candidate the exact containment (the share of the template's shingles that stand in n
 consecutive ones of the text) is taken over all window positions up to the next grid points; ``THRESHOLD`` decides.
-A text of fewer than n shingles is one window: the containment of all its shingles is taken exactly, without bands. The
-query's SQL leaves such texts out and so differs there.
+A text of fewer than n shingles is one window: the containment of all its shingles is taken exactly, without bands.
 
 The settings guarantee retrieval: a passage with containment c has a grid window at most half a step away, which shares
 at least s = c - 1/(2 STEPS) of the shingles, so the Jaccard similarity is at least s / (2 - s) and one of the bands (of one

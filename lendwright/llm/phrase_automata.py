@@ -286,13 +286,18 @@ def scored(paths: DataFrame, absorb_percent: int = ABSORB_PERCENT) -> DataFrame:
 
 
 def collocations(
-    docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, absorb_percent: int = ABSORB_PERCENT, top: int = TOP
+    docs: DataFrame,
+    max_words: int = MAX_WORDS,
+    min_count: int = MIN_COUNT,
+    absorb_percent: int = ABSORB_PERCENT,
+    top: int = TOP,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """The ``top`` candidates of every language by score, count and phrase.
 
     They are chosen among hashed shares of a language first, so that no task orders a whole language.
     """
-    found = scored(path_weights(docs, max_words, min_count), absorb_percent)
+    found = scored(path_weights(docs, max_words, min_count, shard_bytes), absorb_percent)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salted = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)

@@ -158,9 +158,9 @@ wanted AS (SELECT DISTINCT name, size, n, unnest({grams}) AS gram FROM sized),
 total AS (SELECT name, count(*) AS grams FROM wanted GROUP BY name),
 split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {lower}) AS w FROM documents),
 shingles AS (
-  SELECT doc_id, len(w) AS n_words, size, unnest(generate_series(1, len(w) - size + 1)) AS pos, unnest({grams}) AS gram
+  SELECT doc_id, size, unnest(generate_series(1, len(w) - size + 1)) AS pos, unnest({grams}) AS gram
   FROM split, (SELECT DISTINCT size FROM sized) WHERE len(w) >= size),
-hits AS (SELECT doc_id, name, n, pos, gram FROM shingles JOIN wanted USING (size, gram) WHERE n_words >= n + size - 1),
+hits AS (SELECT doc_id, name, n, pos, gram FROM shingles JOIN wanted USING (size, gram)),
 shares AS (
   SELECT a.doc_id, a.name, a.pos, count(DISTINCT b.gram) / any_value(grams) AS share
   FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.name = b.name AND b.pos BETWEEN a.pos AND a.pos + a.n - 1

@@ -18,7 +18,7 @@ one class; rows with a NULL id come last when one is kept; repeated rows are one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +61,20 @@ def shingle_sets(found: Words) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(own, np.arange(len(counts) + 1))
 
 
+def fingerprints(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of every set: a bit is set if it is set in over half of the shingles' hashes. An empty set gives zero."""
+    size = np.diff(first)
+    ones = np.zeros((len(size), 64), np.int64)
+    owner = np.repeat(np.arange(len(size)), size)
+    for begin in range(0, len(value), 1 << 15):
+        part = value[begin : begin + (1 << 15)]
+        own = owner[begin : begin + (1 << 15)]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        ones[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch, "text"):
@@ -81,21 +95,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.r_[0, np.cumsum(np.where(size > 0, BANDS, 0))].astype(np.int32)), pa.array(bands.reshape(-1).view(np.int64))
             )
             names = pa.array([x.tobytes() for x in name], pa.binary())
-            columns = [piece.column(0), piece.column(2), piece.column(3), names, pa.array(size.astype(np.int32)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", K1, K2, "class", "size", "bands"])
+            bits = pa.array(fingerprints(value, first).view(np.int64))
+            columns = [piece.column(0), piece.column(2), piece.column(3), names, pa.array(size.astype(np.int32)), lists, bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", K1, K2, "class", "size", "bands", "fp"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row key, class, size, bands) of every row."""
+    """(doc_id, row key, class, size, bands, fp) of every row; ``fp`` is the SimHash of the set."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_hashes())
-    return given.mapInArrow(_signatures, f"doc_id long, {K1} long, {K2} long, class binary, size int, bands array<long>")
+    return given.mapInArrow(_signatures, f"doc_id long, {K1} long, {K2} long, class binary, size int, bands array<long>, fp long")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose texts are near copies."""
     share, of = LEAST
     for batch in batches:
-        for part in pieces(batch, "text_a"):
+        for part in pieces(batch, "text_a", "text_b"):
             sets = [shingle_sets(words(part.column(c), lower=True)) for c in (2, 3)]
             near = np.zeros(len(part), bool)
             for row in range(len(part)):
@@ -117,8 +132,11 @@ def _sizes_allow(a: Column, b: Column) -> Column:
     return F.least(a, b).cast("long") * LEAST[1] >= F.greatest(a, b).cast("long") * LEAST[0]
 
 
-def links(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that join all near copies to components."""
+def links(found: DataFrame, docs: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of classes that join all near copies to components.
+
+    ``proposed`` holds pairs (a < b) of another kind of candidates, which are verified together with the neighbours.
+    """
     classes = found.groupBy("class").agg(
         F.min(F.struct(K1, K2)).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
@@ -128,12 +146,16 @@ def links(found: DataFrame, docs: DataFrame) -> DataFrame:
         "*", F.lag(F.struct("class", "size")).over(in_bucket).alias("before"), F.lead("class").over(in_bucket).alias("after")
     )
     shared = materialize(placed.where("before IS NOT NULL OR after IS NOT NULL").drop("after"), "buckets")
-    rows = classes.join(shared.select("class").distinct(), "class", "left_semi").select("class", f"row.{K1}", f"row.{K2}")
+    wanted = shared.select("class")
+    if proposed is not None:
+        wanted = wanted.union(proposed.select("a")).union(proposed.select("b"))
+    rows = classes.join(wanted.distinct(), "class", "left_semi").select("class", f"row.{K1}", f"row.{K2}")
     keyed = docs.select("text", *row_hashes()).dropDuplicates([K1, K2])
     texts = materialize(keyed.join(rows, [K1, K2]).select("class", "text"), "class-texts")
 
     beside = shared.where(F.col("before").isNotNull() & _sizes_allow(F.col("size"), F.col("before.size")))
-    tried = materialize(beside.select(F.col("before.class").alias("a"), F.col("class").alias("b")).distinct(), "neighbours")
+    beside = beside.select(F.col("before.class").alias("a"), F.col("class").alias("b"))
+    tried = materialize((beside if proposed is None else beside.union(proposed.select("a", "b"))).distinct(), "neighbours")
     near = materialize(verified(tried, texts), "near-neighbours")
 
     roots = components(near)
@@ -155,22 +177,26 @@ def links(found: DataFrame, docs: DataFrame) -> DataFrame:
     return near.union(verified(across.join(tried, ["a", "b"], "left_anti"), texts))
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, row key, class, root) of every row; ``root`` names the component."""
+def similar_components(docs: DataFrame, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, row key, class, root) of every row; ``root`` names the component.
+
+    ``propose`` gives further candidates from the signatures, as pairs of classes.
+    """
     found = materialize(signatures(docs), "signatures")
-    roots = components(materialize(links(found, docs), "near-pairs"))
+    proposed = materialize(propose(found), "proposed") if propose else None
+    roots = components(materialize(links(found, docs, proposed), "near-pairs"))
     return found.join(roots, F.col("class") == F.col("node"), "left").select(
         "doc_id", K1, K2, "class", F.coalesce("root", "class").alias("root")
     )
 
 
-def drop_similar(docs: DataFrame) -> DataFrame:
+def drop_similar(docs: DataFrame, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of every component, with all its columns: the one with the smallest id.
 
     Rows without an id come last; among rows that repeat an id with other texts the smallest row key wins.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", K1, K2)
-    found = similar_components(docs.select("doc_id", "text"))
+    found = similar_components(docs.select("doc_id", "text"), propose)
     winners = found.groupBy("root").agg(F.min(order).alias("w")).select(F.col("w")[K1].alias(K1), F.col("w")[K2].alias(K2))
     kept = with_key(docs).join(winners, [K1, K2], "left_semi").dropDuplicates([K1, K2])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,18 +8,21 @@ A signature tree holds classes in the order of their sizes. A node has the OR of
 their sizes, the most tokens that a member hides behind set bits, and the component its members share, if they do. Two
 nodes can hold a link only if their sizes are compatible and the bits they have in common, plus the hidden tokens, reach the
 overlap that the smallest members need; all other pairs of nodes are left out with everything below them, as are
-nodes inside one component. Pairs of leaves that remain are verified by their tokens.
+nodes inside one component. Pairs of leaves that remain are verified by their texts.
 
 One tree over everything would compare in vain, so there is a forest: linked sets share one of their first tokens in any fixed
 order of all tokens (|A| - ceil(0.85 |A|) + 1 of them), and every such token is a tree of the classes that hold it there.
 
 1. *Order.* Tokens that many texts share come last, so that a passage of many documents roots no tree unless a text consists of
    such passages. The list of these tokens has at most 2^20 entries by its threshold; it changes costs, never results.
-2. *Homes.* Every class visits two of its trees only. That joins copies to components at linear cost.
+2. *Homes.* Every class visits two of its trees only, in chunks, and every tree proposes at most one pair for each of its classes. That
+   joins copies to components at linear cost.
 3. *Mixed trees.* Trees whose classes are now in one component are done. Of those with equal members one stays. The rest is traversed
    against itself; a tree of more than ``CHUNK`` classes is cut into chunks by size, component and hash, and pairs of chunks
    are traversed, except within one component and between incompatible sizes. No task holds more than two chunks.
 
+A bitmap has four to eight bits for a token and is all that travels to the trees.
+
 The result is exact but for 64-bit hashes of shingles. Defined cases: NULL, empty and blank texts have an empty set and link with
 nothing; rows with a NULL id get the component of their text, and an id is never NULL where the component holds any
 other; repeated rows are one class; whole texts are read, a long one in a piece of its own; an empty table gives no rows; other
@@ -28,7 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,9 +49,9 @@ SHINGLE_WORDS = 4
 LEAST = (85, 100)
 CHUNK = 1024
 FAN_OUT = 4
-#: Bits of a bitmap for each token of the largest set of a tree, and the widest bitmap.
-BITS_PER_TOKEN = 8
-MOST_BITS = 1 << 17
+#: Least bits of a bitmap for each token; widths are powers of two between these.
+BITS_PER_TOKEN = 4
+LEAST_BITS, MOST_BITS = 64, 1 << 20
 #: A token is common if it is found more often than one in so many tokens is.
 COMMON_SHARE = 1 << 20
 #: Tokens are counted for that if so many texts of a piece share them.
@@ -100,7 +103,25 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
     return size + (-size * share) // of + 1
 
 
-def _sets(common) -> Iterator:
+def bitmaps(value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Token bitmap of every set; a token sets the bit that its low bits name."""
+    size = np.diff(first)
+    width = np.full(len(size), LEAST_BITS, np.int64)
+    while True:
+        narrow = (width < size * BITS_PER_TOKEN) & (width < MOST_BITS)
+        if not narrow.any():
+            break
+        width[narrow] *= 2
+    begin = np.concatenate([[0], np.cumsum(width)])
+    marks = np.zeros(begin[-1], bool)
+    doc = np.repeat(np.arange(len(size)), size)
+    marks[begin[doc] + (value & (width[doc] - 1).astype(np.uint64)).astype(np.int64)] = True
+    packed = np.packbits(marks, bitorder="little").tobytes()
+    edges = (begin >> 3).tolist()
+    return [packed[a:b] for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _sets(common) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in batches:
@@ -115,32 +136,48 @@ def _sets(common) -> Iterator:
                 place = np.arange(len(value)) - first[:-1][doc]
                 take = np.where(size > 0, prefix_length(size), 0)
                 prefix = value[order][place < take[doc]]
-                name = np.zeros((len(piece), 2), np.uint64)
+                name = np.zeros((2, len(piece)), np.uint64)
                 full = np.flatnonzero(size)
                 if len(full):
-                    name[full, 0] = np.add.reduceat(mix(value), first[:-1][full])
-                    name[full, 1] = np.add.reduceat(mix(value ^ np.uint64(0x9E3779B97F4A7C15)), first[:-1][full])
+                    name[0, full] = np.add.reduceat(mix(value), first[:-1][full])
+                    name[1, full] = np.add.reduceat(mix(value ^ np.uint64(0x9E3779B97F4A7C15)), first[:-1][full])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(prefix.view(np.int64)))
-                names = pa.array([x.tobytes() for x in name], pa.binary())
-                columns = [piece.column(0), piece.column(2), piece.column(3), names, pa.array(size.astype(np.int32)), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", K1, K2, "class", "size", "prefix"])
+                columns = [piece.column(0), piece.column(2), piece.column(3), *[pa.array(x.view(np.int64)) for x in name]]
+                columns += [pa.array(size.astype(np.int32)), lists, pa.array(bitmaps(value, first), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", K1, K2, "class", "other", "size", "prefix", "bits"])
 
     return run
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, row key, class, size, prefix) of every row."""
+    """(doc_id, row key, class, other, size, prefix, bits) of every row; ``other`` is a second hash of the class."""
     common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_hashes())
-    return given.mapInArrow(_sets(common), f"doc_id long, {K1} long, {K2} long, class binary, size int, prefix array<long>")
+    schema = f"doc_id long, {K1} long, {K2} long, class long, other long, size int, prefix array<long>, bits binary"
+    return given.mapInArrow(_sets(common), schema)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    share, of = LEAST
     for batch in batches:
-        for piece in pieces(batch, "text"):
-            value, first = shingle_sets(words(piece.column(1), lower=True))
-            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["class", "tokens"])
+        for part in pieces(batch, "text_a", "text_b"):
+            sets = [shingle_sets(words(part.column(c), lower=True)) for c in (2, 3)]
+            near = np.zeros(len(part), bool)
+            for row in range(len(part)):
+                a, b = (value[first[row] : first[row + 1]] for value, first in sets)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                near[row] = both * of >= (len(a) + len(b) - both) * share
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose texts are linked; ``classes`` holds (class, row key)."""
+    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
+    texts = docs.select("text", *row_hashes()).join(wanted, [K1, K2]).dropDuplicates(["class"])
+    texts = materialize(texts.select("class", "text"), "class-texts")
+    first, second = (texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_similar, "a long, b long")
 
 
 @dataclass
@@ -155,14 +192,9 @@ class Level:
 
 
 class Tree:
-    """Signature tree of some sets, given in the order of their sizes. Level 0 holds the sets themselves."""
-
-    def __init__(self, sets: list[np.ndarray], component: np.ndarray, width: int):
-        size = np.array([len(s) for s in sets], np.int64)
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for row, tokens in enumerate(sets):
-            slot = tokens & np.uint64(width - 1)
-            np.bitwise_or.at(bits[row], (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    """Signature tree of some sets, given in the order of their sizes with bitmaps of one width. Level 0 holds the sets themselves."""
+
+    def __init__(self, size: np.ndarray, component: np.ndarray, bits: np.ndarray):
         hidden = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.levels = [Level(size, size, hidden, component, bits)]
         while len(self.levels[-1].least) > FAN_OUT:
@@ -223,10 +255,36 @@ def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray
         m, n = (m - 1 if m >= n else m), (n - 1 if n >= m else n)
 
 
-def _links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Verified links that join components, between sides 0 and 1, or inside side 0 if there is no other."""
-    share, of = LEAST
-    root = list(range(int(component.max()) + 1))
+def _candidates(size: np.ndarray, component: np.ndarray, side: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Pairs (i, j, overlap) that may be linked: between sides 0 and 1, or inside side 0 if there is no other.
+
+    Linked sets have bitmaps of one width or of neighbouring ones; then the wider one is folded.
+    """
+    width = np.array([len(x) for x in bits])
+    found = []
+
+    def planes(rows: np.ndarray, narrow: int) -> np.ndarray:
+        plane = np.frombuffer(b"".join(bits[r] for r in rows.tolist()), np.uint64).reshape(len(rows), -1)
+        return plane if plane.shape[1] * 8 == narrow else plane[:, : narrow // 8] | plane[:, narrow // 8 :]
+
+    sides = [np.flatnonzero(side == s) for s in (0, 1)]
+    alone = not len(sides[1])
+    others = sides[0] if alone else sides[1]
+    for w in np.unique(width).tolist():
+        for v in (w // 2, w, 2 * w):
+            a, b = sides[0][width[sides[0]] == w], others[width[others] == v]
+            if not len(a) or not len(b) or (alone and v < w):
+                continue
+            first = Tree(size[a], component[a], planes(a, min(w, v)))
+            second = first if alone and v == w else Tree(size[b], component[b], planes(b, min(w, v)))
+            i, j, overlap = dual_traversal(first, second)
+            found.append((a[i], b[j], overlap))
+    return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
+
+
+def _spanning(i: np.ndarray, j: np.ndarray, overlap: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The most promising pairs that join what all pairs would join."""
+    root = list(range(n))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -234,66 +292,58 @@ def _links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray) -> l
             x = root[x]
         return x
 
-    if len(sets) == 2:
-        pairs = [(0, 1)] if component[0] != component[1] else []
-    else:
-        largest = max(len(s) for s in sets)
-        width = max(64, min(MOST_BITS, 1 << int(BITS_PER_TOKEN * largest - 1).bit_length()))
-        rows = [np.flatnonzero(side == s) for s in (0, 1)]
-        trees = [Tree([sets[r] for r in own], component[own], width) for own in rows if len(own)]
-        i, j, overlap = dual_traversal(trees[0], trees[-1])
-        order = np.argsort(-overlap, kind="stable")
-        pairs = list(zip(rows[0][i[order]].tolist(), rows[len(trees) - 1][j[order]].tolist()))
     out = []
-    for a, b in pairs:
-        x, y = find(int(component[a])), find(int(component[b]))
+    for k in np.argsort(-overlap, kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        x, y = find(a), find(b)
         if x != y:
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both * of >= (len(sets[a]) + len(sets[b]) - both) * share:
-                root[x] = y
-                out.append((a, b))
+            root[x] = y
+            out.append((a, b))
     return out
 
 
-def _traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the trees that arrive one after another, each in the order of its sizes."""
-    held: list[tuple] = []
-    key = None
-    found: list[tuple[bytes, bytes]] = []
+def _traverse(spanning: bool) -> Callable:
+    """Candidates of the trees that arrive one after another, each in the order of its sizes."""
 
-    def close() -> None:
-        if len(held) > 1:
-            names = {r: n for n, r in enumerate(sorted({h[2] for h in held}))}
-            component = np.array([names[h[2]] for h in held], np.int64)
-            if len(names) > 1:
-                for a, b in _links([h[3] for h in held], component, np.array([h[0] for h in held])):
-                    found.append((held[a][1], held[b][1]))
+    def close(held: list[tuple], found: list[tuple[int, int]]) -> None:
+        side, name, root, size = (np.array([h[c] for h in held], np.int64) for c in range(4))
+        if len(held) < 2 or (root == root[0]).all():
+            return
+        _, component = np.unique(root, return_inverse=True)
+        i, j, overlap = _candidates(size, component, side, [h[4] for h in held])
+        pairs = _spanning(i, j, overlap, len(held)) if spanning else zip(i.tolist(), j.tolist())
+        found += [(min(a, b), max(a, b)) for a, b in ((int(name[x]), int(name[y])) for x, y in pairs)]
 
-    for batch in batches:
-        keys = batch.column(0).to_pylist()
-        sides, classes, roots = (batch.column(c).to_pylist() for c in (1, 2, 3))
-        tokens, offsets = batch.column(4).values.to_numpy().view(np.uint64), batch.column(4).offsets.to_numpy()
-        for row, own in enumerate(keys):
-            if own != key:
-                close()
-                held, key = [], own
-            held.append((sides[row], classes[row], roots[row], tokens[offsets[row] : offsets[row + 1]].copy()))
-        if found:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            keys = batch.column(0).to_pylist()
+            for own, *row in zip(keys, *[batch.column(c).to_pylist() for c in range(1, 6)]):
+                if own != key:
+                    if held:
+                        close(held, found)
+                    held, key = [], own
+                held.append(tuple(row))
             yield _pairs(found)
-            found = []
-    close()
-    yield _pairs(found)
+        found = []
+        if held:
+            close(held, found)
+        yield _pairs(found)
+
+    return run
 
 
-def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
 
-def traversed(members: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links (a, b) found in the trees of ``members`` (tree, side, class, root, size)."""
-    full = members.join(tokens, "class").select("tree", "side", "class", "root", "tokens", "size")
-    dealt = full.repartition("tree").sortWithinPartitions("tree", "side", "size", "class").drop("size")
-    return dealt.mapInArrow(_traverse, "a binary, b binary")
+def traversed(members: DataFrame, signatures: DataFrame, spanning: bool = False) -> DataFrame:
+    """Distinct candidates (a < b) of the trees of ``members`` (tree, side, class, root, size)."""
+    full = members.join(signatures, "class").select("tree", "side", "class", "root", "size", "bits")
+    dealt = full.repartition("tree").sortWithinPartitions("tree", "side", "size", "class")
+    return dealt.mapInArrow(_traverse(spanning), "a long, b long").distinct()
 
 
 def _sizes_meet(a_least: Column, a_most: Column, b_least: Column, b_most: Column) -> Column:
@@ -344,37 +394,40 @@ def _mixed_trees(member: DataFrame) -> DataFrame:
 def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that join all linked classes to components."""
     classes = sets.where("size > 0").groupBy("class").agg(
-        F.min(F.struct(K1, K2)).alias("row"), F.first("size").alias("size"), F.first("prefix").alias("prefix")
+        F.min(F.struct(K1, K2)).alias("row"),
+        F.first("size").alias("size"),
+        F.first("prefix").alias("prefix"),
+        F.first("bits").alias("bits"),
+        (F.min("other") < F.max("other")).alias("collides"),
     )
-    postings = classes.select("row", "class", "size", F.explode("prefix").alias("token"))
+    classes = materialize(classes.select("class", f"row.{K1}", f"row.{K2}", "size", "prefix", "bits", "collides"), "classes")
+    if not classes.where("collides").isEmpty():
+        raise ValueError("CLASS_HASH_COLLISION")
+    postings = classes.select("class", "size", F.explode("prefix").alias("token"))
     in_tree = Window.partitionBy("token").orderBy("size")
     met = postings.select("*", F.lag("size").over(in_tree).alias("before"), F.lead("size").over(in_tree).alias("after"))
     size = F.col("size").cast("long")
     near = (F.col("before") * LEAST[1] >= size * LEAST[0]) | (size * LEAST[1] >= F.col("after").cast("long") * LEAST[0])
-    shared = materialize(met.where(near).select("token", "class", "size", "row"), "shared-tokens")
-
-    homes = shared.groupBy("class").agg(
-        F.first("row").alias("row"), F.first("size").alias("size"), F.array(F.min("token"), F.min_by("token", F.xxhash64("token"))).alias("homes")
-    )
-    homes = materialize(homes, "homes")
-    texts = docs.select("text", *row_hashes()).dropDuplicates([K1, K2])
-    wanted = homes.select("class", F.col("row")[K1].alias(K1), F.col("row")[K2].alias(K2))
-    tokens = materialize(
-        texts.join(wanted, [K1, K2]).select("class", "text").mapInArrow(_tokens, "class binary, tokens array<long>"), "class-tokens"
-    )
+    shared = materialize(met.where(near).select("token", "class", "size"), "shared-tokens")
+    rows, signatures = classes.select("class", K1, K2), classes.select("class", "bits")
 
-    visits = homes.select("class", "size", F.explode(F.array_distinct("homes")).alias("token"))
+    homes = F.array(F.min("token"), F.min_by("token", F.xxhash64("token")))
+    visits = shared.groupBy("class").agg(F.first("size").alias("size"), F.array_distinct(homes).alias("homes"))
+    visits = materialize(visits.select("class", "size", F.explode("homes").alias("token")), "visits")
     visitors = visits.groupBy("token").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
-    part = F.pmod(F.xxhash64("class"), F.col("parts"))
+    # Dealt anew in each home, so that parts of one home meet in the other.
+    part = F.pmod(F.xxhash64("class", "token"), F.col("parts"))
     visits = visits.join(visitors, "token").select(
         F.array("token", part).alias("tree"), F.lit(0).alias("side"), "class", F.col("class").alias("root"), "size"
     )
-    first = materialize(traversed(visits, tokens), "home-links")
+    tried = materialize(traversed(visits, signatures, spanning=True), "home-pairs")
+    first = materialize(verified(tried, rows, docs), "home-links")
 
     roots = components(first)
     member = shared.join(roots, F.col("class") == F.col("node"), "left")
     member = materialize(member.select("token", "class", "size", F.coalesce("root", "class").alias("root")), "tree-members")
-    return first.union(materialize(traversed(_mixed_trees(member), tokens), "tree-links"))
+    rest = traversed(_mixed_trees(member), signatures).join(tried, ["a", "b"], "left_anti")
+    return first.union(verified(materialize(rest, "tree-pairs"), rows, docs))
 
 
 def linked_components(docs: DataFrame) -> DataFrame:
@@ -391,7 +444,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     rooted = rooted.join(least, "root").select("class", "root", "component_id")
     full = join_unique(found.where("size > 0"), rooted, ["class"], how="inner")
     # An empty set links with nothing, not even with its like.
-    empty = found.where("size = 0").select("*", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("component_id"))
+    empty = found.where("size = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 

@@ -6,6 +6,11 @@ such choice. In a list, pairs are tallied by the positional bytes they share; th
 are verified by their differing bits. Equal fingerprints form one class before anything is paired, and a pair
 is emitted only in the first list in which it meets.
 
+``drop_verified_copies`` is the stage of a corpus pipeline: pairs that the index proposes for the fingerprints of five-word
+shingle sets are verified by their exact similarity (0.8 or more) before they count. A fingerprint of 64 bits does not
+find all such pairs (at 0.8 they differ in about 10 bits), so the bands of ``shingle_dedup`` propose the others, and both
+kinds of proposals go through one verification and one contraction.
+
 Defined cases: a NULL, empty or blank text has fingerprint zero; rows with a NULL id get the component of their
 text, and an id is never NULL where the component holds any other; repeated rows fall into one class.
 """
@@ -20,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lendwright.llm import shingle_dedup
 from lendwright.llm.components import components
 from lendwright.llm.rows import K1, K2, row_hashes, with_key
 from lendwright.llm.words import pieces, words
@@ -135,6 +141,29 @@ def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def proposals(found: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs (a < b) of the classes in ``found`` (class, fp) whose fingerprints are equal or differ in at most ``max_bits`` bits.
+
+    Classes of one fingerprint are paired with the first of them, and only the firsts of two fingerprints with each other.
+    """
+    classes = found.groupBy("class").agg(F.first("fp").alias("fp"))
+    firsts = materialize(classes.groupBy("fp").agg(F.min("class").alias("first")), "fingerprints")
+    equal = classes.join(firsts, "fp").where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
+    near = links(firsts.select("fp"), max_bits)
+    for side in "ab":
+        name = firsts.select(F.col("fp").alias(side), F.col("first").alias(f"class_{side}"))
+        near = near.join(name, side)
+    return equal.union(near.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")))
+
+
+def drop_verified_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of every group of near copies, with all its columns: the one with the smallest id.
+
+    Near copies share at least 0.8 of their five-word shingles, exactly; no other text goes.
+    """
+    return shingle_dedup.drop_similar(docs, lambda found: proposals(found, max_bits))
+
+
 def report(docs: DataFrame) -> DataFrame:
     found = near_components(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 #: Odd multiplier of the rolling sum and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -103,16 +103,17 @@ def words(texts: pa.Array, word_bytes: np.ndarray = NOT_BLANK, lower: bool = Fal
     return Words(data, start, end, np.searchsorted(start, offsets))
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with at most PIECE_BYTES of text, or one row."""
-    column = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_binary())
-    if len(column) == 0:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+def pieces(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows with at most PIECE_BYTES in all its text columns, or one row."""
+    total = np.zeros(len(batch) + 1, np.int64)
+    for text in texts:
+        column = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_binary())
+        if len(column):
+            total += np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     begin = 0
-    while begin < len(column):
-        stop = int(np.searchsorted(offsets, offsets[begin] + PIECE_BYTES, "right")) - 1
-        stop = min(max(stop, begin + 1), len(column))
+    while begin < len(batch):
+        stop = int(np.searchsorted(total, total[begin] + PIECE_BYTES, "right")) - 1
+        stop = min(max(stop, begin + 1), len(batch))
         yield batch.slice(begin, stop - begin)
         begin = stop
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 
 import corpus_pipeline as cp
-from lendwright.llm import shingle_dedup
+from lendwright.llm import shingle_dedup, simhash_dedup
 from tests.llm.test_dedup import brute_fingerprint, lower
 
 
@@ -87,19 +88,49 @@ def test_row_without_an_id(spark):
     assert [tuple(r) for r in got] == [(5, rows[1][1]), (None, rows[2][1])]
 
 
-def test_pipeline_keeps_one_of_pairs_beyond_three_bits(spark, folder):
-    """Documents of the smallest table and copies with a few changed words, through the stages that drop copies."""
+def test_pipeline_stage_drops_copies_and_nothing_else(spark, folder):
+    """Documents of the smallest table, copies with a few changed words, and texts that share a fingerprint but not the words."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     rows += [(10**6 + k, near(50, *range(0, 40 * k, 40))) for k in range(5)]
     far = [(brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() for (_, a), (_, b) in zip(rows[-5:-1], rows[-4:])]
     assert max(far) > 3
+    # Every seventh word differs: many three-word runs are shared, few of five words.
+    rows += [(2 * 10**6 + k, near(60, *range(k, 200, 7)) + " " + near(61)) for k in range(7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for name, stage in cp.STAGES:
-        if name in ("near_copies", "similar"):
-            docs = stage(spark, docs, folder)
-    kept = [(r.doc_id, r.text) for r in docs.collect()]
-    assert sorted(i for i, _ in kept) == brute_kept(kept)
-    assert [i for i, _ in kept if i >= 10**6] == [10**6]
+    kept = sorted(r.doc_id for r in dict(cp.STAGES)["near_copies"](spark, docs, folder).collect())
+    assert kept == brute_kept(rows)
+    assert [i for i in kept if 10**6 <= i < 2 * 10**6] == [10**6]
+
+
+def test_proposals_are_the_pairs_within_the_bits(spark):
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for f in fps for _ in range(3)]
+    rows = [(bytes([k >> 8, k & 255]), f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)]
+    found = spark.createDataFrame(rows, "class binary, fp long")
+    got = [(bytes(r.a), bytes(r.b)) for r in simhash_dedup.proposals(found).collect()]
+    firsts = {}
+    for name, f in rows:
+        firsts.setdefault(f, name)
+    want = [(firsts[f], name) for name, f in rows if firsts[f] != name]
+    want += [
+        (min(a, b), max(a, b)) for f, a in firsts.items() for g, b in firsts.items() if f < g and ((f ^ g) & (2**64 - 1)).bit_count() <= 3
+    ]
+    assert sorted(got) == sorted(want)
+
+
+def test_columns_with_the_names_of_joins_and_empty_table(spark):
+    rows = [(1, near(1), 1, b"x", 2), (2, near(1), 2, b"y", 2), (3, near(2), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long, class binary, a int")
+    out = simhash_dedup.drop_verified_copies(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    assert simhash_dedup.drop_verified_copies(docs.limit(0)).collect() == []
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(100_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, long[:400_000])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.drop_verified_copies(docs).collect()) == [1, 3]
 
 
 @pytest.mark.parametrize("similarity, bound", [(0.8, 3e-5), (0.85, 5e-7)])
