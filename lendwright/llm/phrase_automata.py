@@ -3,7 +3,8 @@
 A shard (some megabytes of text inside a task) sorts its word n-grams and builds a count transducer from them: one state per
 distinct path of words, weighted by the occurrences of the path; the root of a language weighs all its words. A path is
 continued by one word at a time from the states that are there, so prefixes are shared and every state is reached once.
-Shard transducers are united by prefix range: paths are dealt to ranges in their order, and equal paths add up their weights.
+A transducer is cut by prefix range, a range of hashes of its paths' first two words, and every range is sent as one list of
+states. All lists of a range are united in one place, where equal paths add up their weights and rare ones end.
 The parts of a candidate are looked up by composing it with the united transducer: a cut gives two paths, whose
 weights are joined.
 
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -42,9 +44,11 @@ MAX_WORDS = 5
 MIN_COUNT = 100
 ABSORB_PERCENT = 100
 TOP = 2000
-#: Text of a shard, and text whose path counts meet in one group.
+#: Text of a shard, and text for each range of paths.
 SHARD_BYTES = 8_000_000
-GROUP_BYTES = 64_000_000
+GROUP_BYTES = 16_000_000
+#: Paths are dealt to ranges by their first words.
+PREFIX_WORDS = 2
 #: Depths whose frequent paths are marked before transducers are built.
 MARKED_DEPTHS = 3
 MOST_FILTER_BITS = 30
@@ -185,11 +189,15 @@ def _slices(part_bits: int, filter_bits: int) -> Callable:
     return run
 
 
+def range_bits(given: DataFrame) -> int:
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(0, math.ceil(math.log2(max(1, size / GROUP_BYTES))))
+
+
 def frequent_marks(given: DataFrame, min_count: int, depths: int, shard_bytes: int = SHARD_BYTES) -> list[Marks]:
     """Filters that pass every path of 1 … ``depths`` words with ``min_count`` occurrences."""
     spark = given.sparkSession
-    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, size / GROUP_BYTES))))
+    bits = range_bits(given)
     marked: list[Marks] = []
     for depth in range(1, depths + 1):
         count = _count_paths(depth, bits, shard_bytes, spark.sparkContext.broadcast(marked))
@@ -205,44 +213,66 @@ def frequent_marks(given: DataFrame, min_count: int, depths: int, shard_bytes: i
     return marked
 
 
-def _transducers(depth: int, shard_bytes: int, shared) -> Callable:
-    """States of every shard's transducer as (lang, phrase, depth, n)."""
+def _transducers(depth: int, bits: int, shard_bytes: int, shared) -> Callable:
+    """Every shard's transducer, cut by range and language: (part, lang, phrases, counts)."""
+
+    def states(shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
+        """(range, language, spelled path, weight) of all states, depth by depth."""
+        names = len(shard.names)
+        yield np.zeros(names, np.int64), np.arange(names), [b""] * names, np.bincount(shard.language, minlength=names)
+        label, state = np.zeros(len(shard.symbol), np.int64), np.zeros(len(shard.symbol), np.int64)
+        spelled: list[bytes] = []
+        texts: list[bytes] = []
+        part = np.zeros(0, np.int64)
+        for k, (at, path) in enumerate(_walk(shard, depth, shared.value), 1):
+            if not len(at):
+                return
+            # The first word's states are their labels; from then on an arc leads from a state by a label.
+            arc = path if k == 1 else state[at] * len(spelled) + label[at + k - 1]
+            arcs, first, where, n = np.unique(arc, return_index=True, return_inverse=True, return_counts=True)
+            if k == 1:
+                spelled = texts = [shard.word(i) for i in at[first].tolist()]
+                label[at] = where
+            else:
+                source, by = np.divmod(arcs, len(spelled))
+                texts = [texts[a] + b" " + spelled[b] for a, b in zip(source.tolist(), by.tolist())]
+            if k > PREFIX_WORDS:
+                part = part[source]
+            else:
+                part = (path[first] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(first), np.int64)
+            state[at] = where
+            yield part, shard.language[at[first]], texts, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_bytes):
-            names = np.array(shard.names, object)
-            totals = np.bincount(shard.language, minlength=len(names))
-            yield _rows(names, [b""] * len(names), 0, totals)
-            label, state = np.zeros(len(shard.symbol), np.int64), np.zeros(len(shard.symbol), np.int64)
-            spelled: list[bytes] = []
-            texts: list[bytes] = []
-            for k, (at, path) in enumerate(_walk(shard, depth, shared.value), 1):
-                if not len(at):
-                    break
-                if k == 1:
-                    _, first, where, n = np.unique(path, return_index=True, return_inverse=True, return_counts=True)
-                    spelled = texts = [shard.word(i) for i in at[first].tolist()]
-                    label[at] = where
-                else:
-                    arc = state[at] * len(spelled) + label[at + k - 1]
-                    arcs, first, where, n = np.unique(arc, return_index=True, return_inverse=True, return_counts=True)
-                    texts = [texts[a] + b" " + spelled[b] for a, b in zip(*(x.tolist() for x in np.divmod(arcs, len(spelled))))]
-                state[at] = where
-                yield _rows(names[shard.language[at[first]]], texts, k, n)
+            levels = list(states(shard))
+            part, language, n = (np.concatenate([level[c] for level in levels]).astype(np.int64) for c in (0, 1, 3))
+            order = np.lexsort((language, part))
+            part, language = part[order], language[order]
+            new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (language[1:] != language[:-1])])
+            edges = pa.array(np.append(new, len(order)).astype(np.int32))
+            phrases = pa.array([t for level in levels for t in level[2]], pa.binary()).cast(pa.string()).take(pa.array(order))
+            columns = [pa.array(part[new], pa.int32()), pa.array([shard.names[x] for x in language[new].tolist()], pa.string())]
+            columns += [pa.ListArray.from_arrays(edges, phrases), pa.ListArray.from_arrays(edges, pa.array(n[order]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "lang", "phrases", "counts"])
 
     return run
 
 
-def _rows(languages: np.ndarray, texts: list[bytes], depth: int, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(languages.tolist(), pa.string()),
-            pa.array(texts, pa.binary()).cast(pa.string()),
-            pa.array(np.full(len(texts), depth, np.int32)),
-            pa.array(n.astype(np.int64)),
-        ],
-        names=["lang", "phrase", "depth", "n"],
-    )
+def _united(min_count: int) -> Callable:
+    """The union of the transducers of a range, without paths that are rare."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lists = table.column("phrases").combine_chunks()
+        phrases, counts = lists.flatten(), table.column("counts").combine_chunks().flatten()
+        lang = table.column("lang").combine_chunks().take(pc.list_parent_indices(lists))
+        found = pa.table({"lang": lang, "phrase": phrases, "n": counts}).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        depth = pc.if_else(pc.equal(found["phrase"], ""), 0, pc.add(pc.count_substring(found["phrase"], " "), 1))
+        kept = pc.or_(pc.greater_equal(found["n_sum"], min_count), pc.equal(depth, 0))
+        columns = {"lang": found["lang"], "phrase": found["phrase"], "depth": depth.cast(pa.int32()), "n": found["n_sum"]}
+        return pa.table(columns).filter(kept)
+
+    return run
 
 
 def path_weights(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -250,12 +280,9 @@ def path_weights(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     of the roots (depth 0, no phrase), whose weight is the number of words."""
     given = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     marked = frequent_marks(given, min_count, min(MARKED_DEPTHS, max_words), shard_bytes)
-    spark = docs.sparkSession
-    build = _transducers(max_words, shard_bytes, spark.sparkContext.broadcast(marked))
-    shards = materialize(given.mapInArrow(build, "lang string, phrase string, depth int, n long"), "transducers")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    united = shards.repartitionByRange(ranges, "lang", "phrase").groupBy("lang", "phrase", "depth").agg(F.sum("n").alias("n"))
-    return materialize(united.where((F.col("n") >= min_count) | (F.col("depth") == 0)), "path-weights")
+    build = _transducers(max_words, range_bits(given), shard_bytes, docs.sparkSession.sparkContext.broadcast(marked))
+    shards = given.mapInArrow(build, "part int, lang string, phrases array<string>, counts array<long>")
+    return materialize(shards.groupBy("part").applyInArrow(_united(min_count), "lang string, phrase string, depth int, n long"), "path-weights")
 
 
 def scored(paths: DataFrame, absorb_percent: int = ABSORB_PERCENT) -> DataFrame:
