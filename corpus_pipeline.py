@@ -1,4 +1,4 @@
-"""The corpus pipeline: six stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendwright.llm import benchmark_index, language_crf, line_dedup, piece_transducer, shingle_dedup, simhash_dedup
+from lendwright.llm import benchmark_index, language_crf, line_dedup, piece_transducer, simhash_dedup
 from lendwright.llm.queries import PIECE_MODEL
 from lendwright.plans.loan import table
 from lendwright.session import materialize
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of texts whose fingerprints differ in at most 3 bits stays."""
-    return simhash_dedup.drop_near_copies(docs)
+    """One document of every group of texts that share 0.8 of their five-word shingles stays, and all other documents."""
+    return simhash_dedup.drop_verified_copies(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +41,6 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return benchmark_index.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of texts that share 0.8 of their five-word shingles stays."""
-    return shingle_dedup.drop_similar(docs)
-
-
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and the digest of what they decode to."""
     return piece_transducer.encode_texts(docs, piece_transducer.read_model(PIECE_MODEL))
@@ -56,7 +51,6 @@ STAGES: list[tuple[str, Stage]] = [
     ("lines", lines),
     ("near_copies", near_copies),
     ("decontaminated", decontaminated),
-    ("similar", similar),
     ("encoded", encoded),
 ]
 
