@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from itertools import product
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
     OneHotEncoder,
+    OneHotEncoderModel,
     SQLTransformer,
     StringIndexerModel,
     VectorAssembler,
@@ -33,6 +34,7 @@ from lendwright.functions.expressions import (
     sigmoid,
     text_sql,
 )
+from lendwright.operators import trees
 from lendwright.operators.binning import fit_binning, woe_transform
 from lendwright.operators.metrics import binary_metrics, calibration_table, lift_table, psi, score_monotonicity
 from lendwright.operators.order_statistics import exact_quantiles, hash_order, unpivot_values
@@ -203,9 +205,14 @@ PRESETS: dict[str, dict] = {
     "regularized_logistic": {"C": 0.3, "max_iter": 1000},
     "random_forest": {"trees": 240, "depth": 8, "leaf": 20},
     "forest_nobootstrap": {"trees": 240, "depth": 9, "leaf": 15},
-    "boosted_depth4": {"rounds": 300, "rate": 0.035, "depth": 4, "rows": 0.85, "columns": "0.8"},
-    "boosted_depth6": {"rounds": 300, "rate": 0.035, "depth": 6, "rows": 1.0, "columns": "all"},
-    "boosted_balanced": {"rounds": 300, "rate": 0.035, "depth": 6, "rows": 1.0, "columns": "all"},
+    "boosted_depth4": {
+        "policy": "depthwise", "rounds": 300, "rate": 0.035, "depth": 4, "rows": 0.85, "columns": 0.8, "penalty": 3.0
+    },
+    "boosted_depth6": {
+        "policy": "leafwise", "rounds": 300, "rate": 0.035, "depth": 6, "leaves": 20, "penalty": 0.0,
+        "least_rows": 20, "least_hessian": 0.001,
+    },
+    "boosted_balanced": {"policy": "symmetric", "rounds": 300, "rate": 0.035, "depth": 6, "penalty": 3.0},
 }
 
 # Bounded search spaces. Fixed values.
@@ -221,13 +228,14 @@ SEARCH: dict[str, dict[str, list]] = {
 
 @dataclass
 class Fitted:
-    """A fitted candidate: a pipeline, or scorecard rules, or a constant."""
+    """A fitted candidate: a pipeline, a pipeline that prepares the features of a tree ensemble, scorecard rules, or a constant."""
 
     name: str
     features: list[str]
     pipeline: PipelineModel | None = None
     rules: ScorecardRules | None = None
     constant: float | None = None
+    ensemble: trees.Ensemble | None = None
 
     def score(self, df: DataFrame, output: str = PROBABILITY) -> DataFrame:
         if self.constant is not None:
@@ -235,6 +243,8 @@ class Fitted:
         if self.rules is not None:
             return score_with_rules(df, self.rules, output)
         scored = self.pipeline.transform(df)
+        if self.ensemble is not None:
+            return trees.score(scored, vector_to_array("__features"), self.ensemble, output).select(*df.columns, output)
         return scored.select(*df.columns, vector_to_array("probability")[1].alias(output))
 
 
@@ -261,6 +271,8 @@ def fit_candidate(
     ).withColumn("__label", F.col(label).cast("double"))
     if name == "scorecard":
         return _fit_scorecard(weighted, label, features, settings, rows)
+    if name == "forest_nobootstrap" or name.startswith("boosted"):
+        return _fit_trees(weighted, label, features, name, settings, weights)
     stages = preprocessing(train, features, scale=name == "regularized_logistic")
     if name == "regularized_logistic":
         stages.append(VectorAssembler(inputCols=["__features", "__one"], outputCol="__with_constant"))
@@ -274,27 +286,70 @@ def fit_candidate(
         )
         model = _logistic("__mirrored", settings, rows).fit(mirrored).setFeaturesCol("__with_constant")
         return Fitted(name, features, pipeline=PipelineModel(stages=[*prepared.stages, model]))
-    if name in ("random_forest", "forest_nobootstrap"):
-        stages.append(
-            RandomForestClassifier(
-                featuresCol="__features", labelCol="__label", weightCol="__weight",
-                numTrees=settings["trees"], maxDepth=settings["depth"], minInstancesPerNode=settings["leaf"],
-                featureSubsetStrategy="sqrt", seed=42, bootstrap=name == "random_forest",
-                maxBins=32 if name == "random_forest" else 8,
-            )
-        )
-    else:
-        stages.append(
-            GBTClassifier(
-                featuresCol="__features", labelCol="__label", weightCol="__weight",
-                maxIter=settings["rounds"], stepSize=settings["rate"], maxDepth=settings["depth"],
-                subsamplingRate=settings["rows"], featureSubsetStrategy=settings["columns"],
-                cacheNodeIds=True, checkpointInterval=10, seed=42,
-            )
+    stages.append(
+        RandomForestClassifier(
+            featuresCol="__features", labelCol="__label", weightCol="__weight",
+            numTrees=settings["trees"], maxDepth=settings["depth"], minInstancesPerNode=settings["leaf"],
+            featureSubsetStrategy="sqrt", seed=42,
         )
+    )
     return Fitted(name, features, pipeline=Pipeline(stages=stages).fit(weighted))
 
 
+BOOSTING_SETTINGS = tuple(f.name for f in fields(trees.BoostingPlan))
+
+
+def _fit_trees(
+    train: DataFrame, label: str, features: Sequence[str], name: str, settings: Mapping, weights: Mapping[int, float]
+) -> Fitted:
+    """Ensembles of ``trees``. The pipeline only prepares the features, so that scoring is a projection."""
+    key = F.xxhash64(*[column(c) for c in (label, *features)]).alias("key")
+    y = F.col(label).cast("int").alias("y")
+    if settings.get("policy") == "symmetric":
+        stages, ready, values = _coded(train, label, features)
+    else:
+        stages = preprocessing(train, features, scale=False)
+        ready, values = None, vector_to_array("__features")
+    prepared = Pipeline(stages=stages).fit(train)
+    ready = prepared.transform(train) if ready is None else ready
+    rows = materialize(ready.select(values.alias("x"), y, key), "tree-rows")
+    first = rows.select(F.size("x")).first()
+    width = first[0] if first else 0
+    if name == "forest_nobootstrap":
+        sizes = {k: settings[k] for k in ("trees", "depth", "leaf")}
+        grown = trees.grow_extra_trees(rows, width, weights=weights, **sizes)
+    else:
+        plan = trees.BoostingPlan(**{k: settings[k] for k in BOOSTING_SETTINGS if k in settings})
+        grown = trees.grow_boosted(rows, width, plan, weights)
+    return Fitted(name, list(features), pipeline=prepared, ensemble=grown)
+
+
+def _coded(train: DataFrame, label: str, features: Sequence[str]) -> tuple[list, DataFrame, Column]:
+    """Stages that code categories by the label's mean, and training rows whose codes know earlier rows only.
+
+    Rare categories were grouped before, so a feature has at most 1 / ``RARE_SHARE`` codes.
+    """
+    projection = preprocessing(train, features, scale=False)[0]
+    numeric = [f for f in features if is_numeric(train.schema[f].dataType)]
+    groups = [f"__t{i}" for i in range(len(features) - len(numeric))]
+    grouped = materialize(projection.transform(train), "grouped")
+    prior = float(grouped.agg(F.avg(label)).first()[0])
+    order = F.md5(F.xxhash64(*[column(c) for c in (label, *features)]).cast("string"))
+    ordered = trees.ordered_target_codes(grouped, groups, label, order, prior)
+    parts = []
+    for i, group in enumerate(groups):
+        codes = sorted(trees.target_codes(grouped, group, label, prior).collect(), key=lambda r: r["category"])
+        listed = " ".join(f"WHEN {text_sql(r['category'])} THEN {double_sql(r['code'])}" for r in codes)
+        parts.append(f"CASE {group} {listed} ELSE {double_sql(prior)} END AS __c{i}")
+    inputs = [f"__n{i}" for i in range(len(numeric))] + [f"__c{i}" for i in range(len(groups))]
+    stages = [projection]
+    if parts:
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="__features"))
+    values = F.array(*[F.col(f"__n{i}") for i in range(len(numeric))], *[F.col(f"{g}_code") for g in groups])
+    return stages, ordered, values
+
+
 def _dealt(train: DataFrame, features: Sequence[str], label: str, partitions: int) -> DataFrame:
     """The needed columns in partitions and an order that depend on the rows' content alone."""
     key = F.xxhash64(*[column(c) for c in (label, *features)])
@@ -656,7 +711,9 @@ def feature_importance(model: Calibrated | Fitted, df: DataFrame) -> DataFrame:
     else:
         last: Transformer = fitted.pipeline.stages[-1]
         names = _encoded_names(fitted.pipeline, fitted.features, df)
-        if hasattr(last, "featureImportances"):
+        if fitted.ensemble is not None:
+            values = fitted.ensemble.gains(len(names))
+        elif hasattr(last, "featureImportances"):
             values = last.featureImportances.toArray()
         else:
             values = [abs(v) for v in last.coefficients.toArray()[: len(names)]]
@@ -672,6 +729,8 @@ def _encoded_names(pipeline: PipelineModel, features: Sequence[str], df: DataFra
         categorical = [f for f in features if f not in numeric]
         for f, labels in zip(categorical, indexer.labelsArray):
             names += [f"{f}_{v}" for v in labels]
+    elif not any(isinstance(s, OneHotEncoderModel) for s in pipeline.stages):
+        names += [f for f in features if f not in numeric]
     return names
 
 
@@ -693,6 +752,8 @@ def save_model(
     for i, (fitted, curve) in enumerate(model.members):
         if fitted.pipeline is not None:
             fitted.pipeline.write().overwrite().save(f"{path}/member={i}/pipeline")
+        if fitted.ensemble is not None:
+            _write_text(spark, f"{path}/member={i}/ensemble", fitted.ensemble.to_json())
         isotonic = isinstance(curve, IsotonicRegressionModel)
         if isotonic:
             curve.write().overwrite().save(f"{path}/member={i}/isotonic")
@@ -701,6 +762,7 @@ def save_model(
                 "constant": fitted.constant,
                 "rules": fitted.rules.to_json() if fitted.rules else None,
                 "pipeline": fitted.pipeline is not None,
+                "ensemble": fitted.ensemble is not None,
                 "platt": list(curve) if isinstance(curve, tuple) else None,
                 "isotonic": isotonic,
             }
@@ -726,6 +788,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[Calibrated, dict[str, st
             pipeline=PipelineModel.load(f"{path}/member={i}/pipeline") if m["pipeline"] else None,
             rules=ScorecardRules.from_json(m["rules"]) if m["rules"] else None,
             constant=m["constant"],
+            ensemble=trees.Ensemble.from_json(_read_text(spark, f"{path}/member={i}/ensemble")) if m.get("ensemble") else None,
         )
         curve = tuple(m["platt"]) if m["platt"] else None
         if m["isotonic"]:

@@ -339,24 +339,72 @@ def h1(spark: SparkSession, folder: str) -> DataFrame:
     return bins.finest_bins(rows, "y", bins.finest_edges(rows, names, edge_digits=EDGE_DIGITS))
 
 
-def _fitted_sql(features: tuple) -> str:
-    each = " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS rows, CAST(sum(y) AS BIGINT) AS bad, true AS few_bins, true AS monotonic FROM frozen" for f in features)
-    return f"{LOAN} {each}"
-
-
-def _fitted_facts(spark: SparkSession, fitted: bins.Binning) -> DataFrame:
-    """Per feature: every row lies in one of 2 to 10 bins (and one for missing values), whose rates are monotone."""
-    table_ = bins.bin_table(spark, fitted)
-    monotone = bins.monotonicity(table_.filter("bin <> '<MISSING>'")).select("feature", F.col("monotonic").alias("ordered"))
-    return table_.groupBy("feature").agg(
-        F.sum("count").alias("rows"), F.sum("bad").alias("bad"), F.count("*").between(2, 11).alias("few_bins")
-    ).join(monotone, "feature").select("feature", "rows", "bad", "few_bins", F.col("ordered").alias("monotonic"))
-
-
-@query("h1_monotone_bins", _fitted_sql(NUMERIC_FEATURES))
+# Fine bins as in ``finest_edges``: as many quantiles as there are values, ten at most. The recursion then drops one inner
+# edge per step: the one between the closest neighbouring rates, until rates are monotone and no bin is small.
+def fitted_sql(numeric: tuple, categorical: tuple = ()) -> str:
+    edges = " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, unnest(list_sort(list_distinct(list_transform(quantile_cont({f}::DOUBLE, {deciles(parts)}),
+            lambda x: round(x, {EDGE_DIGITS}))))) AS edge FROM frozen HAVING least(10, count(DISTINCT {f})) = {parts}"""
+        for f in numeric
+        for parts in range(2, 11)
+    )
+    cells = " UNION ALL ".join(
+        f"""SELECT '{f}' AS feature, CASE WHEN {f} IS NULL THEN -1 ELSE (SELECT count(*) FROM edges WHERE feature = '{f}' AND edge < {f}) END AS i,
+            count(*) AS n, CAST(sum(y) AS BIGINT) AS bad FROM frozen GROUP BY 2"""
+        for f in numeric
+    )
+    kinds = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, coalesce({f}, '<MISSING>') AS value, count(*) AS n, CAST(sum(y) AS BIGINT) AS bad FROM frozen GROUP BY 2"
+        for f in categorical
+    )
+    grouped = f""" UNION ALL SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY bad / count, value) - 1, NULL, count, bad FROM (
+      SELECT feature, CASE WHEN n < greatest(20, floor(total * 0.01)) THEN '<RARE>' ELSE value END AS value,
+             CAST(sum(n) AS BIGINT) AS count, CAST(sum(bad) AS BIGINT) AS bad
+      FROM ({kinds}), whole GROUP BY 1, 2)""" if categorical else ""
+    return LOAN.replace("WITH lines", "WITH RECURSIVE lines", 1) + f""",
+whole AS (SELECT count(*) AS total FROM frozen),
+edges AS (SELECT feature, edge FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY edge) AS i,
+    count(*) OVER (PARTITION BY feature) AS n FROM ({edges})) WHERE i > 1 AND i < n),
+cells AS ({cells}),
+edge_lists AS (SELECT feature, coalesce(list(edge ORDER BY edge) FILTER (WHERE edge IS NOT NULL), []) AS edges
+               FROM (SELECT DISTINCT feature FROM cells) LEFT JOIN edges USING (feature) GROUP BY feature),
+slots AS (SELECT feature, edges, unnest(range(len(edges) + 1)) AS i FROM edge_lists),
+merged AS (
+  SELECT feature, any_value(edges) AS edges, list(coalesce(n, 0) ORDER BY i) AS c, list(coalesce(bad, 0) ORDER BY i) AS b, 0 AS turn
+  FROM slots LEFT JOIN cells USING (feature, i) GROUP BY feature
+  UNION ALL
+  SELECT feature, list_concat(edges[1:d], edges[d + 2:]), list_concat(c[1:d], list_concat([c[d + 1] + c[d + 2]], c[d + 3:])),
+         list_concat(b[1:d], list_concat([b[d + 1] + b[d + 2]], b[d + 3:])), turn + 1
+  FROM (
+    SELECT *, CASE WHEN len(gaps) = 0 THEN 0 ELSE least(list_position(gaps, list_min(gaps)) - 1, len(edges) - 1) END AS d
+    FROM (
+      SELECT *, list_transform(steps, lambda s: abs(s)) AS gaps FROM (
+        SELECT *, list_transform(range(1, len(rates)), lambda i: rates[i + 1] - rates[i]) AS steps FROM (
+          SELECT merged.*, total, list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i] > 0), lambda i: b[i] / c[i]) AS rates,
+                 list_min(list_filter(c, lambda n: n > 0)) AS smallest FROM merged, whole)))
+    WHERE len(edges) >= 2 AND NOT (smallest / total >= 0.03
+      AND (len(rates) <= 2 OR list_min(steps) >= -1e-12 OR list_max(steps) <= 1e-12)))),
+last AS (SELECT feature, arg_max(edges, turn) AS edges, arg_max(c, turn) AS c, arg_max(b, turn) AS b FROM merged GROUP BY feature),
+fitted AS (
+  SELECT feature, i AS bin_index, edges[i + 1] AS upper, c[i + 1] AS count, b[i + 1] AS bad
+  FROM (SELECT *, unnest(range(len(c))) AS i FROM last) WHERE c[i + 1] > 0
+  UNION ALL SELECT feature, -1, NULL, n, bad FROM cells WHERE i = -1{grouped})
+SELECT feature, bin_index::INTEGER AS bin_index, upper, count::BIGINT AS count, bad::BIGINT AS bad, round(bad_rate, 8) AS bad_rate,
+       round(woe, 8) AS woe, round(iv, 8) AS iv FROM ({woe_sql("fitted", "feature")})"""
+
+
+def _fitted_table(spark: SparkSession, fitted: bins.Binning) -> DataFrame:
+    """Every fitted bin with its upper edge (none for the last one, missing values and groups), counts, rate, WOE and IV."""
+    ends = [(f, i, e) for f, s in fitted.specs.items() for i, e in enumerate(s.edges)]
+    upper = spark.createDataFrame(ends, "feature string, bin_index int, upper double")
+    rows = bins.bin_table(spark, fitted).join(upper, ["feature", "bin_index"], "left")
+    return rounded(rows.select("feature", "bin_index", "upper", "count", "bad", "bad_rate", "woe", "iv"))
+
+
+@query("h1_monotone_bins", fitted_sql(NUMERIC_FEATURES))
 def h1_fit(spark: SparkSession, folder: str) -> DataFrame:
     rows = stored(spark, folder, "y", *NUMERIC_FEATURES)
-    return _fitted_facts(spark, bins.Binning(bins.fit_numeric(rows, "y", NUMERIC_FEATURES)))
+    return _fitted_table(spark, bins.Binning(bins.fit_numeric(rows, "y", NUMERIC_FEATURES, edge_digits=EDGE_DIGITS)))
 
 
 PART_LABEL = "CASE WHEN p_size > 25 THEN 1 ELSE 0 END"
@@ -379,9 +427,10 @@ def h2(spark: SparkSession, folder: str) -> DataFrame:
     return bins.categorical_groups(bins.folded_categories(counts)).drop("place")
 
 
-@query("h3_fit_binning", _fitted_sql(FEATURES))
+@query("h3_fit_binning", fitted_sql(NUMERIC_FEATURES, CATEGORICAL_FEATURES))
 def h3(spark: SparkSession, folder: str) -> DataFrame:
-    return _fitted_facts(spark, bins.fit_binning(stored(spark, folder, "y", *FEATURES), "y", FEATURES))
+    rows = stored(spark, folder, "y", *FEATURES)
+    return _fitted_table(spark, bins.fit_binning(rows, "y", FEATURES, edge_digits=EDGE_DIGITS))
 
 
 AMOUNT_EDGES = (100000.0, 250000.0, 400000.0)

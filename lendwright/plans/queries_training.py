@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from lendwright.operators import metrics, modeling, report
+from lendwright.operators import metrics, modeling, report, trees
 from lendwright.operators.modeling import PROBABILITY
+from lendwright.operators.order_statistics import hash_order
 from lendwright.operators.splits import SplitPlan
 from lendwright.plans.loan import FEATURES, NUMERIC_FEATURES, loan
 from lendwright.plans.modelling_run import modelling_run
@@ -98,6 +99,132 @@ def i6(spark: SparkSession, folder: str) -> DataFrame:
     return _facts(spark, folder, "forest_nobootstrap")
 
 
+# Encoded features as in the preprocessing: numbers with their median for missing values, then one column per category, in
+# order, and one for rare categories, which stays empty on this table.
+ENCODED_SQL = LOAN + f""",
+numbers AS (SELECT order_id, y, priority, segment, {', '.join(f'coalesce({f}::DOUBLE, median({f}::DOUBLE) OVER ()) AS {f}' for f in NUMERIC_FEATURES)} FROM frozen),
+kinds AS (SELECT 'priority' AS name, priority AS value, {len(NUMERIC_FEATURES)} + row_number() OVER (ORDER BY priority) - 1 AS feature FROM (SELECT DISTINCT priority FROM frozen)
+  UNION ALL SELECT 'segment', segment, {len(NUMERIC_FEATURES)} + (SELECT count(DISTINCT priority) + 1 FROM frozen) + row_number() OVER (ORDER BY segment) - 1
+    FROM (SELECT DISTINCT segment FROM frozen)),
+width AS (SELECT {len(NUMERIC_FEATURES)} + count(DISTINCT priority) + count(DISTINCT segment) + 2 AS features, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1 FROM frozen),
+cells AS (SELECT order_id, y, unnest(range({len(NUMERIC_FEATURES)})) AS feature, unnest([{', '.join(NUMERIC_FEATURES)}]) AS v FROM numbers
+  UNION ALL SELECT order_id, y, feature, CASE WHEN value = CASE name WHEN 'priority' THEN priority ELSE segment END THEN 1.0 ELSE 0.0 END FROM numbers, kinds)"""
+
+# Every tree draws the root of so many varying features in md5 order, each with an even threshold between its bounds.
+ROOTS_SQL = ENCODED_SQL + """,
+bounds AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM cells GROUP BY feature HAVING min(v) < max(v)),
+drawn AS (
+  SELECT tree, feature, draw, lo + ('0x' || substr(md5('42|' || tree || '|1|' || feature || '|cut'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * (hi - lo) AS cut
+  FROM (SELECT *, md5('42|' || tree || '|1|' || feature) AS draw FROM bounds, (SELECT unnest(range(240)) AS tree))
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY draw, feature) <= (SELECT floor(sqrt(features)) FROM width)),
+counted AS (
+  SELECT tree, d.feature, draw, cut, count(*) FILTER (WHERE y = 0) AS l0, count(*) FILTER (WHERE y = 1) AS l1
+  FROM drawn d JOIN cells c ON c.feature = d.feature AND v <= cut GROUP BY ALL),
+weighted AS (
+  SELECT *, (n0 + n1) / (2.0::DOUBLE * n0) AS w0, (n0 + n1) / (2.0::DOUBLE * n1) AS w1 FROM counted, width
+  WHERE l0 + l1 >= 15 AND n0 + n1 - l0 - l1 >= 15),
+gains AS (
+  SELECT *, (w0 * n0 + w1 * n1 - ((w0 * n0) ** 2 + (w1 * n1) ** 2) / (w0 * n0 + w1 * n1))
+    - (w0 * l0 + w1 * l1 - ((w0 * l0) ** 2 + (w1 * l1) ** 2) / (w0 * l0 + w1 * l1))
+    - (w0 * (n0 - l0) + w1 * (n1 - l1) - ((w0 * (n0 - l0)) ** 2 + (w1 * (n1 - l1)) ** 2) / (w0 * (n0 - l0) + w1 * (n1 - l1))) AS gain FROM weighted)
+SELECT tree::INTEGER AS tree, feature::INTEGER AS feature, round(cut, 6) AS threshold, (l0 + l1)::BIGINT AS left_rows,
+       round(w1 * l1 / (w0 * l0 + w1 * l1), 8) AS left_share, round(w1 * (n1 - l1) / (w0 * (n0 - l0) + w1 * (n1 - l1)), 8) AS right_share,
+       round(gain, 4) AS gain
+FROM gains QUALIFY row_number() OVER (PARTITION BY tree ORDER BY gain DESC, draw) = 1"""
+
+
+def _tree_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, int, dict[int, float], float]:
+    """Encoded rows of the whole table, their width, balanced weights and negatives per positive."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    rows = stored(spark, folder, "order_id", "y", *FEATURES)
+    encoded = Pipeline(stages=modeling.preprocessing(rows, FEATURES, scale=False)).fit(rows).transform(rows)
+    ready = materialize(encoded.select(vector_to_array("__features").alias("x"), "y", F.xxhash64("order_id").alias("key")), "tree-rows")
+    classes = {r["class"]: r for r in modeling.class_weights(rows, "y").collect()}
+    return ready, ready.select(F.size("x")).first()[0], {k: v["balanced_weight"] for k, v in classes.items()}, classes[1]["positive_scale"]
+
+
+@query("i6_extra_trees_roots", ROOTS_SQL)
+def i6_roots(spark: SparkSession, folder: str) -> DataFrame:
+    """The first split of all 240 extremely randomised trees: drawn threshold, rows and weighted shares on both sides, gain."""
+    rows, width, weights, _ = _tree_rows(spark, folder)
+    grown = trees.grow_extra_trees(rows, width, trees=240, depth=1, leaf=15, weights=weights)
+    found = [
+        (k, t.feature[0], t.threshold[0], t.rows[1], t.value[1], t.value[2], t.gain[0]) for k, t in enumerate(grown.trees) if t.feature[0] >= 0
+    ]
+    schema = "tree int, feature int, threshold double, left_rows long, left_share double, right_share double, gain double"
+    out = spark.createDataFrame(found, schema)
+    return rounded(out).withColumns({"threshold": r("threshold", 6), "gain": r("gain", 4)})
+
+
+# Gradients at the first round are those of equal odds, in fixed point. A bin ends at a distinct value or at a quantile.
+FIRST_ROUND_SQL = ENCODED_SQL + f""",
+kept AS (SELECT feature, v, y FROM cells),
+distinct_values AS (SELECT feature, count(DISTINCT v) AS kinds, max(v) AS most FROM kept GROUP BY feature),
+cuts AS (
+  SELECT feature, list_sort(list_distinct(list_filter(CASE WHEN kinds <= {trees.MAX_BINS} THEN all_values ELSE quantiles END, lambda c: c < most))) AS cuts
+  FROM (SELECT feature, list(DISTINCT v) AS all_values, quantile_cont(v, {[i / trees.MAX_BINS for i in range(1, trees.MAX_BINS)]}) AS quantiles FROM kept GROUP BY feature)
+  JOIN distinct_values USING (feature)),
+scale AS (SELECT n0 / n1 AS positive FROM width),
+binned AS (
+  SELECT feature, len(list_filter(cuts, lambda c: c < v)) AS bin, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n1 FROM kept JOIN cuts USING (feature)
+  GROUP BY ALL),
+sums AS (
+  SELECT feature, bin, n, ((n - n1) * 8388608 - n1 * round(positive * 8388608)) / 16777216.0::DOUBLE AS g,
+         ((n - n1) * 4194304 + n1 * round(positive * 4194304)) / 16777216.0::DOUBLE AS h FROM binned, scale)"""
+
+SPLIT_COLUMNS = """SELECT s.feature::INTEGER AS feature, round(cuts[bin + 1], 6) AS threshold, round(gain, 4) AS gain, ln_::BIGINT AS left_rows,
+  round(-0.035::DOUBLE * gl / (hl + 3), 8) AS left_value, round(-0.035::DOUBLE * (g - gl) / (h - hl + 3), 8) AS right_value"""
+
+
+@query(
+    "i7_gradient_bins",
+    FIRST_ROUND_SQL + " SELECT feature::INTEGER AS feature, bin::INTEGER AS bin, n::BIGINT AS n, round(g, 6) AS g, round(h, 6) AS h FROM sums",
+)
+def i7_bins(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and sums of gradient and hessian of every bin of every encoded feature before the first tree."""
+    rows, width, _, positive = _tree_rows(spark, folder)
+    found = trees.first_histogram(rows, width, trees.BoostingPlan(), {0: 1.0, 1: positive})
+    return rounded(spark.createDataFrame(found, "feature int, bin int, n long, g double, h double"), 6)
+
+
+@query(
+    "i7_first_split",
+    FIRST_ROUND_SQL + """,
+    run AS (SELECT *, sum(n) OVER w AS ln_, sum(g) OVER w AS gl, sum(h) OVER w AS hl FROM sums WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+    totals AS (SELECT feature, sum(g) AS g, sum(h) AS h FROM sums GROUP BY feature),
+    gains AS (SELECT run.feature, bin, ln_, gl, hl, t.g, t.h, (gl * gl / (hl + 3) + (t.g - gl) ** 2 / (t.h - hl + 3) - t.g ** 2 / (t.h + 3)) / 2 AS gain
+              FROM run JOIN totals t ON t.feature = run.feature WHERE hl >= 1 AND t.h - hl >= 1) """
+    + SPLIT_COLUMNS + " FROM gains s JOIN cuts ON cuts.feature = s.feature WHERE bin < len(cuts) QUALIFY row_number() OVER (ORDER BY round(gain, 6) DESC, s.feature, bin) = 1",
+)
+def i7_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The first split of second-order boosting: place, gain and Newton values of its leaves."""
+    rows, width, _, positive = _tree_rows(spark, folder)
+    tree = trees.grow_boosted(rows, width, trees.BoostingPlan(rounds=1, depth=1), {0: 1.0, 1: positive}).trees[0]
+    found = [(tree.feature[0], tree.threshold[0], tree.gain[0], tree.rows[1], tree.value[1], tree.value[2])]
+    schema = "feature int, threshold double, gain double, left_rows long, left_value double, right_value double"
+    out = spark.createDataFrame(found, schema)
+    return rounded(out).withColumns({"threshold": r("threshold", 6), "gain": r("gain", 4)})
+
+
+def _codes_sql(name: str) -> str:
+    earlier = f"OVER (PARTITION BY {name} ORDER BY md5(order_id::VARCHAR || '|42') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"round((coalesce(sum(y) {earlier}, 0) + p) / (count(*) {earlier} + 1.0::DOUBLE), 8) AS {name}_code"
+
+
+@query(
+    "i7_ordered_target_codes",
+    LOAN + f" SELECT order_id, {_codes_sql('priority')}, {_codes_sql('segment')} FROM frozen, (SELECT avg(y) AS p FROM frozen)",
+)
+def i7_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories coded by the label's mean over earlier rows of the category, in hashed order."""
+    rows = stored(spark, folder, "order_id", "y", "priority", "segment")
+    prior = float(rows.agg(F.avg("y")).first()[0])
+    coded = trees.ordered_target_codes(rows, ["priority", "segment"], "y", hash_order(F.col("order_id"), 42), prior)
+    return rounded(coded.select("order_id", "priority_code", "segment_code"))
+
+
 @query("i7_boosted_depth4", facts_sql("boosted_depth4"))
 def i7(spark: SparkSession, folder: str) -> DataFrame:
     return _facts(spark, folder, "boosted_depth4")
