@@ -1,11 +1,14 @@
-"""Weight-of-evidence binning: fit on the training rows, apply anywhere as one expression."""
+"""Weight-of-evidence binning: fit on the training rows, apply anywhere as one expression.
+
+A feature with very many rare categories keeps them in a dictionary table, which is joined before the expression.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -22,16 +25,17 @@ from lendwright.functions.expressions import (
 )
 from lendwright.operators.order_statistics import (
     exact_quantiles,
+    join_unique,
     quantile_grid,
     unpivot_values,
 )
 from lendwright.operators.screening import distinct_up_to, inner_edges, woe_columns
-from lendwright.session import materialize
+from lendwright.session import materialize, scratch_path
 
 MISSING_INDEX = -1
 TOLERANCE = 1e-12
-#: Rare categories a feature may have; they travel inside the rules, and a feature with more is refused.
-MAX_RARE_VALUES = 200_000
+#: So many rare categories of a feature travel inside the rules; more are looked up in a written dictionary.
+LITERAL_RARE_VALUES = 20_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +54,8 @@ class BinRow:
 class BinSpec:
     """How one feature is binned, with its training WOE table.
 
-    ``rare_values`` are all categories that training folded; a value outside the groups is looked up there.
+    ``rare_values`` are all categories that training folded; a value outside the groups is looked up there. If they are
+    many, they stand in the Parquet table ``rare_table`` (column value) instead, and ``rare_digest`` tells its contents.
     """
 
     feature: str
@@ -58,6 +63,8 @@ class BinSpec:
     edges: tuple[float, ...] = ()
     groups: tuple[tuple[str, ...], ...] = ()
     rare_values: tuple[str, ...] = ()
+    rare_table: str = ""
+    rare_digest: str = ""
     rows: tuple[BinRow, ...] = ()
     iv: float = 0.0
     monotonic: bool = True
@@ -87,7 +94,9 @@ class Binning:
 
     @property
     def version(self) -> str:
-        text = json.dumps({k: v.to_json() for k, v in self.specs.items()}, sort_keys=True, ensure_ascii=False)
+        # Where a dictionary lies does not change the rules; its digest stands for its contents.
+        rules = {k: replace(v, rare_table="").to_json() for k, v in self.specs.items()}
+        text = json.dumps(rules, sort_keys=True, ensure_ascii=False)
         return "bin_" + hashlib.sha256(text.encode("utf-8")).hexdigest()[:12]
 
 
@@ -108,7 +117,10 @@ def _category(name: str | Column) -> Column:
 
 
 def _is_rare(spec: BinSpec) -> Column:
-    """Is the category among the folded ones? One SQL text, which the engine turns into a hash set."""
+    """Is the category among the folded ones? One SQL text, which the engine turns into a hash set, or the mark that
+    ``with_rare_marks`` has looked up."""
+    if spec.rare_table:
+        return F.coalesce(F.col(f"`{_rare_mark(spec)}`"), F.lit(False))
     wanted = [v for v in spec.rare_values if v != fixed.MISSING]
     if not wanted:
         return F.lit(False)
@@ -116,8 +128,36 @@ def _is_rare(spec: BinSpec) -> Column:
     return F.expr(f"CAST({quoted(spec.feature)} AS STRING) IN ({listed})")
 
 
+def _rare_mark(spec: BinSpec) -> str:
+    return f"__rare_{spec.feature}"
+
+
+def with_rare_marks(df: DataFrame, specs: Iterable[BinSpec]) -> DataFrame:
+    """``df`` with a mark for every feature whose rare categories stand in a dictionary table.
+
+    Only values that no group names are looked up; a value that fills much of the table does not make a hot key.
+    """
+    for spec in specs:
+        if spec.rare_table:
+            mark, key = _rare_mark(spec), f"__key_{spec.feature}"
+            named = [v for group in spec.groups for v in group if v not in (fixed.RARE, fixed.MISSING)]
+            value = column(spec.feature).cast("string")
+            keyed = df.withColumn(key, F.when(value.isin(*named), None).otherwise(value) if named else value)
+            known = df.sparkSession.read.parquet(spec.rare_table).select(F.col("value").alias(key), F.lit(True).alias(mark))
+            joined = keyed.join(known, key, "left") if df.isStreaming else join_unique(keyed, known, [key])
+            df = joined.select(*[F.col(f"`{c}`") for c in df.columns], mark)
+    return df
+
+
+def without_marks(df: DataFrame, specs: Iterable[BinSpec]) -> DataFrame:
+    return df.drop(*[_rare_mark(s) for s in specs if s.rare_table])
+
+
 def bin_index(df: DataFrame, spec: BinSpec) -> Column:
-    """0-based bin number, -1 for missing numbers, NULL for unseen categories."""
+    """0-based bin number, -1 for missing numbers, NULL for unseen categories.
+
+    A spec with a dictionary needs a ``df`` from ``with_rare_marks``.
+    """
     if spec.kind == "numeric":
         number = number_sql(spec.feature, df.schema[spec.feature].dataType)
         return F.expr(right_closed_sql(number, spec.edges, str(MISSING_INDEX)))
@@ -153,12 +193,16 @@ def woe_value(df: DataFrame, spec: BinSpec) -> Column:
 
 
 def apply_bins(df: DataFrame, binning: Binning, suffix: str = "_bin") -> DataFrame:
-    return df.withColumns({f"{s.feature}{suffix}": bin_label(df, s) for s in binning.specs.values()})
+    specs = list(binning.specs.values())
+    marked = with_rare_marks(df, specs)
+    return without_marks(marked.withColumns({f"{s.feature}{suffix}": bin_label(marked, s) for s in specs}), specs)
 
 
 def woe_transform(df: DataFrame, binning: Binning, suffix: str = "_woe") -> DataFrame:
-    """One WOE column per feature: a pure projection."""
-    return df.withColumns({f"{s.feature}{suffix}": woe_value(df, s) for s in binning.specs.values()})
+    """One WOE column per feature: a projection, after a lookup for features with a dictionary."""
+    specs = list(binning.specs.values())
+    marked = with_rare_marks(df, specs)
+    return without_marks(marked.withColumns({f"{s.feature}{suffix}": woe_value(marked, s) for s in specs}), specs)
 
 
 # --- fitting -------------------------------------------------------------------------------
@@ -318,8 +362,10 @@ def categorical_groups(folded: DataFrame, max_bins: int = 8) -> DataFrame:
 
 
 def fit_categorical(
-    df: DataFrame, label: str, features: Sequence[str], *, max_bins: int = 8, rare_fraction: float = 0.01
+    df: DataFrame, label: str, features: Sequence[str], *, max_bins: int = 8, rare_fraction: float = 0.01,
+    literal_rare: int = LITERAL_RARE_VALUES,
 ) -> dict[str, BinSpec]:
+    """Groups in bad-rate order. Rare categories beyond ``literal_rare`` go to a dictionary table in the shared folder."""
     if not features:
         return {}
     # Counted once: groups, totals and rare values all come from this table.
@@ -327,12 +373,17 @@ def fit_categorical(
     grouped = categorical_groups(folded_categories(counts, rare_fraction), max_bins).collect()
     totals = counts.groupBy("feature").agg(F.sum("count").alias("n"))
     rare = counts.join(totals, "feature").filter(_rare(rare_fraction)).select("feature", "value")
-    sizes = {r["feature"]: r["count"] for r in rare.groupBy("feature").count().collect()}
-    crowded = [f for f in features if sizes.get(f, 0) > MAX_RARE_VALUES]
-    if crowded:
-        raise ValueError(f"RARE_CATEGORIES_TOO_MANY: {crowded}")
+    sizes = {
+        r["feature"]: (r["n"], f"{r['x'] & (2**64 - 1):016x}")
+        for r in rare.groupBy("feature").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("value")).alias("x")).collect()
+    }
+    crowded = [f for f in features if sizes.get(f, (0, ""))[0] > literal_rare]
+    dictionaries = {}
+    for f in crowded:
+        dictionaries[f] = scratch_path(df.sparkSession, "rare-values")
+        rare.filter(F.col("feature") == f).select("value").write.parquet(dictionaries[f])
     listed: dict[str, list[str]] = {f: [] for f in features}
-    for r in rare.collect():
+    for r in rare.filter(~F.col("feature").isin(*crowded)).collect():
         listed[r["feature"]].append(r["value"])
     specs = {}
     for f in features:
@@ -349,6 +400,8 @@ def fit_categorical(
             "categorical",
             groups=tuple(tuple(r["value"] for r in m) for m in members),
             rare_values=tuple(sorted(listed[f])),
+            rare_table=dictionaries.get(f, ""),
+            rare_digest=sizes[f][1] if f in dictionaries else "",
             rows=woe,
             iv=iv,
             monotonic=is_monotonic([r.bad_rate for r in woe]),
@@ -387,8 +440,9 @@ def apply_manual_binning(binning: Binning, df: DataFrame, label: str, spec: BinS
         places = {MISSING_INDEX: fixed.MISSING, **dict(enumerate(interval_labels(spec.edges)))}
     else:
         places = {None: fixed.OTHER, **{i: group_label(i) for i in range(len(spec.groups))}}
+    marked = with_rare_marks(df, [spec])
     counted = (
-        df.groupBy(bin_index(df, spec).alias("i"))
+        marked.groupBy(bin_index(marked, spec).alias("i"))
         .agg(F.count("*").alias("count"), F.sum(label).cast("long").alias("bad"))
         .collect()
     )
@@ -430,11 +484,12 @@ def bin_table(spark: SparkSession, binning: Binning) -> DataFrame:
 def woe_table(df: DataFrame, label: str, binning: Binning, keys: Sequence[str] = ()) -> DataFrame:
     """Counts, rates, WOE and IV per bin of the given rows, all features (and keys) in one job."""
     specs = list(binning.specs.values())
-    long = df.select(
+    marked = with_rare_marks(df, specs)
+    long = marked.select(
         *keys,
         F.col(label).alias("y"),
         unpivot_values(
-            [(s.feature, [F.coalesce(bin_index(df, s), F.lit(len(s.groups))), bin_label(df, s)]) for s in specs],
+            [(s.feature, [F.coalesce(bin_index(marked, s), F.lit(len(s.groups))), bin_label(marked, s)]) for s in specs],
             ["bin_index", "bin"],
         ),
     )

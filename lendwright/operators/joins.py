@@ -15,6 +15,8 @@ from lendwright.operators.order_statistics import join_unique, unpivot_values
 from lendwright.operators.profile import column_profile
 
 MAX_INFLATION = 1.001
+#: Theta sketches keep up to 2^bits hashes per column; columns with fewer distinct values are counted exactly.
+SKETCH_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -62,13 +64,18 @@ def recommend_keys(left: DataFrame, right: DataFrame, max_keys: int = 3) -> Data
         F.count_if("in_right").alias("right_distinct"),
         F.sum("right_rows").alias("right_rows"),
     )
+    return _ranked_keys(per_column.withColumnRenamed("feature", "key"), common, max_keys)
+
+
+def _ranked_keys(per_column: DataFrame, common: Sequence[str], max_keys: int) -> DataFrame:
+    """Advice from the counts (key, overlap, left_distinct, right_distinct, right_rows) of same-named columns."""
     overlap = F.col("overlap") / F.greatest(F.lit(1), F.least("left_distinct", "right_distinct"))
     identifiers = [c for c in common if name_matches(fixed.ID_NAME, c)]
-    bonus = F.when(F.col("feature").isin(*identifiers), F.lit(0.35)).otherwise(F.lit(0.0))
+    bonus = F.when(F.col("key").isin(*identifiers), F.lit(0.35)).otherwise(F.lit(0.0))
     unique = F.col("right_distinct") / F.col("right_rows")
-    position = F.array_position(F.array(*[F.lit(c) for c in common]), F.col("feature"))
+    position = F.array_position(F.array(*[F.lit(c) for c in common]), F.col("key"))
     scored = per_column.filter((F.col("left_distinct") > 0) & (F.col("right_distinct") > 0)).select(
-        F.col("feature").alias("key"),
+        "key",
         F.round(F.least(F.lit(1.0), overlap + bonus), 4).alias("score"),
         F.round(overlap, 4).alias("overlap_rate"),
         F.round(unique, 4).alias("right_unique_rate"),
@@ -82,6 +89,64 @@ def recommend_keys(left: DataFrame, right: DataFrame, max_keys: int = 3) -> Data
     )
 
 
+def overlap_error(distinct_union: float, overlap: float, sketch_bits: int = SKETCH_BITS) -> float:
+    """Relative standard error of a sketched overlap: none while both columns fit into their sketches, else about
+    sqrt(union / overlap / 2^bits)."""
+    if distinct_union <= 1 << sketch_bits:
+        return 0.0
+    return (distinct_union / max(overlap, 1.0) / (1 << sketch_bits)) ** 0.5
+
+
+def key_overlaps(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """(left_key, right_key, overlap, left_distinct, right_distinct, right_rows) of column pairs, from one theta sketch per column.
+
+    A table is read once and no value is shuffled, only sketches of at most 2^bits hashes; see ``overlap_error``.
+    """
+
+    def sketched(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
+        texts = [column(c).cast("string") for c in columns]
+        return df.agg(
+            *[F.theta_sketch_agg(t, sketch_bits).alias(f"{prefix}s{i}") for i, t in enumerate(texts)],
+            *[F.count(t).alias(f"{prefix}n{i}") for i, t in enumerate(texts)],
+        )
+
+    lefts, rights = (list(dict.fromkeys(p[side] for p in pairs)) for side in (0, 1))
+    both = sketched(left, lefts, "l").crossJoin(sketched(right, rights, "r"))  # one row each
+    rows = []
+    for a, b in pairs:
+        x, y = F.col(f"ls{lefts.index(a)}"), F.col(f"rs{rights.index(b)}")
+        rows.append(
+            F.struct(
+                F.lit(a).alias("left_key"),
+                F.lit(b).alias("right_key"),
+                F.theta_sketch_estimate(F.theta_intersection(x, y)).cast("long").alias("overlap"),
+                F.theta_sketch_estimate(x).cast("long").alias("left_distinct"),
+                F.theta_sketch_estimate(y).cast("long").alias("right_distinct"),
+                F.col(f"rn{rights.index(b)}").alias("right_rows"),
+            )
+        )
+    return both.select(F.inline(F.array(*rows)))
+
+
+def recommend_keys_sketched(left: DataFrame, right: DataFrame, max_keys: int = 3, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """``recommend_keys`` from sketches, for wide or very long tables."""
+    common = [c for c in left.columns if c in right.columns]
+    if not common:
+        raise ValueError("NO_COMMON_COLUMNS")
+    found = key_overlaps(left, right, [(c, c) for c in common], sketch_bits)
+    return _ranked_keys(found.withColumnRenamed("left_key", "key").drop("right_key"), common, max_keys)
+
+
+def recommend_key_pairs(left: DataFrame, right: DataFrame, least_overlap: float = 0.5, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+    """Pairs of columns of any name whose distinct values overlap, best first: (left_key, right_key, overlap_rate, right_unique_rate)."""
+    found = key_overlaps(left, right, [(a, b) for a in left.columns for b in right.columns], sketch_bits)
+    overlap = F.col("overlap") / F.greatest(F.lit(1), F.least("left_distinct", "right_distinct"))
+    unique = F.col("right_distinct") / F.greatest(F.lit(1), "right_rows")
+    rated = found.select("left_key", "right_key", F.round(overlap, 4).alias("overlap_rate"), F.round(unique, 4).alias("right_unique_rate"))
+    order = [F.col("right_unique_rate").desc(), F.col("overlap_rate").desc(), "left_key", "right_key"]
+    return rated.filter(F.col("overlap_rate") >= least_overlap).orderBy(*order)
+
+
 def _check_keys(left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str]) -> None:
     if not left_keys or len(left_keys) != len(right_keys):
         raise ValueError("JOIN_KEYS_INVALID")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 from itertools import product
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
@@ -754,6 +754,9 @@ def save_model(
             fitted.pipeline.write().overwrite().save(f"{path}/member={i}/pipeline")
         if fitted.ensemble is not None:
             _write_text(spark, f"{path}/member={i}/ensemble", fitted.ensemble.to_json())
+        for k, spec in enumerate(fitted.rules.binning.specs.values() if fitted.rules else ()):
+            if spec.rare_table:
+                spark.read.parquet(spec.rare_table).write.mode("overwrite").parquet(f"{path}/member={i}/rare={k}")
         isotonic = isinstance(curve, IsotonicRegressionModel)
         if isotonic:
             curve.write().overwrite().save(f"{path}/member={i}/isotonic")
@@ -777,6 +780,13 @@ def save_model(
     )
 
 
+def _with_dictionaries(rules: ScorecardRules, path: str) -> ScorecardRules:
+    """The rules with the dictionary tables that were saved beside them."""
+    specs = rules.binning.specs
+    own = {f: replace(s, rare_table=f"{path}/rare={k}") if s.rare_table else s for k, (f, s) in enumerate(specs.items())}
+    return replace(rules, binning=replace(rules.binning, specs=own))
+
+
 def load_model(spark: SparkSession, path: str) -> tuple[Calibrated, dict[str, str], ScoreScale]:
     path = path.rstrip("/")
     stored = _read_text(spark, f"{path}/model")
@@ -786,7 +796,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[Calibrated, dict[str, st
             stored["name"],
             stored["features"],
             pipeline=PipelineModel.load(f"{path}/member={i}/pipeline") if m["pipeline"] else None,
-            rules=ScorecardRules.from_json(m["rules"]) if m["rules"] else None,
+            rules=_with_dictionaries(ScorecardRules.from_json(m["rules"]), f"{path}/member={i}") if m["rules"] else None,
             constant=m["constant"],
             ensemble=trees.Ensemble.from_json(_read_text(spark, f"{path}/member={i}/ensemble")) if m.get("ensemble") else None,
         )

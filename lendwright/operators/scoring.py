@@ -16,7 +16,7 @@ from lendwright.functions.expressions import (
     score_column_name,
     sigmoid,
 )
-from lendwright.operators.binning import Binning, BinSpec, woe_value
+from lendwright.operators.binning import Binning, BinSpec, with_rare_marks, without_marks, woe_value
 
 
 def probability_to_score(df: DataFrame, probability: str, scale: ScoreScale = ScoreScale()) -> DataFrame:
@@ -146,9 +146,10 @@ class ScorecardRules:
 
 
 def score_with_rules(df: DataFrame, rules: ScorecardRules, output: str = "probability") -> DataFrame:
-    """Bad probability from scorecard rules: a projection, so it runs on streams as well."""
+    """Bad probability from scorecard rules: a projection, after a lookup for features with a dictionary; runs on streams as well."""
     specs = [rules.binning.specs[f] for f in rules.features]
+    marked = with_rare_marks(df, specs)
     linear = F.lit(float(rules.intercept))
     for spec, coefficient in zip(specs, rules.coefficients):
-        linear = linear + F.lit(float(coefficient)) * woe_value(df, spec)
-    return df.withColumn(output, sigmoid(clip(linear, -700, 700)))
+        linear = linear + F.lit(float(coefficient)) * woe_value(marked, spec)
+    return without_marks(marked.withColumn(output, sigmoid(clip(linear, -700, 700))), specs)

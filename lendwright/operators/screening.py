@@ -31,6 +31,7 @@ from lendwright.operators.order_statistics import (
 )
 
 RARE_SHARE = 0.005
+from lendwright.session import materialize
 
 
 @dataclass(frozen=True)
@@ -157,6 +158,41 @@ def iv_bins(
     return woe_columns(folded).select("feature", "bin", "count", "good", "bad", "bad_rate", "woe", "iv")
 
 
+def iv_bins_by_target(
+    df: DataFrame, labels: Sequence[str], features: Sequence[str], *, max_bins: int = 10, edge_digits: int | None = None
+) -> DataFrame:
+    """``iv_bins`` of every label over its own 0/1 rows, as (target, feature, bin, …), from one counting job for all labels."""
+    valid = {t: F.col(f"`{t}`").isin(0, 1) for t in labels}
+    own = {(t, f): f"__{i}_{j}" for i, t in enumerate(labels) for j, f in enumerate(features)}
+    wide = df.select(
+        *[F.when(valid[t], F.col(f"`{t}`")).alias(f"__y{i}") for i, t in enumerate(labels)],
+        *[F.when(valid[t], F.col(f"`{f}`")).alias(name) for (t, f), name in own.items()],
+    )
+    edges = iv_edges(wide, list(own.values()), max_bins, edge_digits)
+    entries = [
+        (f, [F.lit(t), F.col(f"__y{labels.index(t)}"), *_value_bin(wide, name, edges)]) for (t, f), name in own.items()
+    ]
+    long = wide.select(unpivot_values(entries, ["target", "y", "place", "value"])).filter(F.col("y").isNotNull())
+    # Written once: the sizes that make a value rare come from the same counts.
+    counted = materialize(
+        long.groupBy("target", "feature", "place", "value").agg(F.count("*").alias("count"), F.sum("y").cast("long").alias("bad")),
+        "target-bins",
+    )
+    sizes = counted.groupBy("target", "feature").agg(F.sum("count").alias("n"))
+    floor = F.greatest(F.lit(20), F.floor(F.col("n") * F.lit(RARE_SHARE)))
+    name = F.coalesce(
+        F.when(F.col("value").isNotNull() & (F.col("count") < floor), F.lit(fixed.RARE)),
+        F.col("value"),
+        F.concat(F.lit("q"), F.lpad(F.col("place").cast("string"), 2, "0")),
+        F.lit(fixed.MISSING),
+    )
+    folded = counted.join(sizes, ["target", "feature"]).groupBy("target", "feature", name.alias("bin")).agg(
+        F.sum("count").alias("count"), F.sum("bad").alias("bad")
+    )
+    columns = ("target", "feature", "bin", "count", "good", "bad", "bad_rate", "woe", "iv")
+    return woe_columns(folded, ["target", "feature"]).select(*columns)
+
+
 def iv_ranking(bins: DataFrame) -> DataFrame:
     return bins.groupBy("feature").agg(
         F.greatest(F.sum("iv"), F.lit(0.0)).alias("iv"), F.count("*").alias("bins")

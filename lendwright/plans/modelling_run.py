@@ -85,3 +85,8 @@ def modelling_run(
         "comparison": comparison_sheet(training.candidates),
     }
     return ModellingResult(split, screening, binning, training, sheets)
+
+
+def modelling_run_per_target(df: DataFrame, targets: Sequence[str], row_id: str, plan: SplitPlan, **options) -> dict[str, ModellingResult]:
+    """One run per target over the same table; every other target is kept out of the features of each."""
+    return {t: modelling_run(df, t, row_id, plan, protected_targets=[o for o in targets if o != t], **options) for t in targets}

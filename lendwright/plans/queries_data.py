@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lendwright.operators import cleaning, joins, labels, profile
 from lendwright.plans.loan import loan, order_lines, table
 from lendwright.plans.registry import LOAN, query, rounded
-from lendwright.session import scratch_path
+from lendwright.session import materialize, scratch_path
 from lendwright.sources import files, versions
 
 TABLES = (
@@ -94,6 +94,22 @@ def a6(spark: SparkSession, folder: str) -> DataFrame:
     return versions.read_version(spark, root, version).groupBy("o_orderstatus").agg(F.count("*").alias("orders"))
 
 
+@query(
+    "a6_changed_files",
+    """SELECT 'untouched' AS moment, 0 AS files, 0 AS rows UNION ALL SELECT 'after an append', 1, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')""",
+)
+def a6_changed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a version that differ from its manifest, before and after somebody appends rows to its folder."""
+    root = scratch_path(spark, "versions")
+    orders = table(spark, folder, "orders")
+    version = versions.write_version(orders, root, "orders")
+    facts = [F.count("*").cast("int").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")]
+    before = materialize(versions.changed_files(spark, root, version).agg(F.lit("untouched").alias("moment"), *facts))
+    orders.filter("o_orderstatus = 'P'").coalesce(1).write.mode("append").parquet(versions.version_path(root, version))
+    after = versions.changed_files(spark, root, version).agg(F.lit("after an append").alias("moment"), *facts)
+    return before.unionByName(after)
+
+
 @query(
     "a7_csv_export",
     "SELECT n_nationkey, n_name, n_regionkey FROM nation",
@@ -194,6 +210,40 @@ def b2_approximate(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.column_profile(loan(spark, folder), approximate=True))
 
 
+STATE_TABLE = "lineitem"
+
+
+def _state_sql(name: str) -> str:
+    each = " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, count(*) AS rows, count(*) - count({c}) AS missing_count,
+            {f'min({c})::DOUBLE' if kind == 'number' else 'NULL::DOUBLE'} AS least, {f'max({c})::DOUBLE' if kind == 'number' else 'NULL::DOUBLE'} AS most,
+            CASE WHEN count(DISTINCT {c}) < 100 THEN count(DISTINCT {c}) END AS few_values FROM {name}"""
+        for c, kind in STATE_COLUMNS
+    )
+    return each
+
+
+STATE_COLUMNS = (
+    ("l_orderkey", "number"), ("l_quantity", "number"), ("l_extendedprice", "number"), ("l_discount", "number"),
+    ("l_returnflag", "text"), ("l_linestatus", "text"),
+)
+
+
+@query("b2_merged_profile_state", _state_sql(STATE_TABLE))
+def b2_state(spark: SparkSession, folder: str) -> DataFrame:
+    """States of four parts of a table, written one by one and merged: the facts of the whole without reading it again."""
+    rows = table(spark, folder, STATE_TABLE).select(*[c for c, _ in STATE_COLUMNS])
+    part = F.pmod(F.xxhash64("l_orderkey"), F.lit(4))
+    paths = []
+    for k in range(4):
+        paths.append(scratch_path(spark, "profile-state"))
+        profile.profile_state(rows.filter(part == k)).write.parquet(paths[-1])
+    facts = profile.state_facts(profile.merged_state(spark.read.parquet(*paths)))
+    return facts.select(
+        "name", "rows", "missing_count", "least", "most", F.when(F.col("unique_count") < 100, F.col("unique_count")).alias("few_values")
+    )
+
+
 @query(
     "b2_described_profile",
     f"""WITH facts AS ({_profile_sql('customer', tuple(zip(COLUMNS['customer'], TYPED['customer'])))})
@@ -501,6 +551,35 @@ def e1_many(spark: SparkSession, folder: str) -> DataFrame:
     return joins.recommend_keys(_keyed_orders(spark, folder), _keyed_lines(spark, folder))
 
 
+# At this scale every column fits into its sketch, so the counts are exact.
+@query("e1_recommend_keys_sketched", _advice_sql("customer", (("customer_id", "o_custkey", "c_custkey"), ("amount", "o_totalprice", "c_acctbal"))))
+def e1_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """The same advice from one sketch per column, without shuffling values."""
+    return joins.recommend_keys_sketched(_keyed_orders(spark, folder), _keyed_customers(spark, folder))
+
+
+KEY_PAIRS = (("o_orderkey", "o_custkey", "o_orderstatus"), ("l_orderkey", "l_suppkey", "l_linestatus", "l_returnflag"))
+
+
+def _pairs_sql() -> str:
+    each = " UNION ALL ".join(
+        f"""SELECT '{a}' AS left_key, '{b}' AS right_key, (SELECT count(*) FROM (SELECT {a} FROM orders INTERSECT SELECT {b} FROM lineitem)) AS overlap,
+            (SELECT count(DISTINCT {a}) FROM orders) AS ld, (SELECT count(DISTINCT {b}) FROM lineitem) AS rd, (SELECT count({b}) FROM lineitem) AS rn"""
+        for a in KEY_PAIRS[0]
+        for b in KEY_PAIRS[1]
+        if (a == "o_orderstatus") == (b in ("l_linestatus", "l_returnflag"))
+    )
+    return f"""SELECT left_key, right_key, round(overlap / greatest(1, least(ld, rd)), 4) AS overlap_rate, round(rd / greatest(1, rn), 4) AS right_unique_rate
+      FROM ({each}) WHERE round(overlap / greatest(1, least(ld, rd)), 4) >= 0.5"""
+
+
+@query("e1_key_pairs", _pairs_sql())
+def e1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns of two tables that share their values, whatever they are called."""
+    left = table(spark, folder, "orders").select(*KEY_PAIRS[0])
+    return joins.recommend_key_pairs(left, table(spark, folder, "lineitem").select(*KEY_PAIRS[1]))
+
+
 def _check_sql(name: str, left: str, right: str, l: str, rr: str, grain: str) -> str:
     return f"""SELECT '{name}' AS name, (SELECT count(*) FROM {left}) AS left_rows, (SELECT count(*) FROM {right}) AS right_rows,
       (SELECT count(*) FROM {left}) - (SELECT count(*) FROM (SELECT DISTINCT {l} FROM {left})) AS left_key_duplicates,

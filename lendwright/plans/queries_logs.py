@@ -11,7 +11,7 @@ from lendwright.plans.loan import table
 from lendwright.plans.queries_data import COLUMNS, TYPED, _profile_sql
 from lendwright.plans.registry import query, rounded
 from lendwright.session import scratch_path
-from lendwright.streaming import event_tail
+from lendwright.streaming import event_tail, run_state, usage_windows
 
 # --- M: privacy -----------------------------------------------------------------------------
 
@@ -170,6 +170,25 @@ def n1(spark: SparkSession, folder: str) -> DataFrame:
     return runlogs.event_integrity(events, runs=runs)
 
 
+@query(
+    "n1_integrity_stream",
+    "WITH " + CONVERSATION_EVENTS
+    + """ SELECT run_id::VARCHAR AS run, count(*) AS n_events, min(seq) AS first_seq, max(seq) AS last_seq, arg_max(status, seq) AS last_status,
+         min(seq) = 1 AND max(seq) = count(*) AND count(DISTINCT seq) = count(*) AS contiguous, count(DISTINCT id) = count(*) AS unique_ids
+       FROM ev GROUP BY 1""",
+)
+def n1_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same check on a stream of events that arrive in four waves and out of order, with state per run."""
+    events = _conversation_events(spark, folder).withColumnRenamed("run_id", "run")
+    source, target = scratch_path(spark, "waves"), scratch_path(spark, "run-facts")
+    wave = F.pmod(F.xxhash64("run", "seq"), F.lit(4))
+    for k in range(4):
+        events.filter(wave == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run_state.follow(run_state.run_facts(stream), target, scratch_path(spark, "run-cursor")).awaitTermination()
+    return run_state.current_runs(spark, target).drop("silent")
+
+
 # Spans: event k of trace t = event_id % 16 hangs below event k // 2 of the same trace. Some traces
 # are damaged: a missing parent, a loop, a second root, a doubled id.
 SPANS = """spans AS (SELECT event_id % 16 AS trace_id, event_id AS id,
@@ -469,6 +488,44 @@ def n8_month(spark: SparkSession, folder: str) -> DataFrame:
     return runlogs.usage_by_month(_requests(spark, folder), "ts", "usage")
 
 
+# Three waves in time order, and every fiftieth event with the last one.
+WAVE = "CASE WHEN event_id % 50 = 0 THEN 2 ELSE event_id * 3 {div} (SELECT max(event_id) + 1 FROM events) END"
+
+
+@query(
+    "n8_usage_stream",
+    f"""WITH waves AS (SELECT *, {WAVE.format(div='//')} AS wave FROM events),
+    marks AS (SELECT wave, max(max(ts)) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS mark FROM waves GROUP BY wave),
+    told AS (SELECT *, coalesce(ts < mark, false) AS late FROM waves JOIN marks USING (wave))
+    SELECT event_type, count(DISTINCT date_trunc('hour', ts)) FILTER (WHERE NOT late) AS windows, count(*) FILTER (WHERE NOT late) AS requests,
+      round(sum(value) FILTER (WHERE NOT late), 4) AS amount, count(*) FILTER (WHERE late) AS late_requests,
+      round(coalesce(sum(value) FILTER (WHERE late), 0), 4) AS late_amount FROM told GROUP BY 1""",
+)
+def n8_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly sums of a stream in three waves beside the rows that came too late for them."""
+    events = table(spark, folder, "events")
+    size = events.agg(F.max("event_id") + 1).first()[0]
+    wave = F.when(F.col("event_id") % 50 == 0, 2).otherwise(F.floor(F.col("event_id") * 3 / F.lit(size)))
+    source, target = scratch_path(spark, "waves"), scratch_path(spark, "usage")
+    for k in range(3):
+        events.filter(wave == k).coalesce(1).write.mode("append").parquet(source)
+    query_ = usage_windows.windowed_usage(
+        spark, source, events.schema, target, scratch_path(spark, "usage-cursor"), time="ts", keys=["event_type"],
+        amount=F.col("value"), files_per_batch=1,
+    )
+    query_.awaitTermination()
+    totals = usage_windows.window_totals(spark, target, ["event_type"]).groupBy("event_type").agg(
+        F.count("*").alias("windows"), F.sum("requests").alias("requests"), F.round(F.sum("amount"), 4).alias("amount")
+    )
+    late = usage_windows.late_rows(spark, target, events.schema).groupBy("event_type").agg(
+        F.count("*").alias("late_requests"), F.sum("value").alias("late_amount")
+    )
+    return totals.join(late, "event_type", "left").select(
+        "event_type", "windows", "requests", "amount", F.coalesce("late_requests", F.lit(0)).alias("late_requests"),
+        F.round(F.coalesce("late_amount", F.lit(0.0)), 4).alias("late_amount"),
+    )
+
+
 @query(
     "n9_span_duration",
     """SELECT o_orderkey, l_linenumber, greatest(0, floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 1000))::BIGINT AS duration_ms

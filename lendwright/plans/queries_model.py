@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lendwright.functions.expressions import ScoreScale
 from lendwright.operators import binning as bins
-from lendwright.operators import metrics, report, scoring, screening, splits
+from lendwright.operators import metrics, order_statistics, privacy, profile, report, scoring, screening, splits
 from lendwright.operators.labels import freeze_target
 from lendwright.plans.loan import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, loan, table
 from lendwright.plans.registry import LOAN, SCORED, deciles, query, rounded
@@ -235,8 +235,7 @@ SCREEN_SOURCE = """, src AS (SELECT *, 7 AS constant, CASE WHEN order_id % 5 < 2
   CASE WHEN qty > 100 THEN 1 ELSE 0 END AS other_y FROM frozen)"""
 
 
-@query(
-    "g3_screening_reasons",
+G3_SQL = (
     LOAN + SCREEN_SOURCE + ", "
     + iv_sql("src", (*NUMERIC_FEATURES, "often_missing"), CATEGORICAL_FEATURES)
     + ", ranked AS (" + RANKING + "), facts AS ("
@@ -258,24 +257,47 @@ SCREEN_SOURCE = """, src AS (SELECT *, 7 AS constant, CASE WHEN order_id % 5 < 2
     + """), dropped AS (SELECT DISTINCT CASE WHEN x.iv >= z.iv THEN b ELSE a END AS f FROM pairs
          JOIN reasons x ON x.f = a AND x.reason IS NULL JOIN reasons z ON z.f = b AND z.reason IS NULL WHERE c > 0.7)
        SELECT f AS "column", CASE WHEN reason IS NULL AND f IN (SELECT f FROM dropped) THEN 'HIGH_CORRELATION' ELSE reason END AS reason
-       FROM reasons""",
+       FROM reasons"""
 )
+
+
+def screening_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The frozen loan rows with a constant, an often missing column and a second label."""
+    extra = {
+        "constant": F.lit(7),
+        "often_missing": F.when(F.col("order_id") % 5 >= 2, F.col("amount")),
+        "other_y": (F.col("qty") > 100).cast("int"),
+    }
+    return materialize(frozen(spark, folder).withColumns(extra), "screening")
+
+
+@query("g3_screening_reasons", G3_SQL)
 def g3(spark: SparkSession, folder: str) -> DataFrame:
-    rows = materialize(
-        frozen(spark, folder).withColumns(
-            {
-                "constant": F.lit(7),
-                "often_missing": F.when(F.col("order_id") % 5 >= 2, F.col("amount")),
-                "other_y": (F.col("qty") > 100).cast("int"),
-            }
-        ),
-        "screening",
-    )
+    rows = screening_rows(spark, folder)
     limits = screening.ScreeningThresholds(edge_digits=EDGE_DIGITS)
     found = screening.screen_features(rows, "y", REASONED, ["other_y"], limits, row_id="order_id")
     return found.select("column", "reason")
 
 
+@query(
+    "m5_screened_evidence",
+    G3_SQL.replace("ELSE reason END AS reason\n       FROM reasons", "ELSE reason END AS reason, iv, uniq, missing FROM reasons JOIN facts USING (f)").replace(
+        ", ranks AS (", ", place AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in REASONED) + f"]) AS c, unnest(range({len(REASONED)})) AS p), ranks AS (", 1
+    ).replace("""       SELECT f AS "column",""", """ SELECT printf('f_%04d', p + 1) AS alias, uniq AS unique_count, round(missing, 8) AS missing_rate,
+         reason IS NULL AS selected, reason AS selection_reason, CASE WHEN reason IS NULL THEN round(iv, 8) END AS iv FROM (SELECT f AS c,""")
+    + ") JOIN place USING (c)",
+)
+def m5_screened(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence under aliases with what the screening decided about every column."""
+    rows = screening_rows(spark, folder)
+    limits = screening.ScreeningThresholds(edge_digits=EDGE_DIGITS)
+    found = screening.screen_features(rows, "y", REASONED, ["other_y"], limits, row_id="order_id")
+    evidence = privacy.safe_evidence(profile.column_profile(rows, REASONED), found)
+    return rounded(
+        evidence.select("alias", "unique_count", "missing_rate", "selected", "selection_reason", F.when(F.col("selected"), F.col("iv")).alias("iv"))
+    )
+
+
 CORRELATED = ("amount", "n_lines", "qty", "net", "avg_disc")
 
 
@@ -321,6 +343,27 @@ def g5(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(screening.prune_correlated(matrix, iv), 6)
 
 
+TARGET_FEATURES = ("amount", "acctbal", "qty"), ("segment",)
+URGENT = "CASE WHEN priority IN ('1-URGENT', '2-HIGH') THEN 1 WHEN priority = '3-MEDIUM' THEN -1 ELSE 0 END"
+
+
+def _by_target_sql() -> str:
+    each = []
+    for target, label in (("y", "y"), ("urgent", URGENT)):
+        source = f"SELECT * FROM (SELECT {label} AS y, {', '.join((*TARGET_FEATURES[0], *TARGET_FEATURES[1]))} FROM loan) WHERE y IN (0, 1)"
+        each.append(f"SELECT '{target}' AS target, {BINS} FROM (WITH src AS ({source}), {iv_sql('src', *TARGET_FEATURES)} SELECT * FROM iv_bins)")
+    return LOAN + " " + " UNION ALL ".join(each)
+
+
+@query("c4_iv_by_target", _by_target_sql())
+def c4_by_target(spark: SparkSession, folder: str) -> DataFrame:
+    """WOE and IV of the features for two labels, each over its own rows, from one counting job."""
+    rows = loan(spark, folder).withColumn("urgent", F.expr(URGENT))
+    names = [*TARGET_FEATURES[0], *TARGET_FEATURES[1]]
+    found = screening.iv_bins_by_target(rows.select("y", "urgent", *names), ["y", "urgent"], names, edge_digits=EDGE_DIGITS)
+    return rounded(found.select("target", "feature", "bin", "count", "good", "bad", "bad_rate", "woe", "iv"))
+
+
 # --- H: binning -----------------------------------------------------------------------------
 
 
@@ -427,6 +470,33 @@ def h2(spark: SparkSession, folder: str) -> DataFrame:
     return bins.categorical_groups(bins.folded_categories(counts)).drop("place")
 
 
+# Half of the parts train, so that names of the other half may be unknown.
+RARE_FEATURES = ("p_name", "p_brand", "p_type")
+
+
+@query(
+    "h5_rare_dictionary",
+    f"""WITH src AS (SELECT p_partkey, {', '.join(RARE_FEATURES)}, {PART_LABEL} AS y FROM part),
+    longer AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, {f} AS value, y, p_partkey % 2 = 0 AS trains FROM src" for f in RARE_FEATURES)}),
+    counts AS (SELECT feature, value, count(*) AS count, sum(y) AS bad, sum(count(*)) OVER (PARTITION BY feature) AS n FROM longer WHERE trains GROUP BY feature, value),
+    named AS (SELECT *, CASE WHEN count < greatest(20, floor(n * 0.01)) THEN '<RARE>' ELSE value END AS kind FROM counts),
+    folded AS (SELECT feature, kind, sum(bad) / sum(count) AS rate FROM named GROUP BY feature, kind),
+    groups AS (SELECT feature, kind, CASE WHEN count(*) OVER (PARTITION BY feature) <= 8 THEN row_number() OVER w ELSE ntile(8) OVER w END AS place
+               FROM folded WINDOW w AS (PARTITION BY feature ORDER BY rate, kind))
+    SELECT l.feature, coalesce('G' || lpad(place::VARCHAR, 2, '0'), '<OTHER>') AS bin, count(*) AS rows, CAST(sum(y) AS BIGINT) AS bad
+    FROM longer l LEFT JOIN named m ON m.feature = l.feature AND m.value = l.value LEFT JOIN groups g ON g.feature = m.feature AND g.kind = m.kind
+    GROUP BY ALL""",
+)
+def h5_rare(spark: SparkSession, folder: str) -> DataFrame:
+    """Bins of all parts by rules whose rare categories stand in a dictionary table; unknown values are <OTHER>."""
+    part = table(spark, folder, "part").withColumn("y", (F.col("p_size") > 25).cast("int"))
+    specs = bins.fit_categorical(part.filter("p_partkey % 2 = 0"), "y", RARE_FEATURES, literal_rare=0)
+    binned = bins.apply_bins(part, bins.Binning(specs))
+    entries = [(f, [F.col(f"{f}_bin")]) for f in RARE_FEATURES]
+    longer = binned.select("y", order_statistics.unpivot_values(entries, ["bin"]))
+    return longer.groupBy("feature", "bin").agg(F.count("*").alias("rows"), F.sum("y").cast("long").alias("bad"))
+
+
 @query("h3_fit_binning", fitted_sql(NUMERIC_FEATURES, CATEGORICAL_FEATURES))
 def h3(spark: SparkSession, folder: str) -> DataFrame:
     rows = stored(spark, folder, "y", *FEATURES)

@@ -89,6 +89,41 @@ def i4(spark: SparkSession, folder: str) -> DataFrame:
     return _facts(spark, folder, "regularized_logistic")
 
 
+# Newton steps on two standardised numbers and a penalised constant, weighted by class; the 3 x 3 system is solved by cofactors.
+TWO_FEATURES = ("n_lines", "acctbal")
+NEWTON_SQL = LOAN.replace("WITH lines", "WITH RECURSIVE lines", 1) + """,
+filled AS (SELECT order_id, y, coalesce(n_lines::DOUBLE, median(n_lines::DOUBLE) OVER ()) AS a, coalesce(acctbal, median(acctbal) OVER ()) AS b FROM frozen),
+rows_ AS (
+  SELECT order_id, y, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS x1, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS x2,
+         (SELECT count(*) FROM filled) / (2.0::DOUBLE * count(*) OVER (PARTITION BY y)) AS w FROM filled),
+newton AS (
+  SELECT 0 AS turn, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b0
+  UNION ALL
+  SELECT turn + 1, b1 - (g1 * (h22 * h00 - h20 * h20) - g2 * (h12 * h00 - h20 * h10) + g0 * (h12 * h20 - h22 * h10)) / det,
+         b2 - (-g1 * (h12 * h00 - h10 * h20) + g2 * (h11 * h00 - h10 * h10) - g0 * (h11 * h20 - h12 * h10)) / det,
+         b0 - (g1 * (h12 * h20 - h10 * h22) - g2 * (h11 * h20 - h10 * h12) + g0 * (h11 * h22 - h12 * h12)) / det
+  FROM (
+    SELECT *, h11 * (h22 * h00 - h20 * h20) - h12 * (h12 * h00 - h20 * h10) + h10 * (h12 * h20 - h22 * h10) AS det FROM (
+      SELECT turn, b1, b2, b0, b1 / 0.3 + sum(w * (p - y) * x1) AS g1, b2 / 0.3 + sum(w * (p - y) * x2) AS g2, b0 / 0.3 + sum(w * (p - y)) AS g0,
+             1 / 0.3 + sum(w * q * x1 * x1) AS h11, 1 / 0.3 + sum(w * q * x2 * x2) AS h22, 1 / 0.3 + sum(w * q) AS h00,
+             sum(w * q * x1 * x2) AS h12, sum(w * q * x1) AS h10, sum(w * q * x2) AS h20
+      FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1 / (1 + exp(-(b1 * x1 + b2 * x2 + b0))) AS p FROM newton, rows_ WHERE turn < 12))
+      GROUP BY turn, b1, b2, b0)))"""
+
+
+@query(
+    "i4_two_feature_logistic",
+    NEWTON_SQL + " SELECT unnest(['n_lines', 'acctbal', 'constant']) AS term, round(unnest([b1, b2, b0]), 3) AS coefficient FROM newton WHERE turn = 12",
+)
+def i4_two(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficients of the regularised logistic regression on two features; the loss is convex, so any solver meets them."""
+    rows = stored(spark, folder, "order_id", "y", *TWO_FEATURES)
+    model = modeling.fit_candidate(rows, "y", TWO_FEATURES, "regularized_logistic")
+    values = [float(v) for v in model.pipeline.stages[-1].coefficients]
+    found = spark.createDataFrame(list(zip([*TWO_FEATURES, "constant"], values)), "term string, coefficient double")
+    return rounded(found, 3)
+
+
 @query("i5_random_forest", facts_sql("random_forest"))
 def i5(spark: SparkSession, folder: str) -> DataFrame:
     return _facts(spark, folder, "random_forest")
@@ -262,34 +297,67 @@ def i9(spark: SparkSession, folder: str) -> DataFrame:
     return modeling.stratified_folds(rows, "y", "order_id", folds).select("order_id", "fold")
 
 
+# Newton steps for every held-out fold and strength; missing values and scale come from the fold's training rows.
+FOLDS_SQL = LOAN.replace("WITH lines", "WITH RECURSIVE lines", 1) + """,
+dealt AS (SELECT order_id, y, n_lines::DOUBLE AS a, acctbal AS b,
+  ((row_number() OVER (PARTITION BY y ORDER BY md5(order_id::VARCHAR || '|42'), order_id::VARCHAR) - 1) % 5)::INTEGER AS fold FROM frozen),
+filled AS (
+  SELECT k, order_id, y, fold = k AS held, coalesce(a, median(a) FILTER (WHERE fold <> k) OVER own) AS a, coalesce(b, median(b) FILTER (WHERE fold <> k) OVER own) AS b
+  FROM dealt, (SELECT unnest(range(5)) AS k) WINDOW own AS (PARTITION BY k)),
+rows_ AS (
+  SELECT k, order_id, y, held, (a - avg(a) FILTER (WHERE NOT held) OVER own) / stddev_pop(a) FILTER (WHERE NOT held) OVER own AS x1,
+         (b - avg(b) FILTER (WHERE NOT held) OVER own) / stddev_pop(b) FILTER (WHERE NOT held) OVER own AS x2,
+         count(*) FILTER (WHERE NOT held) OVER own / (2.0::DOUBLE * count(*) FILTER (WHERE NOT held) OVER (PARTITION BY k, y)) AS w
+  FROM filled WINDOW own AS (PARTITION BY k)),
+newton AS (
+  SELECT 0 AS turn, k, c, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b0 FROM (SELECT unnest(range(5)) AS k), (SELECT unnest([STRENGTHS]) AS c)
+  UNION ALL
+  SELECT turn + 1, k, c, b1 - (g1 * (h22 * h00 - h20 * h20) - g2 * (h12 * h00 - h20 * h10) + g0 * (h12 * h20 - h22 * h10)) / det,
+         b2 - (-g1 * (h12 * h00 - h10 * h20) + g2 * (h11 * h00 - h10 * h10) - g0 * (h11 * h20 - h12 * h10)) / det,
+         b0 - (g1 * (h12 * h20 - h10 * h22) - g2 * (h11 * h20 - h10 * h12) + g0 * (h11 * h22 - h12 * h12)) / det
+  FROM (
+    SELECT *, h11 * (h22 * h00 - h20 * h20) - h12 * (h12 * h00 - h20 * h10) + h10 * (h12 * h20 - h22 * h10) AS det FROM (
+      SELECT turn, k, c, b1, b2, b0, b1 / c + sum(w * (p - y) * x1) AS g1, b2 / c + sum(w * (p - y) * x2) AS g2, b0 / c + sum(w * (p - y)) AS g0,
+             1 / c + sum(w * q * x1 * x1) AS h11, 1 / c + sum(w * q * x2 * x2) AS h22, 1 / c + sum(w * q) AS h00,
+             sum(w * q * x1 * x2) AS h12, sum(w * q * x1) AS h10, sum(w * q * x2) AS h20
+      FROM (SELECT *, p * (1 - p) AS q FROM (
+        SELECT newton.*, y, w, x1, x2, 1 / (1 + exp(-(b1 * x1 + b2 * x2 + b0))) AS p FROM newton JOIN rows_ ON rows_.k = newton.k AND NOT held WHERE turn < 12))
+      GROUP BY turn, k, c, b1, b2, b0))),
+held_scores AS (
+  SELECT n.k, c, y, 1 / (1 + exp(-(b1 * x1 + b2 * x2 + b0))) AS p FROM newton n JOIN rows_ ON rows_.k = n.k AND held WHERE turn = 12),
+quality AS (
+  SELECT k, c, count(*) AS rows, avg(p) AS mean_probability,
+         (sum(place) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE)
+           / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc
+  FROM (SELECT *, rank() OVER (PARTITION BY k, c ORDER BY p) + (count(*) OVER (PARTITION BY k, c, p) - 1) / 2.0::DOUBLE AS place FROM held_scores) GROUP BY k, c)"""
+
+
 @query(
     "i10_out_of_fold",
-    LOAN
-    + """ SELECT order_id, ((row_number() OVER (PARTITION BY y ORDER BY md5(order_id::VARCHAR || '|42'), order_id::VARCHAR) - 1) % 5)::INTEGER AS fold,
-       true AS in_range FROM frozen""",
+    FOLDS_SQL.replace("STRENGTHS", "0.3")
+    + " SELECT k::INTEGER AS fold, rows, round(mean_probability, 4) AS mean_probability, round(roc_auc, 4) AS roc_auc FROM quality",
 )
 def i10(spark: SparkSession, folder: str) -> DataFrame:
-    """Every row once, in the fold it was held out in, with a probability."""
-    rows = stored(spark, folder, "order_id", "y", *MODEL_FEATURES)
-    scores = modeling.out_of_fold(rows, "y", MODEL_FEATURES, "regularized_logistic", "order_id")
-    return scores.select("order_id", "fold", F.col(PROBABILITY).between(0, 1).alias("in_range"))
+    """Every row scored in the fold it was held out in: rows, mean probability and AUC of each fold."""
+    rows = stored(spark, folder, "order_id", "y", *TWO_FEATURES)
+    scores = modeling.out_of_fold(rows, "y", TWO_FEATURES, "regularized_logistic", "order_id")
+    quality = metrics.binary_metrics(materialize(scores), "y", PROBABILITY, ["fold"]).select("fold", "rows", "roc_auc")
+    means = scores.groupBy("fold").agg(F.avg(PROBABILITY).alias("mean_probability"))
+    return rounded(quality.join(means, "fold").select("fold", "rows", "mean_probability", "roc_auc"), 4)
 
 
 @query(
     "i11_tuning",
-    """SELECT 'regularized_logistic' AS candidate, unnest([1, 2, 3])::INTEGER AS trial,
-       unnest(['{"C": 0.1}', '{"C": 0.3}', '{"C": 1.0}']) AS parameters, 5 AS folds, true AS mean_of_folds,
-       true AS in_range FROM (SELECT count(*) FROM orders)""",
+    FOLDS_SQL.replace("STRENGTHS", "0.1, 0.3, 1.0")
+    + """ SELECT 'regularized_logistic' AS candidate, row_number() OVER (ORDER BY c)::INTEGER AS trial, '{"C": ' || c::DOUBLE || '}' AS parameters,
+       count(*)::INTEGER AS folds, round(avg(roc_auc), 4) AS roc_auc FROM quality GROUP BY c""",
 )
 def i11(spark: SparkSession, folder: str) -> DataFrame:
     """The grid of the candidate in order, every point scored on all folds."""
-    rows = stored(spark, folder, "order_id", "y", *MODEL_FEATURES)
-    _, trials = modeling.tune(rows, "y", MODEL_FEATURES, "regularized_logistic", "order_id", 3)
-    mean = F.aggregate("fold_scores", F.lit(0.0), lambda a, b: a + b) / F.size("fold_scores")
-    return spark.createDataFrame(trials, modeling.TRIAL_SCHEMA).select(
-        "candidate", "trial", "parameters", F.size("fold_scores").alias("folds"),
-        (F.abs(mean - F.col("roc_auc")) < 1e-9).alias("mean_of_folds"), F.col("roc_auc").between(0.5, 1).alias("in_range"),
-    )
+    rows = stored(spark, folder, "order_id", "y", *TWO_FEATURES)
+    _, trials = modeling.tune(rows, "y", TWO_FEATURES, "regularized_logistic", "order_id", 3)
+    found = spark.createDataFrame(trials, modeling.TRIAL_SCHEMA)
+    return rounded(found.select("candidate", "trial", "parameters", F.size("fold_scores").alias("folds"), "roc_auc"), 4)
 
 
 @query("i12_platt", facts_sql("regularized_logistic"))

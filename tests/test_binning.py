@@ -160,10 +160,30 @@ def test_many_rare_categories_stay_inside_the_rules(spark, tmp_path):
     assert len(rare) == 1 and never not in rare
 
 
-def test_too_many_rare_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(b, "MAX_RARE_VALUES", 1)
-    with pytest.raises(ValueError, match="RARE_CATEGORIES_TOO_MANY"):
-        b.fit_categorical(categories(spark), "y", ["c"])
+def test_rare_categories_beyond_the_limit_go_to_a_dictionary(spark, tmp_path):
+    """The same labels, weights and scores as with literals, also after saving, and no value is refused."""
+    from lendwright.operators import modeling
+
+    rows = [(f"rare '{k}' \\\\", k % 2) for k in range(3000)] + [(f"big{k % 2}", int(k % 7 < 2 + k % 2)) for k in range(3000)] + [(None, 1)] * 30
+    train = spark.createDataFrame(rows, "c string, y int")
+    few = b.fit_categorical(train, "y", ["c"])["c"]
+    many = b.fit_categorical(train, "y", ["c"], literal_rare=100)["c"]
+    assert many.rare_values == () and spark.read.parquet(many.rare_table).count() == len(few.rare_values) == 3000
+    assert (many.groups, many.rows) == (few.groups, few.rows)
+    again = b.fit_categorical(train, "y", ["c"], literal_rare=100)["c"]
+    assert again.rare_table != many.rare_table and b.Binning({"c": again}).version == b.Binning({"c": many}).version
+    new = train.distinct().unionByName(spark.createDataFrame([("never", 0)], "c string, y int"))
+    for change in (b.apply_bins, b.woe_transform):
+        a, z = change(new, b.Binning({"c": few})), change(new, b.Binning({"c": many}))
+        assert a.columns == z.columns and a.exceptAll(z).isEmpty() and z.exceptAll(a).isEmpty()
+    assert b.woe_table(new, "y", b.Binning({"c": many})).filter("bin = '<OTHER>'").first()["count"] == 1
+    rules = modeling.ScorecardRules(["c"], [0.7], 0.1, b.Binning({"c": many}))
+    model = modeling.Calibrated("scorecard", "uncalibrated", [(modeling.Fitted("scorecard", ["c"], rules=rules), None)])
+    modeling.save_model(spark, model, str(tmp_path / "m"), {"c": "categorical"})
+    loaded, _, _ = modeling.load_model(spark, str(tmp_path / "m"))
+    assert loaded.members[0][0].rules.binning.specs["c"].rare_table.startswith(str(tmp_path))
+    left, right = model.score(new, "p"), loaded.score(new, "p")
+    assert left.exceptAll(right).isEmpty() and right.count() == new.count()
 
 
 def test_values_outside_all_groups_have_the_weight_of_other(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import duckdb
 import pytest
 
@@ -11,8 +9,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from lendwright.plans.queries_data import TABLES
 
 SMOKE = ("b2_approximate_profile",)
-# Three hundred rounds each; the third boosting query takes the same way and always runs.
-LONG = ("i7_boosted_depth6", "i7_boosted_balanced")
 
 
 @pytest.fixture(scope="module")
@@ -31,8 +27,6 @@ def canonical(columns, rows):
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, folder, duck, name):
-    if name in LONG and not os.environ.get("LONG_TESTS"):
-        pytest.skip("set LONG_TESTS=1")
     frame = queries()[name](spark, folder)
     cursor = duck.execute(oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
