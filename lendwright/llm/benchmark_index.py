@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lendwright.llm.rows import K1, K2, row_hashes, with_key
+from lendwright.llm.rows import own_names, row_hashes, with_key, K1, K2
 from lendwright.llm.words import ALPHANUMERIC, pieces, words
 from lendwright.session import materialize
 
@@ -222,6 +222,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
+@own_names
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no window of the benchmark."""
     items = materialize(item_terms(benchmark), "items")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lendwright.llm.rows import held_out
+from lendwright.llm.rows import held_out, own_names
 from lendwright.llm.words import Words, mix, pieces, ragged, words
 
 UNKNOWN = "und"
@@ -325,6 +325,7 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col(LANG).alias("lang_pred"), F.col(SCORE).alias("score"))
 
 
+@own_names
 def keep_known(docs: DataFrame, least: float) -> DataFrame:
     """The rows of ``docs`` with a language whose score is at least ``least``."""
     found = predict(docs, train(docs))

@@ -15,11 +15,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lendwright.llm.rows import K1, K2, ascii_lower, with_key
+from lendwright.llm.rows import ascii_lower, own_names, with_key, K1, K2
+from lendwright.operators.order_statistics import join_unique
 from lendwright.session import scratch_path
 
 BLANKS = " \t\n\x0b\f\r"
 H1, H2 = "__llm_h1", "__llm_h2"
+#: Documents of a batch from which on a line's key is broadcast to its lines, and the most such keys.
+HEAVY_LINE, MOST_HEAVY = 100_000, 1_000
 RUN_SCHEMA = f"{H1} long, {H2} long, n long"
 
 
@@ -93,23 +96,33 @@ class LineRuns:
         if len(rest) > 1:
             self.levels = {max(self.levels): rest}
             self.compact(max(self.levels))
-        return self._read(self.decided).select(H1, H2)
+        return self.counts().select(H1, H2)
+
+    def counts(self) -> DataFrame:
+        """Decided keys with ``n``, their documents up to the batch that decided them."""
+        return self._read(self.decided)
 
 
 def common_lines(docs: DataFrame, min_docs: int, min_chars: int = 1, batches: int = 3, text: str = "text") -> DataFrame:
-    """Hashes of the line keys that occur in at least ``min_docs`` documents, counted batch by batch."""
+    """Hashes (and ``n``) of the line keys that occur in at least ``min_docs`` documents, counted batch by batch."""
     runs = LineRuns(docs.sparkSession, min_docs, min_chars)
     for batch in range(batches):
         runs.add(docs.where(F.pmod(F.xxhash64(text), F.lit(batches)) == batch), text)
-    return runs.decide()
+    runs.decide()
+    return runs.counts()
 
 
 def mark_lines(docs: DataFrame, common: DataFrame, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds ``__llm_lines`` and ``__llm_kept``: all lines of a text, and those whose key is not in ``common``."""
+    """Adds ``__llm_lines`` and ``__llm_kept``: all lines of a text, and those whose key is not in ``common``.
+
+    Keys of very many lines (``HEAVY_LINE``) are broadcast, at most ``MOST_HEAVY`` of them; the others are joined by their hashes.
+    """
     keyed = with_key(docs, doc_id, text)
     lines = keyed.select(K1, K2, F.posexplode(line_keys(F.col(text))).alias("__llm_pos", "__llm_key"))
     lines = lines.where(F.char_length("__llm_key") >= min_chars).select(K1, K2, "__llm_pos", *_hashed(F.col("__llm_key")))
-    drops = lines.join(common, [H1, H2]).groupBy(K1, K2).agg(F.collect_set("__llm_pos").alias("__llm_drop"))
+    heavy = common.where(F.col("n") >= HEAVY_LINE).orderBy(F.col("n").desc()).select(F.xxhash64(H1, H2)).limit(MOST_HEAVY).collect()
+    found = join_unique(lines, common.select(H1, H2), [H1, H2], how="inner", hot=[r[0] for r in heavy])
+    drops = found.groupBy(K1, K2).agg(F.collect_set("__llm_pos").alias("__llm_drop"))
     marked = keyed.join(drops, [K1, K2], "left").withColumn("__llm_lines", lines_of(F.col(text)))
     positions = F.array_except(F.sequence(F.lit(0), F.size("__llm_lines") - 1), F.col("__llm_drop"))
     kept = F.when(F.col("__llm_drop").isNull(), F.col("__llm_lines")).otherwise(
@@ -118,6 +131,7 @@ def mark_lines(docs: DataFrame, common: DataFrame, min_chars: int = 1, doc_id: s
     return marked.withColumn("__llm_kept", kept)
 
 
+@own_names
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``; lines whose key is in at least ``min_docs`` documents are taken out of the text.
 

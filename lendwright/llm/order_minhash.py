@@ -1,13 +1,14 @@
 """Document fingerprints by Order MinHash.
 
-A text is cut into words at blanks and every ``GRAM`` consecutive words form a k-mer (a text with fewer words is one
-k-mer). k-mers are numbered by occurrence, so that repeats count as different elements; the hash of (k-mer, occurrence)
+A text is cut into words at blanks. A word of more than ``LONG_WORD`` code points (a text without blanks, say) counts as that many
+units, its code points; any other word is one unit. Every ``GRAM`` consecutive units form a k-mer (a text with fewer units
+is one k-mer). k-mers are numbered by occurrence, so that repeats count as different elements; the hash of (k-mer, occurrence)
 deals each element to one of ``BINS`` bins. Every bin
 keeps its ``KEEP`` least elements, puts them back in the order in which they stand in the text and hashes
 the tuple. The share of equal tuples is the likeness of two texts: it falls with moved passages as well as with
 changed ones.
 
-All of it is column expressions on one row, in time n log n of the text's words; no rows are made per k-mer.
+All of it is column expressions on one row, in time n log n of the text's units; no rows are made per k-mer.
 Hashes of elements are cut to 36 bits beside 28 bits of position, which only matters for choosing and numbering
 elements inside one text.
 
@@ -24,6 +25,7 @@ from lendwright.llm.rows import K1, K2, row_hashes
 from lendwright.session import materialize
 
 GRAM = 3
+LONG_WORD = 24
 BINS = 32
 KEEP = 2
 HASH_BITS = 36
@@ -65,8 +67,11 @@ def _occurrences() -> Column:
 def with_fingerprint(rows: DataFrame, text: str, to: str) -> DataFrame:
     """Adds the fingerprint of a column as an array of one long per bin, NULL where a bin is empty."""
     names = rows.columns
-    units = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _BLANKS), lambda u: u != "")
-    units = rows.withColumn(_UNIT, units)
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), _BLANKS), lambda u: u != "")
+    units = rows.withColumn(_UNIT, words)
+    points = lambda u: F.when(F.char_length(u) > LONG_WORD, F.regexp_extract_all(u, F.lit("(?s)."), F.lit(0))).otherwise(F.array(u))
+    long = F.exists(F.col(_UNIT), lambda u: F.char_length(u) > LONG_WORD)
+    units = units.withColumn(_UNIT, F.when(long, F.flatten(F.transform(F.col(_UNIT), points))).otherwise(F.col(_UNIT)))
     gram = lambda i: F.xxhash64(*[F.get(F.col(_UNIT), i + j) for j in range(GRAM)])
     count = F.when(F.size(_UNIT) == 0, 0).otherwise(F.greatest(F.size(_UNIT) - GRAM + 1, F.lit(1)))
     grams = units.withColumn(_PACKED, F.sort_array(F.transform(_upto(count), lambda i: _pack(gram(i), i)))).drop(_UNIT)

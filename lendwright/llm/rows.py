@@ -6,12 +6,16 @@ partition is computed again, and it exists for NULL ids too. Rows that repeat in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Names of the internal columns; input columns never carry this prefix.
-K1, K2 = "__llm_k1", "__llm_k2"
+#: Internal columns carry this prefix; functions that pass on all columns are ``own_names``.
+PREFIX = "__llm_"
+K1, K2 = f"{PREFIX}k1", f"{PREFIX}k2"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -38,3 +42,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     A NULL id has no checksum; such a row is held out as well, so that nothing is learnt from it.
     """
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
+def own_names(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let a function from documents to the same columns take columns of any name: those that look like internal ones
+    have other names while it works."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        odd = {c: f"input {i} {c}" for i, c in enumerate(docs.columns) if c.lower().startswith(PREFIX)}
+        if not odd:
+            return stage(docs, *args, **options)
+        renamed = docs.toDF(*[odd.get(c, c) for c in docs.columns])
+        return stage(renamed, *args, **options).toDF(*docs.columns)
+
+    return run

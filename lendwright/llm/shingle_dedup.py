@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lendwright.llm.components import components
-from lendwright.llm.rows import K1, K2, row_hashes, with_key
+from lendwright.llm.rows import own_names, row_hashes, with_key, K1, K2
 from lendwright.llm.words import Words, gram_hashes, mix, pieces, words
 from lendwright.session import materialize
 
@@ -190,6 +190,7 @@ def similar_components(docs: DataFrame, propose: Callable[[DataFrame], DataFrame
     )
 
 
+@own_names
 def drop_similar(docs: DataFrame, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row of every component, with all its columns: the one with the smallest id.
 

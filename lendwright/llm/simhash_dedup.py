@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendwright.llm import shingle_dedup
 from lendwright.llm.components import components
-from lendwright.llm.rows import K1, K2, row_hashes, with_key
+from lendwright.llm.rows import own_names, row_hashes, with_key, K1, K2
 from lendwright.llm.words import pieces, words
 from lendwright.session import materialize
 
@@ -129,6 +129,7 @@ def near_components(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return fps.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
+@own_names
 def drop_near_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of every component, with all its columns: the one with the smallest id.
 
@@ -156,6 +157,7 @@ def proposals(found: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return equal.union(near.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")))
 
 
+@own_names
 def drop_verified_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of every group of near copies, with all its columns: the one with the smallest id.
 

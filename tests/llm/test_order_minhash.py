@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import xxhash
@@ -22,7 +23,7 @@ def spark_hash(values, kind):
 
 
 def brute(text):
-    units = re.findall(r"[^\x20\x09-\x0D]+", text)
+    units = [c for u in re.findall(r"[^\x20\x09-\x0D]+", text) for c in (u if len(u) > om.LONG_WORD else [u])]
     n = max(len(units) - 2, 1) if units else 0
     seen, bins = {}, {}
     for i in range(n):
@@ -68,6 +69,16 @@ def test_small_rows(spark):
     check(rows, om.edited_report(docs).collect())
 
 
+def test_texts_without_blanks_are_sensitive_to_edits(spark):
+    """Two thirds of a text without blanks stay: some tuples must stay with them."""
+    rng = random.Random(7)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    rows = [(1, han(900)), (2, han(900)), (3, "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(504))), (4, "🙂🙃" * 30), (5, "n" * 24), (6, "n" * 25)]
+    got = om.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, got)
+    assert all(r.near_edited > 0.1 > r.near_next for r in got if r.doc_id in (1, 2))
+
+
 def test_one_document_follows_itself(spark):
     rows = [(5, "abcdefghi jkl")]
     check(rows, om.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
