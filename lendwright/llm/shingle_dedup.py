@@ -9,8 +9,9 @@ document of every component of near copies stays.
    computes the rest: 2.7 in 100,000 at a similarity of 0.8, 4 in 10 million at 0.85.
 2. Neighbours in a bucket (in the order of their class) are verified by their texts, and verified pairs are joined to components.
    A large group of copies comes together here with as many pairs as it has members.
-3. In buckets that still hold several components, every pair across components is verified. Members of the
-   bucket's most frequent component are not paired with each other.
+3. Buckets that still hold several components are traversed as signature trees (``signature_trees``): bitmaps bound the overlap of two
+   sets from above, and only pairs across components that can reach the similarity are verified. A bucket of many texts that are
+   not near enough gives no pairs of texts.
 
 Sizes of the sets rule a pair out without its texts. Defined cases: NULL, empty and blank texts have no shingles and form
 one class; rows with a NULL id come last when one is kept; repeated rows are one row.
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lendwright.llm import signature_trees
 from lendwright.llm.components import components
 from lendwright.llm.rows import own_names, row_hashes, with_key, K1, K2
 from lendwright.llm.words import Words, gram_hashes, mix, pieces, words
@@ -97,13 +99,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = pa.array([x.tobytes() for x in name], pa.binary())
             bits = pa.array(fingerprints(value, first).view(np.int64))
             columns = [piece.column(0), piece.column(2), piece.column(3), names, pa.array(size.astype(np.int32)), lists, bits]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", K1, K2, "class", "size", "bands", "fp"])
+            columns.append(pa.array(signature_trees.bitmaps(value, first), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", K1, K2, "class", "size", "bands", "fp", "bits"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, row key, class, size, bands, fp) of every row; ``fp`` is the SimHash of the set."""
+    """(doc_id, row key, class, size, bands, fp, bits) of every row; ``fp`` is the SimHash of the set, ``bits`` its token bitmap."""
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *row_hashes())
-    return given.mapInArrow(_signatures, f"doc_id long, {K1} long, {K2} long, class binary, size int, bands array<long>, fp long")
+    return given.mapInArrow(_signatures, f"doc_id long, {K1} long, {K2} long, class binary, size int, bands array<long>, fp long, bits binary")
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +141,8 @@ def links(found: DataFrame, docs: DataFrame, proposed: DataFrame | None = None)
     ``proposed`` holds pairs (a < b) of another kind of candidates, which are verified together with the neighbours.
     """
     classes = found.groupBy("class").agg(
-        F.min(F.struct(K1, K2)).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")
+        F.min(F.struct(K1, K2)).alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands"),
+        F.first("bits").alias("bits"),
     )
     postings = classes.select("class", "size", F.explode("bands").alias("band"))
     in_bucket = Window.partitionBy("band").orderBy("class")
@@ -160,21 +164,17 @@ def links(found: DataFrame, docs: DataFrame, proposed: DataFrame | None = None)
 
     roots = components(near)
     member = shared.select("band", "class", "size").join(roots, F.col("class") == F.col("node"), "left")
-    member = member.select("band", "class", "size", F.coalesce("root", "class").alias("root"))
-    mixed = member.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.mode("root", True).alias("main"))
-    member = materialize(member.join(mixed.where("r <> s").select("band", "main"), "band"), "mixed-buckets")
-    left = member.where("root <> main").select("band", F.col("class").alias("a"), F.col("size").alias("m"), F.col("root").alias("root_a"))
-    right = member.select(
-        F.col("band").alias("band_b"), F.col("class").alias("b"), F.col("size").alias("n"), F.col("root").alias("root_b"), "main"
-    )
-    meets = (
-        (F.col("band") == F.col("band_b"))
-        & (F.col("root_a") != F.col("root_b"))
-        & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-        & _sizes_allow(F.col("m"), F.col("n"))
-    )
-    across = left.join(right, meets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return near.union(verified(across.join(tried, ["a", "b"], "left_anti"), texts))
+    identity = F.xxhash64("class")
+    member = member.select(F.col("band").alias("token"), identity.alias("class"), "size", F.xxhash64(F.coalesce("root", "class")).alias("root"))
+    member = materialize(member, "bucket-members")
+    bitmaps = classes.where("size > 0").select(identity.alias("class"), "bits")
+    found = signature_trees.traversed(signature_trees.mixed_trees(member, LEAST), bitmaps, least=LEAST)
+    # A candidate of two classes that one hash stands for is no harm: texts decide.
+    for side in "ab":
+        found = found.join(classes.select(identity.alias(side), F.col("class").alias(f"class_{side}")), side)
+    across = found.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+    across = materialize(across.join(tried, ["a", "b"], "left_anti"), "across")
+    return near.union(verified(across, texts))
 
 
 def similar_components(docs: DataFrame, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

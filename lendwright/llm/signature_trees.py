@@ -219,9 +219,9 @@ def _children(nodes: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
     return where, child[child < below]
 
 
-def _pruned(a: Level, b: Level, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pruned(a: Level, b: Level, i: np.ndarray, j: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of nodes that can hold a link, and their greatest overlap."""
-    share, of = LEAST
+    share, of = least
     able = (a.most[i] * of >= b.least[j] * share) & (b.most[j] * of >= a.least[i] * share)
     able &= (a.component[i] != b.component[j]) | (a.component[i] < 0)
     i, j = i[able], j[able]
@@ -235,7 +235,7 @@ def _pruned(a: Level, b: Level, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarra
     return i[reached], j[reached], overlap[reached]
 
 
-def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dual_traversal(a: Tree, b: Tree, least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of sets that may be linked, with their greatest overlap. A tree against itself gives every pair once."""
     same = a is b
     m, n = len(a.levels) - 1, len(b.levels) - 1
@@ -243,7 +243,7 @@ def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray
     while True:
         # A node meets itself as long as it has children to compare.
         ordered = (i < j) | ((i == j) & (m > 0)) if same else np.ones(len(i), bool)
-        i, j, overlap = _pruned(a.levels[m], b.levels[n], i[ordered], j[ordered])
+        i, j, overlap = _pruned(a.levels[m], b.levels[n], i[ordered], j[ordered], least)
         if m == n == 0:
             return i, j, overlap
         if m >= n:
@@ -255,7 +255,9 @@ def dual_traversal(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray
         m, n = (m - 1 if m >= n else m), (n - 1 if n >= m else n)
 
 
-def _candidates(size: np.ndarray, component: np.ndarray, side: np.ndarray, bits: list[bytes]) -> tuple[np.ndarray, ...]:
+def _candidates(
+    size: np.ndarray, component: np.ndarray, side: np.ndarray, bits: list[bytes], least: tuple[int, int] = LEAST
+) -> tuple[np.ndarray, ...]:
     """Pairs (i, j, overlap) that may be linked: between sides 0 and 1, or inside side 0 if there is no other.
 
     Linked sets have bitmaps of one width or of neighbouring ones; then the wider one is folded.
@@ -277,7 +279,7 @@ def _candidates(size: np.ndarray, component: np.ndarray, side: np.ndarray, bits:
                 continue
             first = Tree(size[a], component[a], planes(a, min(w, v)))
             second = first if alone and v == w else Tree(size[b], component[b], planes(b, min(w, v)))
-            i, j, overlap = dual_traversal(first, second)
+            i, j, overlap = dual_traversal(first, second, least)
             found.append((a[i], b[j], overlap))
     return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
 
@@ -302,7 +304,7 @@ def _spanning(i: np.ndarray, j: np.ndarray, overlap: np.ndarray, n: int) -> list
     return out
 
 
-def _traverse(spanning: bool) -> Callable:
+def _traverse(spanning: bool, least: tuple[int, int]) -> Callable:
     """Candidates of the trees that arrive one after another, each in the order of its sizes."""
 
     def close(held: list[tuple], found: list[tuple[int, int]]) -> None:
@@ -310,7 +312,7 @@ def _traverse(spanning: bool) -> Callable:
         if len(held) < 2 or (root == root[0]).all():
             return
         _, component = np.unique(root, return_inverse=True)
-        i, j, overlap = _candidates(size, component, side, [h[4] for h in held])
+        i, j, overlap = _candidates(size, component, side, [h[4] for h in held], least)
         pairs = _spanning(i, j, overlap, len(held)) if spanning else zip(i.tolist(), j.tolist())
         found += [(min(a, b), max(a, b)) for a, b in ((int(name[x]), int(name[y])) for x, y in pairs)]
 
@@ -339,20 +341,21 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
 
-def traversed(members: DataFrame, signatures: DataFrame, spanning: bool = False) -> DataFrame:
-    """Distinct candidates (a < b) of the trees of ``members`` (tree, side, class, root, size)."""
+def traversed(members: DataFrame, signatures: DataFrame, spanning: bool = False, least: tuple[int, int] = LEAST) -> DataFrame:
+    """Distinct candidates (a < b) of the trees of ``members`` (tree, side, class, root, size); ``least`` is the similarity of a link, at
+    least a half."""
     full = members.join(signatures, "class").select("tree", "side", "class", "root", "size", "bits")
     dealt = full.repartition("tree").sortWithinPartitions("tree", "side", "size", "class")
-    return dealt.mapInArrow(_traverse(spanning), "a long, b long").distinct()
+    return dealt.mapInArrow(_traverse(spanning, least), "a long, b long").distinct()
 
 
-def _sizes_meet(a_least: Column, a_most: Column, b_least: Column, b_most: Column) -> Column:
-    share, of = LEAST
+def _sizes_meet(a_least: Column, a_most: Column, b_least: Column, b_most: Column, least: tuple[int, int]) -> Column:
+    share, of = least
     return (a_most.cast("long") * of >= b_least * share) & (b_most.cast("long") * of >= a_least * share)
 
 
-def _mixed_trees(member: DataFrame) -> DataFrame:
-    """(tree, side, class, root, size) of what has to be compared across components."""
+def mixed_trees(member: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """(tree, side, class, root, size) of what has to be compared across components, from (token, class, size, root)."""
     trees = member.groupBy("token").agg(
         F.count("*").alias("n"),
         F.min("root").alias("r"),
@@ -365,7 +368,7 @@ def _mixed_trees(member: DataFrame) -> DataFrame:
     small = rows.where(F.col("n") <= CHUNK).select(F.array("token").alias("tree"), F.lit(0).alias("side"), "class", "root", "size")
 
     # Sizes of linked sets are in the same class of sizes or in neighbouring ones.
-    step = float(np.log(LEAST[1] / LEAST[0]) + 1e-9)
+    step = float(np.log(least[1] / least[0]) + 1e-9)
     large = rows.where(F.col("n") > CHUNK).withColumn("z", F.floor(F.log("size") / F.lit(step)))
     shares = large.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     large = large.join(shares, "token").withColumn("other", (F.col("root") != F.col("main")).cast("int")).drop("main", "n")
@@ -379,7 +382,7 @@ def _mixed_trees(member: DataFrame) -> DataFrame:
     a, b = (nodes.select("token", *[F.col(c).alias(f"{c}{side}") for c in nodes.columns[1:]]) for side in "ab")
     later = (F.col("zb") == F.col("za") + 1) | ((F.col("zb") == F.col("za")) & (F.col("chunkb") >= F.col("chunka")))
     one = (F.col("ra") == F.col("sa")) & (F.col("rb") == F.col("sb")) & (F.col("ra") == F.col("rb"))
-    able = _sizes_meet(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib"))
+    able = _sizes_meet(F.col("loa"), F.col("hia"), F.col("lob"), F.col("hib"), least)
     pairs = materialize(a.join(b, "token").where(later & able & ~one).select("token", "za", "chunka", "zb", "chunkb"), "chunk-pairs")
     tree = F.array("token", "za", "chunka", "zb", "chunkb").alias("tree")
     self_ = (F.col("za") == F.col("zb")) & (F.col("chunka") == F.col("chunkb"))
@@ -426,7 +429,7 @@ def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     roots = components(first)
     member = shared.join(roots, F.col("class") == F.col("node"), "left")
     member = materialize(member.select("token", "class", "size", F.coalesce("root", "class").alias("root")), "tree-members")
-    rest = traversed(_mixed_trees(member), signatures).join(tried, ["a", "b"], "left_anti")
+    rest = traversed(mixed_trees(member), signatures).join(tried, ["a", "b"], "left_anti")
     return first.union(verified(materialize(rest, "tree-pairs"), rows, docs))
 
 
