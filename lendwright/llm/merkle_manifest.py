@@ -149,7 +149,7 @@ def siblings(path: Column) -> Column:
 
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, source, leaf, subroot, root and path of every row."""
-    return proofs(leaves(docs, source=F.col("source"))).drop("tree")
+    return proofs(leaves(docs, source=F.col("source"))).select("doc_id", "source", "leaf", "subroot", "root", "path")
 
 
 def report(docs: DataFrame, tampered: Column) -> DataFrame:

@@ -87,6 +87,8 @@ HARD = [
     (5, "ä", "de", 1, "X" * 200_000),
     (7, "-", "-", -4, "-"),
     (9, "z", "en", 4, "Lone"),
+    # Ids whose checksum 5 divides, with and without something to lower.
+    *[(k, "a", "en", 4, t) for k, t in zip([k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 5 == 0], ["Case", "none", None, "ÉTÉ"])],
 ]
 
 
