@@ -213,3 +213,31 @@ def test_ordered_codes_equal_loops(spark):
         seen[c] = s + y, n + 1
     full = {r.category: r.code for r in trees.target_codes(df, "c", "y", 0.4, 2.0).collect()}
     assert full == {c: pytest.approx((s + 0.8) / (n + 2)) for c, (s, n) in seen.items()}
+
+
+def test_boosting_plans_no_query_per_level(table, monkeypatch):
+    """Rounds and levels are jobs over blocks in memory; a query for each of them cost more than its rows."""
+    calls, arrow = [], type(table).toArrow
+    monkeypatch.setattr(type(table), "toArrow", lambda df: calls.append(1) or arrow(df))
+    monkeypatch.setattr(trees, "DIRECT_PARTITIONS", 2)
+    monkeypatch.setattr(trees, "BLOCK_ROWS", 60)
+    plan = trees.BoostingPlan("depthwise", 6, 0.3, 3, rows=0.8, bins=16)
+    grown = trees.grow_boosted(table, 5, plan, WEIGHTS)
+    assert len(calls) <= 1
+    monkeypatch.undo()
+    assert [vars(t) for t in grown.trees] == [vars(t) for t in trees.grow_boosted(table.repartition(1), 5, plan, WEIGHTS).trees]
+
+
+def test_reached_rows_are_those_of_the_leaves(table):
+    x, _ = made()
+    bins = np.ascontiguousarray(np.clip(np.rint(x * 2) + 6, 0, 40).astype(np.uint8).T)
+    tree = trees.Tree()
+    a, b = tree.split(0, 0, 6.0, 1.0)
+    tree.split(b, 1, 8.0, 1.0)
+    want = tree.leaves(bins.T)
+    drawn = np.arange(0, len(x), 3)
+    for rows in (None, drawn):
+        found = dict(trees.reached(tree, bins, rows, [a, tree.left[b]]))
+        for node, own in found.items():
+            np.testing.assert_array_equal(own, [r for r in (range(len(x)) if rows is None else rows) if want[r] == node])
+        assert set(found) == {a, tree.left[b]}
