@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +243,20 @@ def test_reached_rows_are_those_of_the_leaves(table):
         for node, own in found.items():
             np.testing.assert_array_equal(own, [r for r in (range(len(x)) if rows is None else rows) if want[r] == node])
         assert set(found) == {a, tree.left[b]}
+
+
+def test_bounds_leave_a_partition_once():
+    """Every batch used to send the bounds of all its nodes."""
+    x, y = made(400)
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(x[at : at + 40].tolist()), pa.array(y[at : at + 40])], names=["x", "y"]) for at in range(0, 400, 40)
+    ]
+    forest = [trees.Tree(), trees.Tree()]
+    a, b = forest[1].split(0, 0, 0.0, 1.0)
+    nodes = trees.OpenNodes(np.array([0, 1, 1]), np.array([0, a, b]), np.array([1, 2, 3]), np.zeros((3, 2)))
+    shared = SimpleNamespace(value=(forest, nodes.wanted(forest), nodes.tree, nodes.heap))
+    found = pa.Table.from_batches(trees._bounds(shared)(iter(batches))).to_pylist()
+    assert len(found) == 3 * x.shape[1]
+    for r in found:
+        own = x if r["node"] == 1 else x[(x[:, 0] <= 0.0) == (r["node"] == 2)]
+        assert (r["lo"], r["hi"]) == (own[:, r["feature"]].min(), own[:, r["feature"]].max())
