@@ -182,10 +182,12 @@ def n1_stream(spark: SparkSession, folder: str) -> DataFrame:
     events = _conversation_events(spark, folder).withColumnRenamed("run_id", "run")
     source, target = scratch_path(spark, "waves"), scratch_path(spark, "run-facts")
     wave = F.pmod(F.xxhash64("run", "seq"), F.lit(4))
+    cursor = scratch_path(spark, "run-cursor")
     for k in range(4):
-        events.filter(wave == k).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run_state.follow(run_state.run_facts(stream), target, scratch_path(spark, "run-cursor")).awaitTermination()
+        events.filter(wave == k).write.mode("append").parquet(source)
+        # Resumes from the cursor: a wave is a micro-batch, of as many files as its writers made.
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        run_state.follow(run_state.run_facts(stream), target, cursor).awaitTermination()
     return run_state.current_runs(spark, target).drop("silent")
 
 

@@ -45,6 +45,8 @@ def add_sequence(intervals: list[list[int]], seq: int) -> bool:
 
 
 def _checked(ids_kept: int, silent_ms: int | None) -> Callable:
+    names = [f.split()[0] for f in FACTS.split(", ")]
+
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, spans, doubled, last, status, seen, unique = state.get if state.exists else (0, "[]", False, None, None, "[]", True)
         intervals, ids = json.loads(spans), dict.fromkeys(json.loads(seen))
@@ -66,8 +68,8 @@ def _checked(ids_kept: int, silent_ms: int | None) -> Callable:
         contiguous = not doubled and intervals == [[1, n]]
         first = intervals[0][0] if intervals else None
         facts = (key[0], n, first, last, status, contiguous, bool(unique), silent)
-        frame = pd.DataFrame([facts], columns=[f.split()[0] for f in FACTS.split(", ")])
-        yield frame.astype({"first_seq": "Int64", "last_seq": "Int64"})
+        # One frame for a run and micro-batch; casts of single columns would cost more than the rest of the work.
+        yield pd.DataFrame({name: [fact] for name, fact in zip(names, facts)})
 
     return run
 
