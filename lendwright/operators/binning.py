@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lendwright.functions import fixed_values as fixed
 from lendwright.functions.expressions import (
     column,
+    double_sql,
+    interval_sql,
     is_numeric,
     lookup,
-    number_sql,
     quoted,
-    right_closed_sql,
     text_sql,
 )
 from lendwright.operators.order_statistics import (
@@ -159,8 +159,7 @@ def bin_index(df: DataFrame, spec: BinSpec) -> Column:
     A spec with a dictionary needs a ``df`` from ``with_rare_marks``.
     """
     if spec.kind == "numeric":
-        number = number_sql(spec.feature, df.schema[spec.feature].dataType)
-        return F.expr(right_closed_sql(number, spec.edges, str(MISSING_INDEX)))
+        return _by_interval(df, spec, [str(i) for i in range(len(spec.edges) + 1)], str(MISSING_INDEX))
     value = _category(spec.feature)
     places = {v: i for i, group in enumerate(spec.groups) for v in group}
     folded = places.get(fixed.RARE)
@@ -174,11 +173,15 @@ def bin_index(df: DataFrame, spec: BinSpec) -> Column:
     return F.when(value.isin(*named), lookup(value, named, None)).otherwise(other).cast("int")
 
 
+def _by_interval(df: DataFrame, spec: BinSpec, results: Sequence[str], missing: str) -> Column:
+    """The SQL text that stands for the row's interval."""
+    return F.expr(interval_sql(spec.feature, df.schema[spec.feature].dataType, spec.edges, results, missing))
+
+
 def bin_label(df: DataFrame, spec: BinSpec) -> Column:
-    index = bin_index(df, spec)
     if spec.kind == "numeric":
-        labels = {MISSING_INDEX: fixed.MISSING, **dict(enumerate(interval_labels(spec.edges)))}
-        return lookup(index, labels, fixed.OTHER)
+        return _by_interval(df, spec, [text_sql(name) for name in interval_labels(spec.edges)], text_sql(fixed.MISSING))
+    index = bin_index(df, spec)
     labels = {i: group_label(i) for i in range(len(spec.groups))}
     return lookup(index, labels, fixed.OTHER) if labels else F.lit(fixed.OTHER)
 
@@ -186,10 +189,11 @@ def bin_label(df: DataFrame, spec: BinSpec) -> Column:
 def woe_value(df: DataFrame, spec: BinSpec) -> Column:
     """WOE of the row's bin. Values outside all groups have the WOE of <OTHER> if training saw such rows;
     a bin without training rows scores 0."""
-    index = bin_index(df, spec)
-    if spec.kind != "numeric":
-        index = F.coalesce(index, F.lit(len(spec.groups)))
-    return lookup(index, {r.index: r.woe for r in spec.rows}, 0.0)
+    values = {r.index: r.woe for r in spec.rows}
+    if spec.kind == "numeric":
+        found = [double_sql(values.get(i, 0.0)) for i in range(len(spec.edges) + 1)]
+        return _by_interval(df, spec, found, double_sql(values.get(MISSING_INDEX, 0.0)))
+    return lookup(F.coalesce(bin_index(df, spec), F.lit(len(spec.groups))), values, 0.0)
 
 
 def apply_bins(df: DataFrame, binning: Binning, suffix: str = "_bin") -> DataFrame:

@@ -13,12 +13,11 @@ from lendwright.functions import fixed_values as fixed
 from lendwright.functions.expressions import (
     as_double,
     column,
+    interval_sql,
     is_leakage_name,
     is_numeric,
     is_pii_name,
     name_matches,
-    number_sql,
-    right_closed_sql,
     value_text,
 )
 from lendwright.operators.order_statistics import (
@@ -93,7 +92,8 @@ def iv_edges(
 def _value_bin(df: DataFrame, feature: str, edges: Mapping[str, Sequence[float]]) -> list[Column]:
     """(interval number, value): numbers for binned features, the value itself for the others."""
     if feature in edges:
-        place = right_closed_sql(number_sql(feature, df.schema[feature].dataType), edges[feature])
+        places = [str(i) for i in range(len(edges[feature]) + 1)]
+        place = interval_sql(feature, df.schema[feature].dataType, edges[feature], places, "NULL")
         return [F.expr(f"CAST({place} AS INT)"), F.lit(None).cast("string")]
     return [F.lit(None).cast("int"), value_text(feature, df.schema[feature].dataType)]
 

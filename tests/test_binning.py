@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lendwright.functions.expressions import interval_sql
 from lendwright.operators import binning as b
 from lendwright.operators import screening
+from lendwright.operators.order_statistics import unpivot_values
 
 
 def slow_merge(x: pd.Series, y: pd.Series, max_bins: int = 10):
@@ -220,3 +224,35 @@ def test_infinite_values_everywhere(spark):
 
     model = modeling.fit_candidate(df, "y", ["x"], "regularized_logistic")
     assert model.score(df).filter(F.col(modeling.PROBABILITY).between(0, 1)).count() == len(rows)
+
+
+def test_bins_of_odd_numbers(spark):
+    """Bins, labels and WOE at edges, of NaN, NULL, infinite numbers and both zeros, for every kind of number."""
+    inf, nan = float("inf"), float("nan")
+    rows = [(v,) for v in (None, nan, -inf, -1.0, -0.0, 0.0, 0.5, 1.0, 2.0, inf)]
+    df = spark.createDataFrame(rows, "d double").select("d", F.col("d").cast("float").alias("f"), F.col("d").cast("string").alias("t"))
+    want = [-1, -1, 0, 0, 0, 0, 1, 1, 2, 2]
+    cells = tuple(b.BinRow(str(i), i, 1, 0, 1, 0.0, w, 0.0) for i, w in ((-1, 9.0), (0, 1.5), (2, -2.5)))
+    for name in df.columns:
+        spec = b.BinSpec(name, "numeric", edges=(0.0, 1.0), rows=cells)
+        found = df.select(b.bin_index(df, spec), b.bin_label(df, spec), b.woe_value(df, spec)).collect()
+        labels = {-1: "<MISSING>", **dict(enumerate(b.interval_labels(spec.edges)))}
+        assert [r[0] for r in found] == want
+        assert [r[1] for r in found] == [labels[i] for i in want]
+        assert [r[2] for r in found] == [{-1: 9.0, 0: 1.5, 1: 0.0, 2: -2.5}[i] for i in want]
+        no_edges = df.select(F.expr(interval_sql(name, df.schema[name].dataType, [], ["0"], "NULL"))).collect()
+        assert [r[0] for r in no_edges] == [None, None, *[0] * 8]
+
+
+def test_expressions_of_many_bins_are_compiled(spark, capsys):
+    """The JVM interprets methods above 8,000 bytes; seven features of ten bins stay below, as indices and as WOE."""
+    names = [f"x{i}" for i in range(7)]
+    df = spark.range(1).select(*[F.rand(i).alias(n) for i, n in enumerate(names)], F.lit(1).alias("y"))
+    edges = [i / 10 for i in range(1, 10)]
+    cells = tuple(b.BinRow(str(i), i, 1, 0, 1, 0.0, i / 7, 0.0) for i in range(10))
+    binning = b.Binning({n: b.BinSpec(n, "numeric", edges=tuple(edges), rows=cells) for n in names})
+    places = unpivot_values([(n, [b.bin_index(df, binning.specs[n])]) for n in names], ["place"])
+    for frame in (df.select("y", places), b.woe_transform(df, binning)):
+        frame.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) < 8000

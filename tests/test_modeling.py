@@ -200,3 +200,55 @@ def test_training_partitions_grow_slower_than_small_ones():
     """Partial sums of all open nodes leave every partition, so many small ones cost more than their rows."""
     sizes = [modeling.training_partitions(n) for n in (1, 20_000, 20_001, 640_000, 5_000_000, 30_000_000)]
     assert sizes == [1, 1, 2, 32, 32, 150]
+
+
+def _passes(monkeypatch):
+    """Counts how often training rows are dealt and prepared."""
+    seen = {"dealt": 0, "prepared": 0, "fits": 0}
+
+    def counted(name, key):
+        plain = getattr(modeling, name)
+
+        def run(*args, **kwargs):
+            seen[key] += 1
+            return plain(*args, **kwargs)
+
+        monkeypatch.setattr(modeling, name, run)
+
+    counted("_dealt", "dealt")
+    counted("preprocessing", "prepared")
+    counted("_logistic", "fits")
+    return seen
+
+
+def test_tuning_prepares_a_fold_once(sample, monkeypatch):
+    """Three strengths over five folds are fifteen fits on five preparations, and each is the fit of its own options."""
+    train = sample.filter("partition = 'train'")
+    seen = _passes(monkeypatch)
+    best, trials = modeling.tune(train, "y", ["income", "segment"], "regularized_logistic", "id", 3)
+    assert seen == {"dealt": 5, "prepared": 5, "fits": 15}
+    assert [t[1:3] for t in trials] == [(1, '{"C": 0.1}'), (2, '{"C": 0.3}'), (3, '{"C": 1.0}')]
+    assert f'{{"C": {best["C"]}}}' == max(trials, key=lambda t: t[3])[2]
+    grid = modeling.fit_grid(train, "y", ["income", "segment"], "regularized_logistic", [{"C": 0.1}, {"C": 1.0}])
+    for model, c in zip(grid, (0.1, 1.0)):
+        alone = modeling.fit_candidate(train, "y", ["income", "segment"], "regularized_logistic", {"C": c})
+        assert np.allclose(model.pipeline.stages[-1].coefficients, alone.pipeline.stages[-1].coefficients, rtol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["scorecard", "regularized_logistic"])
+def test_solver_reads_rows_that_are_kept(spark, sample, monkeypatch, name):
+    """The solver's passes read prepared rows from disk, and nothing stays there after the fit."""
+    levels = []
+    solver = modeling._logistic
+
+    def watched(*args):
+        model = solver(*args)
+        fit = model.fit
+        model.fit = lambda df: levels.append(df.storageLevel) or fit(df)
+        return model
+
+    monkeypatch.setattr(modeling, "_logistic", watched)
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    modeling.fit_candidate(sample.filter("partition = 'train'"), "y", ["income", "segment"], name)
+    assert [(s.useDisk, s.useMemory) for s in levels] == [(True, False)]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
