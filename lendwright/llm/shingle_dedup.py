@@ -10,8 +10,8 @@ document of every component of near copies stays.
 2. Neighbours in a bucket (in the order of their class) are verified by their texts, and verified pairs are joined to components.
    A large group of copies comes together here with as many pairs as it has members.
 3. Buckets that still hold several components are traversed as signature trees (``signature_trees``): bitmaps bound the overlap of two
-   sets from above, and only pairs across components that can reach the similarity are verified. A bucket of many texts that are
-   not near enough gives no pairs of texts.
+   sets from above, and only pairs across components that can reach the similarity are decided, by the sets and inside a task. Links
+   that join components come out, and no pairs of texts that are not near enough.
 
 Sizes of the sets rule a pair out without its texts. Defined cases: NULL, empty and blank texts have no shingles and form
 one class; rows with a NULL id come last when one is kept; repeated rows are one row.
@@ -168,13 +168,17 @@ def links(found: DataFrame, docs: DataFrame, proposed: DataFrame | None = None)
     member = member.select(F.col("band").alias("token"), identity.alias("class"), "size", F.xxhash64(F.coalesce("root", "class")).alias("root"))
     member = materialize(member, "bucket-members")
     bitmaps = classes.where("size > 0").select(identity.alias("class"), "bits")
-    found = signature_trees.traversed(signature_trees.mixed_trees(member, LEAST), bitmaps, least=LEAST)
-    # A candidate of two classes that one hash stands for is no harm: texts decide.
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        named = texts.select(identity.alias("class"), "text").join(wanted, "class", "left_semi")
+        return signature_trees.token_sets(named, SHINGLE_WORDS)
+
+    found = signature_trees.joining_links(member, bitmaps, sets, LEAST)
+    # A pair of two classes that one hash stands for is no harm: texts decide.
     for side in "ab":
         found = found.join(classes.select(identity.alias(side), F.col("class").alias(f"class_{side}")), side)
     across = found.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
-    across = materialize(across.join(tried, ["a", "b"], "left_anti"), "across")
-    return near.union(verified(across, texts))
+    return near.union(verified(materialize(across, "across"), texts))
 
 
 def similar_components(docs: DataFrame, propose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -20,8 +20,13 @@ order of all tokens (|A| - ceil(0.85 |A|) + 1 of them), and every such token is
 3. *Mixed trees.* Trees whose classes are now in one component are done. Of those with equal members one stays. The rest is traversed
    against itself; a tree of more than ``CHUNK`` classes is cut into chunks by size, component and hash, and pairs of chunks
    are traversed, except within one component and between incompatible sizes. No task holds more than two chunks.
+4. *Groups.* Every mixed tree proposes at most one pair for each of its classes, which joins all that its bitmaps cannot tell apart.
+   Components of these pairs are groups: a link that is still missing lies in one of them. Each group is a tree again, to which the sets
+   themselves travel, once for each class (a large group is cut as above, and by its tokens). Its pairs are decided where they are
+   found, by the sets, and leave the task as links that join components. So many near copies that are not near enough cost
+   comparisons in memory, but no rows.
 
-A bitmap has four to eight bits for a token and is all that travels to the trees.
+A bitmap has four to eight bits for a token and is all that travels to the other trees.
 
 The result is exact but for 64-bit hashes of shingles. Defined cases: NULL, empty and blank texts have an empty set and link with
 nothing; rows with a NULL id get the component of their text, and an id is never NULL where the component holds any
@@ -48,6 +53,8 @@ SHINGLE_WORDS = 4
 #: Shared shingles / all shingles, as a fraction of whole numbers.
 LEAST = (85, 100)
 CHUNK = 1024
+#: Tokens of a chunk whose sets travel with it, on average.
+CHUNK_TOKENS = 1 << 20
 FAN_OUT = 4
 #: Least bits of a bitmap for each token; widths are powers of two between these.
 BITS_PER_TOKEN = 4
@@ -170,11 +177,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(near))
 
 
+def class_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, text) of (class, row key)."""
+    return docs.select("text", *row_hashes()).join(classes, [K1, K2]).dropDuplicates(["class"]).select("class", "text")
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose texts are linked; ``classes`` holds (class, row key)."""
     wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi")
-    texts = docs.select("text", *row_hashes()).join(wanted, [K1, K2]).dropDuplicates(["class"])
-    texts = materialize(texts.select("class", "text"), "class-texts")
+    texts = materialize(class_texts(wanted, docs), "class-texts")
     first, second = (texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_similar, "a long, b long")
@@ -284,8 +295,10 @@ def _candidates(
     return tuple(np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3))
 
 
-def _spanning(i: np.ndarray, j: np.ndarray, overlap: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """The most promising pairs that join what all pairs would join."""
+def _spanning(i: np.ndarray, j: np.ndarray, overlap: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most promising pairs that join what all pairs would join: every part takes its best pair to another one, until none is left."""
+    order = np.argsort(-overlap, kind="stable")
+    i, j = i[order], j[order]
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -294,18 +307,54 @@ def _spanning(i: np.ndarray, j: np.ndarray, overlap: np.ndarray, n: int) -> list
             x = root[x]
         return x
 
-    out = []
-    for k in np.argsort(-overlap, kind="stable").tolist():
-        a, b = int(i[k]), int(j[k])
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            out.append((a, b))
+    kept, live = np.zeros(len(i), bool), np.arange(len(i))
+    while len(live):
+        best = np.full(n, len(i))
+        part = np.array([find(x) for x in range(n)])
+        a, b = part[i[live]], part[j[live]]
+        live, a, b = live[a != b], a[a != b], b[a != b]
+        np.minimum.at(best, a, live)
+        np.minimum.at(best, b, live)
+        for k in np.unique(best[best < len(i)]).tolist():
+            kept[k] = True
+            root[find(int(i[k]))] = find(int(j[k]))
+    return i[kept], j[kept]
+
+
+def _joining(i: np.ndarray, j: np.ndarray, sets: list[bytes], component: np.ndarray, least: tuple[int, int]) -> tuple[list[int], list[int]]:
+    """The linked ones of these pairs, as far as they join components."""
+    share, of = least
+    size = np.array([len(x) // 8 for x in sets])
+    first = np.concatenate([[0], np.cumsum(size)])
+    distinct, token = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    token = token.astype(np.int32)
+    own, root = np.zeros(len(distinct), bool), component.copy()
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    at = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+    out: tuple[list[int], list[int]] = ([], [])
+    for a, others in zip(i[at].tolist(), np.split(j, at[1:])):
+        mine = token[first[a] : first[a + 1]]
+        own[mine] = True
+        load = np.cumsum(size[others])
+        for part in np.split(others, np.flatnonzero(np.diff(load // (_SLICE_BYTES // 8))) + 1):
+            part = part[root[part] != root[a]]
+            if not len(part):
+                continue
+            begin = np.cumsum(size[part]) - size[part]
+            where = np.repeat(first[part] - begin, size[part]) + np.arange(begin[-1] + size[part[-1]])
+            both = np.add.reduceat(own[token[where]], begin, dtype=np.int64)
+            for b in part[both * of >= (size[a] + size[part] - both) * share].tolist():
+                if root[a] != root[b]:
+                    root[root == root[b]] = root[a]
+                    out[0].append(a)
+                    out[1].append(b)
+        own[mine] = False
     return out
 
 
-def _traverse(spanning: bool, least: tuple[int, int]) -> Callable:
-    """Candidates of the trees that arrive one after another, each in the order of its sizes."""
+def _traverse(least: tuple[int, int], exact: bool) -> Callable:
+    """Pairs from the trees that arrive one after another, each in the order of its sizes."""
 
     def close(held: list[tuple], found: list[tuple[int, int]]) -> None:
         side, name, root, size = (np.array([h[c] for h in held], np.int64) for c in range(4))
@@ -313,8 +362,8 @@ def _traverse(spanning: bool, least: tuple[int, int]) -> Callable:
             return
         _, component = np.unique(root, return_inverse=True)
         i, j, overlap = _candidates(size, component, side, [h[4] for h in held], least)
-        pairs = _spanning(i, j, overlap, len(held)) if spanning else zip(i.tolist(), j.tolist())
-        found += [(min(a, b), max(a, b)) for a, b in ((int(name[x]), int(name[y])) for x, y in pairs)]
+        i, j = _joining(i, j, [h[5] for h in held], component, least) if exact else _spanning(i, j, overlap, len(held))
+        found += [(min(a, b), max(a, b)) for a, b in ((int(name[x]), int(name[y])) for x, y in zip(i, j))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -322,7 +371,7 @@ def _traverse(spanning: bool, least: tuple[int, int]) -> Callable:
         for batch in batches:
             found: list[tuple[int, int]] = []
             keys = batch.column(0).to_pylist()
-            for own, *row in zip(keys, *[batch.column(c).to_pylist() for c in range(1, 6)]):
+            for own, *row in zip(keys, *[batch.column(c).to_pylist() for c in range(1, batch.num_columns)]):
                 if own != key:
                     if held:
                         close(held, found)
@@ -341,12 +390,18 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
 
-def traversed(members: DataFrame, signatures: DataFrame, spanning: bool = False, least: tuple[int, int] = LEAST) -> DataFrame:
-    """Distinct candidates (a < b) of the trees of ``members`` (tree, side, class, root, size); ``least`` is the similarity of a link, at
-    least a half."""
-    full = members.join(signatures, "class").select("tree", "side", "class", "root", "size", "bits")
+def traversed(
+    members: DataFrame, signatures: DataFrame, least: tuple[int, int] = LEAST, sets: DataFrame | None = None
+) -> DataFrame:
+    """Distinct pairs (a < b) of the trees of ``members`` (tree, side, class, root, size); ``least`` is the similarity of a link, at
+    least a half. They are candidates that join what all candidates of a tree join, or, with ``sets`` (class, tokens), links that join
+    the components that all links of a tree join."""
+    full = members.join(signatures, "class")
+    if sets is not None:
+        full = full.join(sets, "class")
+    full = full.select("tree", "side", "class", "root", "size", "bits", *([] if sets is None else ["tokens"]))
     dealt = full.repartition("tree").sortWithinPartitions("tree", "side", "size", "class")
-    return dealt.mapInArrow(_traverse(spanning, least), "a long, b long").distinct()
+    return dealt.mapInArrow(_traverse(least, sets is not None), "a long, b long").distinct()
 
 
 def _sizes_meet(a_least: Column, a_most: Column, b_least: Column, b_most: Column, least: tuple[int, int]) -> Column:
@@ -354,27 +409,36 @@ def _sizes_meet(a_least: Column, a_most: Column, b_least: Column, b_most: Column
     return (a_most.cast("long") * of >= b_least * share) & (b_most.cast("long") * of >= a_least * share)
 
 
-def mixed_trees(member: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """(tree, side, class, root, size) of what has to be compared across components, from (token, class, size, root)."""
+def mixed_trees(member: DataFrame, least: tuple[int, int] = LEAST, tokens: int | None = None) -> DataFrame:
+    """(tree, side, class, root, size) of what has to be compared across components, from (token, class, size, root).
+
+    A chunk has about ``CHUNK`` classes at most, and ``tokens`` tokens if that is given.
+    """
+
+    def chunks(n: Column, t: Column) -> Column:
+        return F.ceil(n / CHUNK if tokens is None else F.greatest(n / CHUNK, t / tokens))
+
     trees = member.groupBy("token").agg(
         F.count("*").alias("n"),
+        F.sum("size").alias("t"),
         F.min("root").alias("r"),
         F.max("root").alias("s"),
         F.bit_xor(F.xxhash64("class")).alias("x"),
         F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y"),
     )
-    kept = trees.where("r <> s").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token", "n")
+    kept = trees.where("r <> s").groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.max("t").alias("t"))
+    kept = kept.select("token", chunks(F.col("n"), F.col("t")).alias("parts"))
     rows = materialize(member.join(kept, "token"), "mixed-trees")
-    small = rows.where(F.col("n") <= CHUNK).select(F.array("token").alias("tree"), F.lit(0).alias("side"), "class", "root", "size")
+    small = rows.where("parts <= 1").select(F.array("token").alias("tree"), F.lit(0).alias("side"), "class", "root", "size")
 
     # Sizes of linked sets are in the same class of sizes or in neighbouring ones.
     step = float(np.log(least[1] / least[0]) + 1e-9)
-    large = rows.where(F.col("n") > CHUNK).withColumn("z", F.floor(F.log("size") / F.lit(step)))
+    large = rows.where("parts > 1").withColumn("z", F.floor(F.log("size") / F.lit(step)))
     shares = large.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    large = large.join(shares, "token").withColumn("other", (F.col("root") != F.col("main")).cast("int")).drop("main", "n")
-    cells = large.groupBy("token", "z", "other").agg(F.count("*").alias("m"))
+    large = large.join(shares, "token").withColumn("other", (F.col("root") != F.col("main")).cast("int")).drop("main", "parts")
+    cells = large.groupBy("token", "z", "other").agg(chunks(F.count("*"), F.sum("size")).alias("parts"))
     large = large.join(cells, ["token", "z", "other"])
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / CHUNK)) * 2 + F.col("other")
+    chunk = F.pmod(F.xxhash64("class"), F.col("parts")) * 2 + F.col("other")
     large = materialize(large.select("token", "z", chunk.alias("chunk"), "class", "root", "size"), "chunks")
     nodes = large.groupBy("token", "z", "chunk").agg(
         F.min("size").alias("lo"), F.max("size").alias("hi"), F.min("root").alias("r"), F.max("root").alias("s")
@@ -394,6 +458,33 @@ def mixed_trees(member: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     return small.unionByName(sides[0]).unionByName(sides[1])
 
 
+def token_sets(texts: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
+    """(class, tokens) of (class, text): the distinct shingles as 64-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                value, first = shingle_sets(words(piece.column(1), lower=True), n)
+                tokens = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(tokens, pa.binary())], names=["class", "tokens"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, tokens binary")
+
+
+def joining_links(
+    member: DataFrame, signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], least: tuple[int, int] = LEAST
+) -> DataFrame:
+    """Linked pairs (a, b) that join the components which any links in the trees of ``member`` (token, class, size, root) join.
+
+    ``sets`` gives (class, tokens) of the classes in its argument.
+    """
+    near = materialize(traversed(mixed_trees(member, least), signatures, least), "tree-pairs")
+    groups = components(near).select(F.col("node").alias("class"), F.col("root").alias("token"))
+    grouped = member.select("class", "size", "root").join(groups, "class").dropDuplicates(["class"])
+    grouped = materialize(grouped.select("token", "class", "size", "root"), "groups")
+    return traversed(mixed_trees(grouped, least, CHUNK_TOKENS), signatures, least, sets(grouped.select("class")))
+
+
 def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that join all linked classes to components."""
     classes = sets.where("size > 0").groupBy("class").agg(
@@ -423,14 +514,14 @@ def class_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     visits = visits.join(visitors, "token").select(
         F.array("token", part).alias("tree"), F.lit(0).alias("side"), "class", F.col("class").alias("root"), "size"
     )
-    tried = materialize(traversed(visits, signatures, spanning=True), "home-pairs")
+    tried = materialize(traversed(visits, signatures), "home-pairs")
     first = materialize(verified(tried, rows, docs), "home-links")
 
     roots = components(first)
     member = shared.join(roots, F.col("class") == F.col("node"), "left")
     member = materialize(member.select("token", "class", "size", F.coalesce("root", "class").alias("root")), "tree-members")
-    rest = traversed(mixed_trees(member), signatures).join(tried, ["a", "b"], "left_anti")
-    return first.union(verified(materialize(rest, "tree-pairs"), rows, docs))
+    rest = joining_links(member, signatures, lambda wanted: token_sets(class_texts(rows.join(wanted, "class", "left_semi"), docs)))
+    return first.union(rest)
 
 
 def linked_components(docs: DataFrame) -> DataFrame:

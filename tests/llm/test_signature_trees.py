@@ -140,3 +140,64 @@ def test_traversal_keeps_every_link(seed):
 def test_prefix_length_is_exact():
     size = np.arange(1, 2000)
     assert (st.prefix_length(size) == [n - -(-85 * n // 100) + 1 for n in size.tolist()]).all()
+
+
+def written(monkeypatch, module):
+    """Rows of the tables that the module writes, by purpose; filled while it runs."""
+    counts = {}
+    write = module.materialize
+
+    def counted(df, purpose="table"):
+        out = write(df, purpose)
+        counts[purpose] = max(counts.get(purpose, 0), out.count())
+        return out
+
+    monkeypatch.setattr(module, "materialize", counted)
+    return counts
+
+
+def near_misses(n, words=100, edits=3):
+    """Copies of one text that differ in too many places to be linked, but not for their bitmaps; every tenth is linked to the one before."""
+    rng = random.Random(n)
+    rows = []
+    for k in range(n):
+        own = [f"w{x}" for x in range(words)] if k % 10 != 1 else list(rows[-1])
+        for place in rng.sample(range(words), edits if k % 10 != 1 else 1):
+            own[place] = f"x{k}"
+        rows.append(own)
+    return [(k, " ".join(r)) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("chunk,tokens", [(1024, 1 << 20), (32, 1 << 20), (1024, 2000)])
+def test_near_misses_make_no_rows_for_their_pairs(spark, monkeypatch, chunk, tokens):
+    monkeypatch.setattr(st, "CHUNK", chunk)
+    monkeypatch.setattr(st, "CHUNK_TOKENS", tokens, raising=False)
+    rows = near_misses(120)
+    counts = written(monkeypatch, st)
+    want = brute(rows)
+    assert got(spark, rows) == want and len({c for _, _, c in want}) > 60
+    trees = 1 if chunk > 120 else 16
+    assert counts["tree-pairs"] < 10 * trees * len(rows) / 2 and (chunk < 120 or counts["tree-pairs"] < 4 * len(rows))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_that_join(seed):
+    """The pairs kept join what all links join, and are links."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.append(base[rng.random(60) > 0.06], rng.choice(base, 2))) for _ in range(40)]
+    component = rng.integers(0, 30, 40)
+    i, j = (x[component[np.triu_indices(40, 1)[0]] != component[np.triu_indices(40, 1)[1]]] for x in np.triu_indices(40, 1))
+    linked = [100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j)]
+
+    def parts(pairs):
+        root = component.copy()
+        for a, b in pairs:
+            root[root == root[b]] = root[a]
+        return [np.flatnonzero(root == r).tolist() for r in np.unique(root)]
+
+    links = {(int(a), int(b)) for a, b, near in zip(i, j, linked) if near}
+    kept = list(zip(*st._joining(i, j, [s.tobytes() for s in sets], component, st.LEAST)))
+    assert set(kept) <= links and len(kept) < 40 and sorted(parts(kept)) == sorted(parts(links))
+    x, y = st._spanning(i, j, rng.integers(0, 5, len(i)), 40)
+    assert len(x) == 39 and len({a for pair in zip(x.tolist(), y.tolist()) for a in pair}) == 40

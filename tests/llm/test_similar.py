@@ -136,3 +136,26 @@ def test_long_text(spark):
 @pytest.mark.parametrize("similarity, bound", [(0.8, 3e-5), (0.85, 5e-7)])
 def test_bound(similarity, bound):
     assert shingle_dedup.miss_bound(similarity) < bound
+
+
+def test_near_misses_make_no_rows_for_their_pairs(spark, monkeypatch):
+    """A bucket of texts just below the threshold: its pairs stay inside a task."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        own = [f"w{x}" for x in range(100)]
+        for place in rng.sample(range(100), 3):
+            own[place] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    counts = {}
+    write = shingle_dedup.materialize
+
+    def counted(df, purpose="table"):
+        out = write(df, purpose)
+        counts[purpose] = out.count()
+        return out
+
+    monkeypatch.setattr(shingle_dedup, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in shingle_dedup.drop_similar(docs).collect()) == brute_kept(rows)
+    assert counts["across"] < 2 * len(rows)
