@@ -143,8 +143,8 @@ def test_near_misses_make_no_rows_for_their_pairs(spark, monkeypatch):
     rng = random.Random(5)
     rows = []
     for k in range(150):
-        own = [f"w{x}" for x in range(100)]
-        for place in rng.sample(range(100), 3):
+        own = [f"w{x}" for x in range(400)]
+        for place in rng.sample(range(400), 5):
             own[place] = f"x{k}"
         rows.append((k, " ".join(own)))
     counts = {}
