@@ -39,6 +39,8 @@ LEXICON_BITS = 16
 FEATURE_BITS = 17
 GRAM_BYTES = (2, 3, 4)
 BLOCK = 256
+#: Words whose features' weights are held at one time.
+GRAM_WORDS = 2_048
 ROUNDS = 30
 SEED = 11
 
@@ -90,9 +92,15 @@ def grams(found: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_scores(model_grams: np.ndarray, number: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([np.zeros((1, model_grams.shape[1])), np.cumsum(model_grams[number], axis=0, dtype=np.float64)])
+    """Running sums of the weights are kept at the words' bounds only; between them they go from run to run of words."""
+    at_bounds = np.zeros((len(first), model_grams.shape[1]))
+    for a in range(0, len(first) - 1, GRAM_WORDS):
+        bounds = first[a : a + GRAM_WORDS + 1]
+        total = np.concatenate([at_bounds[a : a + 1], model_grams[number[bounds[0] : bounds[-1]]]])
+        np.cumsum(total, axis=0, out=total)
+        at_bounds[a : a + len(bounds)] = total[bounds - bounds[0]]
     count = np.maximum(np.diff(first), 1)[:, None]
-    return (total[first[1:]] - total[first[:-1]]) / np.sqrt(count)
+    return np.diff(at_bounds, axis=0) / np.sqrt(count)
 
 
 def lexicon_scores(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:

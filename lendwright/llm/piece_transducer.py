@@ -12,7 +12,8 @@ them with a text and takes the shortest path in the tropical semiring (weights a
   the two strings and are kept.
 
 If no piece holds a blank after another character (true of most models), paths split before blanks, and
-the path of a stretch that occurs again is looked up instead of searched.
+the path of a stretch that occurs again is looked up instead of searched. What is remembered is bounded: when the
+younger generation of stretches is full, it becomes the older one, whose stretches are forgotten unless they occur again.
 
 Defined cases: a NULL or empty text has no pieces and decodes to the empty text; ``▁`` in a text reads as a
 blank, as in the public library; other columns are not read.
@@ -26,6 +27,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,13 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_TEXT = " ⁇ "
-#: Stretches and pairs remembered per Python worker.
-REMEMBERED = 400_000
+#: Pairs remembered per Python worker.
+REMEMBERED_PAIRS = 400_000
+#: Stretches of at most STRETCH_CHARS remembered per Python worker, in each of two generations.
+REMEMBERED_PATHS = 64_000
+STRETCH_CHARS = 64
+#: Stretches of a text that are strings at one time.
+STRETCHES = 4_096
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -115,7 +122,8 @@ class Transducer:
         #: By piece, the pieces that may follow it (True) or would change with it (False).
         self.follow: dict[int, dict[int, bool]] = {}
         self.pairs = 0
-        self.paths: dict[str, array] = {}
+        self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: What an id decodes to: text, bytes, or nothing.
         self.surface: list[str | int] = [p.replace(BLANK, " ") for p in self.pieces]
         for i, kind in enumerate(kinds):
@@ -190,7 +198,7 @@ class Transducer:
                 if c not in self.inner or self._stays(text[back[at] : at] if at else "", c):
                     last[at + 1] = self.unknown
                     back[at + 1] = at
-        if self.pairs > REMEMBERED:
+        if self.pairs > REMEMBERED_PAIRS:
             follow.clear()
             self.pairs = 0
         return self._ids(text, last, back)
@@ -237,20 +245,30 @@ class Transducer:
         """Ids along the path of least weight through the composition with a normalised text."""
         return self._merge_path(text) if self.kind == BPE else self._best_path(text)
 
+    def path(self, stretch: str) -> bytes:
+        """Ids of a stretch, four bytes each."""
+        if len(stretch) > STRETCH_CHARS:
+            return array("i", self.shortest_path(stretch)).tobytes()
+        found = self.paths.get(stretch)
+        if found is None:
+            found = self.older.get(stretch) or array("i", self.shortest_path(stretch)).tobytes()
+            if len(self.paths) >= REMEMBERED_PATHS:
+                self.older, self.paths = self.paths, {}
+            self.paths[stretch] = found
+        return found
+
     def encode(self, text: str) -> array:
         ids = array("i")
-        paths = self.paths
-        for stretch in self.stretch.findall(self.normalise(text)):
-            path = paths.get(stretch)
-            if path is None:
-                path = array("i", self.shortest_path(stretch))
-                if len(stretch) <= 64:
-                    if len(paths) >= REMEMBERED:
-                        paths.clear()
-                    paths[stretch] = path
-            if not self.fallback and ids and path and ids[-1] == path[0] == self.unknown:
-                path = path[1:]
-            ids += path
+        matches = self.stretch.finditer(self.normalise(text))
+        while stretches := [m[0] for m in islice(matches, STRETCHES)]:
+            known = self.paths.get
+            paths = [known(s) or self.path(s) for s in stretches]
+            if self.fallback:
+                ids.frombytes(b"".join(paths))
+                continue
+            for path in paths:
+                own = array("i", path)
+                ids += own[1:] if ids and ids[-1] == own[0] == self.unknown else own
         return ids
 
     def decode(self, ids: Sequence[int]) -> str:

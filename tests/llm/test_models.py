@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -49,6 +50,23 @@ def model(spark):
     return crf.train(spark.read.parquet(f"{SF}/documents.parquet"))
 
 
+def test_weights_of_many_words_are_not_held_at_once():
+    """The sums equal, to the bit, those of one running sum over all features."""
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=(1 << 10, 4))
+    first = np.concatenate([[0], np.cumsum(rng.integers(0, 30, 6_149))])
+    number = rng.integers(0, 1 << 10, first[-1])
+    total = np.concatenate([np.zeros((1, 4)), np.cumsum(weights[number], axis=0)])
+    want = (total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(np.diff(first), 1))[:, None]
+    tracemalloc.start()
+    got = crf.gram_scores(weights, number, first)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, want)
+    assert peak < 1.2 * total.nbytes
+    assert crf.gram_scores(weights, number[:0], first[:1]).shape == (0, 4)
+
+
 def test_language_accuracy_on_held_out_rows(spark, model):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -40,6 +41,32 @@ def test_same_text_as_the_library_on_random_ids(ids):
     assert MACHINE.decode(ids) == LIB.decode(ids)
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_long_text_is_not_held_as_strings():
+    text = "ab cd " * 200_000
+    want = LIB.encode(text)
+    MACHINE.encode("ab cd ab")
+    ids, peak = peak_mb(lambda: MACHINE.encode(text))
+    assert list(ids) == want
+    assert peak < 12
+
+
+def test_remembered_stretches_are_bounded(monkeypatch):
+    monkeypatch.setattr(pt, "REMEMBERED_PATHS", 500, raising=False)
+    machine = pt.Transducer(pt.read_model(PIECE_MODEL))
+    words = [f"{'abcdefgh'[k % 8]}{'tuvwxyz'[k % 7]}{k}" for k in range(6_000)]
+    texts = [" ".join(words[k : k + 60]) for k in range(0, len(words), 20)]
+    assert all(list(machine.encode(t)) == LIB.encode(t) for t in texts)
+    assert len(machine.paths) <= 500 and len(getattr(machine, "older", {})) <= 500
+
+
 def test_whole_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("ids", pt.F.lit("clash"))
     out = pt.encode_texts(docs, pt.read_model(PIECE_MODEL))
@@ -89,3 +116,15 @@ def test_unigram_models_take_the_best_path(text):
     model = unigram_model()
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     assert list(pt.compile_model(model).encode(text)) == library.encode(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab cé"), max_size=24))
+def test_runs_of_unknown_characters_join_across_stretches(text):
+    model = unigram_model()
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    machine = pt.Transducer(model)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pt, "STRETCHES", 2, raising=False)
+        patch.setattr(pt, "REMEMBERED_PATHS", 2, raising=False)
+        assert list(machine.encode(text)) == list(machine.encode(text)) == library.encode(text)
