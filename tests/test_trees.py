@@ -260,3 +260,83 @@ def test_bounds_leave_a_partition_once():
     for r in found:
         own = x if r["node"] == 1 else x[(x[:, 0] <= 0.0) == (r["node"] == 2)]
         assert (r["lo"], r["hi"]) == (own[:, r["feature"]].min(), own[:, r["feature"]].max())
+
+
+def brute_forest(x, y, key, tree, depth, leaf, width, bins, seed):
+    """Nested tuples (feature, cut, left, right) or a probability, from a bootstrap sample made row by row."""
+    cuts = []
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        if len(values) > bins:
+            values = np.append(np.unique(np.quantile(x[:, f], np.arange(1, bins) / bins)), values[-1])
+        cuts.append([c for c in values if c < values[-1]])
+    seen, sample = {}, []
+    for i in np.lexsort((y, key)):
+        place = seen[key[i]] = seen.get(key[i], -1) + 1
+        draw = trees._hashed(key[i : i + 1].view(np.uint64) ^ trees._hashed(np.array([place], np.uint64), 0), 1)
+        digits = int(trees._hashed(draw, (seed << 20) + tree // 4 + 2)[0]) >> 16 * (tree % 4) & 0xFFFF
+        at, times, share = (digits + 0.5) / 65536, 0, math.exp(-1)
+        while at > share:
+            times += 1
+            at, share = at - share, share / times
+        sample += [i] * times
+
+    def spread(rows):
+        w = [WEIGHTS[k] * int((y[rows] == k).sum()) for k in (0, 1)]
+        return sum(w) - sum(v * v for v in w) / max(sum(w), 1e-300), w
+
+    def grow(rows, heap, level):
+        impurity, w = spread(rows)
+        share = w[1] / sum(w)
+        if level == depth or min(w) == 0 or len(rows) < 2 * leaf:
+            return share
+        nodes = trees.OpenNodes(np.array([tree]), np.array([0]), np.array([heap]), np.zeros((1, 2)))
+        best = None
+        for f in trees._drawn_features(nodes, x.shape[1], width, seed)[0]:
+            for c in cuts[f]:
+                goes = x[rows, f] <= c
+                if min(goes.sum(), (~goes).sum()) < leaf:
+                    continue
+                gain = impurity - spread(rows[goes])[0] - spread(rows[~goes])[0]
+                if gain > 1e-9 and (best is None or gain > best[0] + 1e-9):
+                    best = gain, f, c, goes
+        if best is None:
+            return share
+        _, f, c, goes = best
+        return f, c, grow(rows[goes], 2 * heap, level + 1), grow(rows[~goes], 2 * heap + 1, level + 1)
+
+    return grow(np.array(sample), 1, 0)
+
+
+@pytest.mark.parametrize("block, cells", [(1 << 18, 1 << 24), (70, 400)])
+def test_random_forest_equals_loops(table, monkeypatch, block, cells):
+    monkeypatch.setattr(trees, "FOREST_BLOCK_ROWS", block)
+    monkeypatch.setattr(trees, "LEVEL_CELLS", cells)
+    monkeypatch.setattr(trees, "CHUNK_NODES", 3)
+    monkeypatch.setattr(trees, "TASK_ROWS", 120)
+    rows = table.union(table.limit(40))  # some rows come twice
+    grown = trees.grow_random_forest(rows, 5, trees=6, depth=4, leaf=8, per_node=2, bins=12, weights=WEIGHTS, seed=9)
+    found = rows.collect()
+    x, y, key = (np.array(v) for v in zip(*((r.x, r.y, r.key) for r in found)))
+    for t, tree in enumerate(grown.trees):
+        assert same(nested(tree), brute_forest(x, y, key, t, 4, 8, 2, 12, 9))
+    assert grown.gains(5)[3] == 0 and sum(grown.gains(5)) == pytest.approx(1)
+    again = trees.grow_random_forest(rows.repartition(2), 5, trees=6, depth=4, leaf=8, per_node=2, bins=12, weights=WEIGHTS, seed=9)
+    assert [vars(t) for t in again.trees] == [vars(t) for t in grown.trees]
+
+
+def test_bootstrap_samples_draw_equal_rows_apart():
+    """Copies of a row are drawn on their own, in blocks of any size, and a sample holds about as many rows as there are."""
+    n = 40_000
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"\x01"] * k, pa.binary()), pa.array([7] * k, pa.int64())], names=["c", "k"]) for k in (n - 9, 9)]
+    draws = np.concatenate([np.frombuffer(b.column(1)[0].as_py(), np.uint64) for b in trees._forest_blocks(1)(iter(batches))])
+    assert len(set(draws.tolist())) == n
+    for tree in (0, 3, 4):
+        rows = trees.bagged(trees._tree_hash(draws, tree, 42), tree)
+        assert abs(len(rows) - n) < 5 * math.sqrt(n) and abs(len(set(rows.tolist())) - n * (1 - math.exp(-1))) < 5 * math.sqrt(n)
+
+
+def test_one_class_has_no_forest_split(spark):
+    one = spark.createDataFrame([([1.0, 2.0], 0, 1), ([2.0, 2.0], 0, 2)], "x array<double>, y int, key long")
+    assert trees.grow_random_forest(one, 2, trees=3).probability(np.ones((1, 2))).tolist() == [0.0]
+    assert trees.grow_random_forest(one.limit(0), 2, trees=3).probability(np.ones((1, 2))).tolist() == [0.0]
