@@ -340,3 +340,56 @@ def test_one_class_has_no_forest_split(spark):
     one = spark.createDataFrame([([1.0, 2.0], 0, 1), ([2.0, 2.0], 0, 2)], "x array<double>, y int, key long")
     assert trees.grow_random_forest(one, 2, trees=3).probability(np.ones((1, 2))).tolist() == [0.0]
     assert trees.grow_random_forest(one.limit(0), 2, trees=3).probability(np.ones((1, 2))).tolist() == [0.0]
+
+
+def test_layout_counts_features_together():
+    """Bins of several features are one number; sums per feature and the sides of a split come back from it."""
+    rng = np.random.default_rng(4)
+    for bins_of, groups in (([64, 2, 7, 64, 2, 2, 9, 1], 3), ([64] * 70, 70)):
+        bins = np.stack([rng.integers(0, n, 900) for n in bins_of]).astype(np.uint8)
+        layout = trees.Layout(bins_of)
+        assert len(layout.groups) <= groups and max(layout.cells) <= trees.GROUP_CELLS
+        codes = layout.coded(bins)
+        joint = [np.stack([np.bincount(codes[g], minlength=n)] * 2, axis=1) for g, n in enumerate(layout.cells)]
+        found = layout.spread(joint, range(len(bins_of)))
+        block = trees.Block(codes, np.zeros(900, np.int8), np.zeros(0, np.int64), np.zeros(900))
+        for f, n in enumerate(bins_of):
+            np.testing.assert_array_equal(found[f, :n, 1], np.bincount(bins[f], minlength=n))
+            np.testing.assert_array_equal(block.goes_left(layout)(f, n // 2, None), bins[f] <= n // 2)
+
+
+def test_boosting_sends_few_bytes_a_row(table, monkeypatch):
+    """A level used to send bins, key, gradients and hessians of every row: 51 bytes with 18 features."""
+    seen, run = [], trees._Grower.sums
+    monkeypatch.setattr(trees._Grower, "sums", lambda self, *args: seen.append(self.table.map(lambda b: (sum(map(len, b.packed())), len(b.y))).collect()) or run(self, *args))
+    trees.grow_boosted(table, 5, trees.BoostingPlan("symmetric", 1, 0.3, 1), WEIGHTS)
+    size, rows = map(sum, zip(*seen[0]))
+    assert rows == 500 and size <= 13 * rows
+
+
+def test_extra_trees_plan_no_query_per_level(table, monkeypatch):
+    """Every level used to turn all rows into Arrow arrays twice and to plan a query for the bounds."""
+    calls, arrow = [], type(table).mapInArrow
+    monkeypatch.setattr(type(table), "mapInArrow", lambda df, *args, **kwargs: calls.append(1) or arrow(df, *args, **kwargs))
+    monkeypatch.setattr(trees, "PACK_ROWS", 70)
+    monkeypatch.setattr(trees, "FOREST_BLOCK_ROWS", 150)
+    monkeypatch.setattr(trees, "CHUNK_NODES", 3)
+    monkeypatch.setattr(trees, "TASK_ROWS", 200)
+    grown = trees.grow_extra_trees(table, 5, trees=4, depth=5, leaf=7, per_node=2, weights=WEIGHTS, seed=9)
+    assert len(calls) == 1
+    monkeypatch.undo()
+    again = trees.grow_extra_trees(table.repartition(1), 5, trees=4, depth=5, leaf=7, per_node=2, weights=WEIGHTS, seed=9)
+    assert [vars(t) for t in again.trees] == [vars(t) for t in grown.trees]
+
+
+def test_scores_follow_uneven_trees():
+    """All rows of a batch go down a tree at once; leaves at different depths, values at a threshold, NaN and infinite ones."""
+    tree = trees.Tree()
+    a, b = tree.split(0, 0, 1.0, 1.0)
+    tree.split(tree.split(a, 1, 0.0, 1.0)[1], 0, -math.inf, 1.0)
+    tree.value = [float(k) for k in range(len(tree.feature))]
+    x = np.array([[p, q] for p in (-math.inf, 0.5, 1.0, 1.5, math.inf, math.nan) for q in (-1.0, 0.0, math.nan)])
+    def leaf(row, node=0):
+        return node if tree.feature[node] < 0 else leaf(row, (tree.left if row[tree.feature[node]] <= tree.threshold[node] else tree.right)[node])
+    assert tree.leaves(x).tolist() == [leaf(row) for row in x]
+    np.testing.assert_allclose(trees.Ensemble("mean", [tree, trees.Tree(value=[2.0])]).probability(x), [(leaf(r) + 2) / 2 for r in x])
