@@ -252,3 +252,27 @@ def test_solver_reads_rows_that_are_kept(spark, sample, monkeypatch, name):
     modeling.fit_candidate(sample.filter("partition = 'train'"), "y", ["income", "segment"], name)
     assert [(s.useDisk, s.useMemory) for s in levels] == [(True, False)]
     assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
+
+
+def test_candidates_share_folds_and_fold_models(sample, monkeypatch):
+    """Folds were dealt for every candidate and method, and both calibrations fitted the same models."""
+    dealt, fits, folds, fit = [], [], modeling.stratified_folds, modeling.fit_candidate
+    monkeypatch.setattr(modeling, "stratified_folds", lambda *args, **kwargs: dealt.append(args[3]) or folds(*args, **kwargs))
+    monkeypatch.setattr(modeling, "fit_candidate", lambda *args, **kwargs: fits.append(args[3]) or fit(*args, **kwargs))
+    monkeypatch.setattr(modeling, "MIN_ISOTONIC_ROWS", 10)
+    found = modeling.train_candidates(sample, "y", ["income"], "id", ("dummy",))
+    assert sorted(dealt) == [3, 5] and len(fits) == 5 + 1 + 3
+    assert {r["method"] for r in found.calibrations.collect()} == {"uncalibrated", "platt", "isotonic"}
+
+
+def test_run_writes_the_frozen_rows_before_it_splits(spark, sample, monkeypatch):
+    """The passes of the split evaluated the whole input view again each time."""
+    from lendwright.operators.splits import SplitPlan
+    from lendwright.plans import modelling_run as run
+
+    seen, written, split = [], run.materialize, run.split_dataset
+    monkeypatch.setattr(run, "materialize", lambda df, purpose: seen.append(purpose) or written(df, purpose))
+    monkeypatch.setattr(run, "split_dataset", lambda df, *args: seen.append(f"from {df.inputFiles()[0].split('/')[-2]}") or split(df, *args))
+    rows = sample.filter("y IS NOT NULL").select("id", "income", "segment", "y", F.expr("timestamp'2020-01-01' + make_interval(0, 0, 0, id)").alias("day"))
+    run.modelling_run(rows, "y", "id", SplitPlan(time_column="day"), models=("dummy",), calibrate=False, out_of_fold_metrics=False)
+    assert [name.split("-")[0] for name in seen] == ["frozen", "from frozen", "split"]
